@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billow.llm.bpe import decode_ids, encode_texts
+from billow.llm.canon import canonical, free_values
 from billow.llm.pairs import item_pairs
 from billow.llm.setjoin import similar_pairs, token_sets
 from billow.llm.terms import marks, term_frequencies
@@ -51,6 +53,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_frequencies(spark, folder).filter("mark IS NOT NULL").select("field", "term", "mark")
 
 
+# 4: licences typed freely
+
+
+def typed_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """value: every licence of an artifact and every licence name of a repository, one row an occurrence."""
+    elements = load(spark, folder, "artifacts").select(F.explode("licenses").alias("value"))
+    return elements.unionByName(load(spark, folder, "repositories").select(F.col("license_name").alias("value"))).dropna()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    entries = load(spark, folder, "license_list")
+    values = typed_licenses(spark, folder)
+    counts = values.groupBy("value").agg(F.count("*").alias("n"))
+    free = free_values(values, "value", entries, "license_id", "full_name")
+    return canonical(free, "value", entries, "license_id", "full_name", counts).select("raw_value", F.col("entry").alias("license_id"))
+
+
 # 5: repositories with nearly the same sets
 
 
@@ -77,6 +96,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_pairs(spark, folder).select("type", F.col("item_a").alias("name_a"), F.col("item_b").alias("name_b"))
 
 
+# 7: token ids of every text
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(load(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest and the number of code points of what the ids decode to."""
+    texts = decode_ids(p7_ids(spark, folder), "doc_id", "ids")
+    return texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 FOLD = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '')"
 USED = f"""n AS (SELECT {FOLD.format("name")} AS name, repository_id FROM artifacts),
  used AS (SELECT * FROM n WHERE name IS NOT NULL AND repository_id IS NOT NULL),
@@ -95,9 +127,12 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_frequencies": p3_frequencies,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
 }
 PAIRS = f"""WITH r AS (SELECT DISTINCT type, sbom_commit_sha AS sbom, {FOLD.format("name")} AS name FROM artifacts
    WHERE type <> '' AND coalesce({FOLD.format("sbom_commit_sha")}, '') <> '' AND {FOLD.format("name")} IS NOT NULL),
@@ -123,4 +158,5 @@ SQL = {
  SELECT field, ra AS repository_id_a, rb AS repository_id_b FROM o WHERE k * 5 >= 4 * (na + nb - k)""",
     "p6_found": PAIRS + "SELECT type, item_a AS name_a, item_b AS name_b FROM pairs",
     "p6_pairs": PAIRS + "SELECT * FROM pairs",
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
 }
