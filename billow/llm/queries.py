@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from billow.llm.bpe import decode_ids, encode_texts
 from billow.llm.canon import canonical, free_values
+from billow.llm.leaks import leaks
 from billow.llm.pairs import item_pairs
 from billow.llm.setjoin import similar_pairs, token_sets
+from billow.llm.spam import page_features, stuffed_pages
 from billow.llm.terms import marks, term_frequencies
 from billow.llm.topn import top_n
 from billow.tables import blank, fold, load, newest
@@ -109,6 +111,30 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
 
 
+# 8: evaluation passages in documents
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with each item that it gives away: words of the longest run, and if question and answer are there."""
+    documents, items = load(spark, folder, "documents"), load(spark, folder, "eval_items")
+    return leaks(documents, "doc_id", "text", items, "item_id", "passage", "question", "answer")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_report(spark, folder).select("doc_id", "item_id")
+
+
+# 9: pages of keywords and links
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages(load(spark, folder, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_features(spark: SparkSession, folder: str) -> DataFrame:
+    return page_features(load(spark, folder, "documents"), "doc_id", "text")
+
+
 FOLD = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '')"
 USED = f"""n AS (SELECT {FOLD.format("name")} AS name, repository_id FROM artifacts),
  used AS (SELECT * FROM n WHERE name IS NOT NULL AND repository_id IS NOT NULL),
@@ -133,6 +159,10 @@ QUERIES = {
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_features": p9_features,
 }
 PAIRS = f"""WITH r AS (SELECT DISTINCT type, sbom_commit_sha AS sbom, {FOLD.format("name")} AS name FROM artifacts
    WHERE type <> '' AND coalesce({FOLD.format("sbom_commit_sha")}, '') <> '' AND {FOLD.format("name")} IS NOT NULL),
@@ -144,7 +174,13 @@ PAIRS = f"""WITH r AS (SELECT DISTINCT type, sbom_commit_sha AS sbom, {FOLD.form
    FROM both_ p JOIN total USING (type) JOIN single x ON x.type = p.type AND x.name = item_a JOIN single y ON y.type = p.type AND y.name = item_b
    WHERE "both" >= 5 AND "both" * 100 >= 2 * baskets AND "both" * baskets >= 3 * x.n * y.n)
 """
+RUNS = """WITH {name}_text AS (SELECT {key}, regexp_extract_all(lower(regexp_replace({text}, '[\\x{{AD}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}),
+ {name} AS (SELECT DISTINCT {key}, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM {name}_text WHERE len(w) >= 12))"""
 SQL = {
+    "p8_found": RUNS.format(name="d", key="doc_id", text="text", table="documents")
+    + ", "
+    + RUNS.format(name="i", key="item_id", text="passage", table="eval_items").removeprefix("WITH ")
+    + " SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g",
     "p2_found": f"""WITH {USED}, u AS (SELECT DISTINCT name, repository_id FROM used)
  SELECT name, row_number() OVER (PARTITION BY name ORDER BY stars DESC NULLS LAST, id) AS rank, repository_id
  FROM u JOIN last ON id = repository_id QUALIFY rank <= 5""",
