@@ -24,6 +24,9 @@ NUMBERS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six
 FLAVOURS = {"only": "only", "later": "later", "newer": "later", "above": "later", "higher": "later"}
 FILLERS = ["the", "under", "licensed", "license", "licence", "version", "ver", "or", "any", "and", "clause", "lic", "terms", "released", "this", "software", "is"]
 
+#: Fixed words for kinds of licence: they tell no licence from another by themselves.
+KINDS = frozenset("general public license licence software source community permissive agreement free open documentation lesser library data".split())
+
 
 def edit_bound(length: int) -> int:
     """Edits allowed for a word of that many letters."""
@@ -115,6 +118,8 @@ VERSION_MARK = re.compile(r"(?<=[^\W\d_])v(?=\.?\s*\d)")
 URL = re.compile(r"^(?:[a-z]+://\S+|(?:[\w-]+\.)+[a-z]{2,}/\S+)$")
 SPLIT = re.compile(r"\s*[|;&,]\s*|\s+/\s+|/|\s+(?:and|with)\s+|\s+or\s+(?!(?:any\s+)?(?:[a-z]*\s+)?(?:later|newer|above|higher)\b)|\s+\+\s+")
 
+OR_LATER = re.compile(r"(\d\W+or\W+(?:any\W+)?)([a-z]{3,8})\b")
+
 
 def number(text: str) -> tuple[int, ...]:
     """2.0, 2 and 2.0.0 are the same version."""
@@ -158,7 +163,7 @@ class Matcher:
         for family in self.families:
             for word in family:
                 holders[word].add(family)
-        self.distinctive = {f: {w for w in f if len(holders[w]) == 1} or set(f) for f in self.families}
+        self.distinctive = {f: {w for w in f if len(holders[w]) == 1 and w not in KINDS} or {w for w in f if len(holders[w]) == 1} or set(f) for f in self.families}
         for family, marks in self.distinctive.items():  # words too short to be corrected are not asked for beside longer ones
             self.distinctive[family] = {w for w in marks if len(w) >= 4} or marks
         self.shorts: dict[str, set] = defaultdict(set)
@@ -172,9 +177,9 @@ class Matcher:
                     self.shorts[e.short[0]].add(family)
                     words[e.short[0]] += weight
             initials = "".join(w[0] for w in family)
-            for k in range(len(initials) - 1):
-                if len(initials[k:]) >= 2 and initials[k:] not in words and k >= len(self.distinctive[family]):
-                    words[initials[k:]] += 0
+            names = max((k + 1 for k, w in enumerate(family) if w not in KINDS and len(holders[w]) == 1), default=0)
+            for k in range(max(1, names), len(initials) - 1):
+                words[initials[k:]] += 0
         for word in [*FILLERS, *FLAVOURS, *NUMBERS]:
             words[word] += 0
         self.index = SymmetricDelete(dict(words))
@@ -199,9 +204,10 @@ class Matcher:
                     best[j] = (total, [*words, found[0][2]])
         return best[-1][1] if best[-1] is not None else None
 
-    def read(self, text: str) -> list[tuple[str, object]]:
-        """Tokens as ('word', w), ('number', n), ('plus', None) or ('unknown', t)."""
+    def read(self, text: str) -> tuple[list[tuple[str, object]], dict[str, float]]:
+        """Tokens as ('word', w), ('number', n), ('plus', None) or ('unknown', t), and each word's distance."""
         out: list[tuple[str, object]] = []
+        far: dict[str, float] = {}
         for token in TOKEN.findall(VERSION_MARK.sub(" v ", text)):
             if token == "+":
                 out.append(("plus", None))
@@ -211,26 +217,33 @@ class Matcher:
                 continue
             elif (found := self.index.lookup(token)) and (len(token) >= 4 or found[0][0] == 0 or found[0][2] in FLAVOURS):
                 best = found[0][2]
+                far[best] = min(found[0][0], far.get(best, 9.0))
                 out.append(("number", (NUMBERS[best],)) if best in NUMBERS else ("word", best))
             elif len(token) >= 6 and (words := self.segment(token)):
                 out += [("number", (NUMBERS[w],)) if w in NUMBERS else ("word", w) for w in words]
             else:
                 out.append(("unknown", token))
-        return out
+        return out, far
 
-    def families_in(self, words: set[str]) -> set[tuple]:
+    def families_in(self, words: set[str], far: dict[str, float]) -> set[tuple]:
+        """Families named by their short form or by at least half the letters of their own words. Where several are,
+        one that is read with more corrections than another by half an edit is taken for a chance likeness."""
         found = {f for w in words & set(self.shorts) for f in self.shorts[w]}
-        named = {f for w in words for f in self.of_word.get(w, ()) if self.distinctive[f] <= words}
+        named = {f for w in words for f in self.of_word.get(w, ()) if 2 * sum(map(len, self.distinctive[f] & words)) >= sum(map(len, self.distinctive[f]))}
         if named:
             most = max(sum(w in words for w in f) for f in named)
             shared = [f for f in named if not any(self.distinctive[f] == self.distinctive[g] and f != g for g in named)]
             named = {f for f in named if f in shared or sum(w in words for w in f) == most}
-        return found | named
+        found |= named
+        if len(found) > 1:
+            cost = {f: min(far.get(w, 0.0) for w in words if w in self.distinctive[f] or f in self.shorts.get(w, ())) for f in found}
+            found = {f for f in found if cost[f] <= min(cost.values()) + 0.5}
+        return found
 
     def whole(self, text: str) -> set[str]:
         """Entries that a text without separators names."""
-        tokens = self.read(text)
-        families = self.families_in({w for kind, w in tokens if kind == "word"})
+        tokens, far = self.read(text)
+        families = self.families_in({w for kind, w in tokens if kind == "word"}, far)
         if not families:
             return set()
         if len(families) > 1:
@@ -256,7 +269,8 @@ class Matcher:
         members = self.families[family]
         numbers = {n for kind, n in tokens if kind == "number"}
         words = {w for kind, w in tokens if kind == "word"}
-        flavour = "later" if any(FLAVOURS.get(w) == "later" for w in words) or any(kind == "plus" for kind, _ in tokens) else "only"
+        later = any(FLAVOURS.get(w) == "later" for w in words) or any(kind == "plus" for kind, _ in tokens)
+        flavour = "later" if later else "only"
         flavoured = any(e.flavour for e in members)
         fit = [e for e in members if not flavoured or (e.flavour or "only") == flavour]
         if not numbers:
@@ -271,6 +285,8 @@ class Matcher:
             text = re.sub(r"\.(?:html?|txt|md|php|json|xml)$", "", text)
         if text in self.exact:
             return [self.exact[text]]
+        # After a version and 'or', what is like 'later' is that; else it would be taken for a second licence.
+        text = OR_LATER.sub(lambda m: m[1] + "later" if damerau(m[2], "later", 2) <= 2 else m[0], text)
         parts = [p for p in SPLIT.split(text) if p and p.strip()]
         if len(parts) > 1:
             named = [self.whole(p) for p in parts]
