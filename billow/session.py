@@ -36,10 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     is used. Starts a job. Reliable: the files outlive executors.
     """
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="billow-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="billow-"))
     return df.checkpoint(eager=True)
 
 
