@@ -130,7 +130,7 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
         again = sum(words[t] > 2 for t in tokens)
         wide = len(WIDE.findall(rest))
         piled = separators >= 3 and separators * 4 >= len(tokens) or wide >= 4 and separators * 6 >= wide
-        if piled or (len(tokens) >= 2 and again * 2 >= len(tokens)):
+        if piled or (tokens and again * 2 >= len(tokens)):
             sums["keyword"] += size
         else:
             sums["other"] += size

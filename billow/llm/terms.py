@@ -10,70 +10,56 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUNS = "field string, term string, occurrences bigint, records bigint, first_record bigint, last_record bigint, part int"
+RUNS = "field string, term string, occurrences bigint, records bigint"
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal (field, term) in rows sorted by field, term, record: one row a run, with its rows, the number of
-    different records and the first and last of them. A run goes on over the border of batches."""
-    names = [part.split()[0] for part in RUNS.split(", ")]
-    held: list | None = None
+    """Runs of equal (field, term) in sorted rows (field, term, n): one row a run with the sum of n and the number of
+    rows. A run goes on over the border of batches; only the last run of a batch is held back."""
+    names = ["field", "term", "occurrences", "records"]
+    held: tuple[str, str, int, int] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        field, term, record, part = (batch.column(i) for i in range(4))
-        ids = record.to_numpy(zero_copy_only=False)
-        new_term = np.ones(len(ids), bool)
-        new_record = np.ones(len(ids), bool)
-        if len(ids) > 1:
-            new_term[1:] = pc.or_(pc.not_equal(field[1:], field[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
-            new_record[1:] = new_term[1:] | (ids[1:] != ids[:-1])
-        starts = np.flatnonzero(new_term)
-        ends = np.append(starts[1:], len(ids))
-        counts = np.add.reduceat(new_record.astype(np.int64), starts)
-        runs = [pc.take(field, pa.array(starts)), pc.take(term, pa.array(starts)), ends - starts, counts, ids[starts], ids[ends - 1], part[0].as_py()]
-        first = [runs[0][0].as_py(), runs[1][0].as_py(), *(int(x[0]) for x in runs[2:6])]
-        last = [runs[0][-1].as_py(), runs[1][-1].as_py(), *(int(x[-1]) for x in runs[2:6])]
-        emit: list[list] = []
-        begin, end = 0, len(starts)
-        if held is not None and held[:2] == first[:2]:
-            first = [*held[:2], held[2] + first[2], held[3] + first[3] - (held[5] == first[4]), held[4], first[5]]
-            begin = 1
-            if end == 1:
-                held = first
-                continue
-            emit.append(first)
+        field, term, n = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+        begins = np.ones(len(n), bool)
+        begins[1:] = pc.or_(pc.not_equal(field[1:], field[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(begins)
+        sums, sizes = np.add.reduceat(n, starts), np.diff(np.append(starts, len(n)))
+        first = (field[starts[0]].as_py(), term[starts[0]].as_py())
+        out = []
+        if held is not None and held[:2] == first:
+            sums[0] += held[2]
+            sizes[0] += held[3]
         elif held is not None:
-            emit.append(held)
-        held, end = last, end - 1
-        middle = [x[begin:end] for x in runs[:6]]
-        out = [pa.array([e[i] for e in emit], pa.string()) for i in (0, 1)] + [pa.array([e[i] for e in emit], pa.int64()) for i in (2, 3, 4, 5)]
-        columns = [pa.concat_arrays([a, m if isinstance(m, pa.Array) else pa.array(m, pa.int64())]) for a, m in zip(out, middle, strict=True)]
-        yield pa.record_batch([*columns, pa.array(np.full(len(columns[0]), runs[6], np.int32))], names)
+            out.append(held)
+        at = pa.array(starts[:-1])
+        held = (field[starts[-1]].as_py(), term[starts[-1]].as_py(), int(sums[-1]), int(sizes[-1]))
+        before = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+        within = [pc.take(field, at), pc.take(term, at), pa.array(sums[:-1], pa.int64()), pa.array(sizes[:-1], pa.int64())]
+        yield pa.record_batch([pa.concat_arrays(x) for x in zip(before, within, strict=True)], names)
     if held is not None:
-        yield pa.record_batch([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.string()), *(pa.array([x], pa.int64()) for x in held[2:6]), pa.array([part[0].as_py()], pa.int32())], names)
+        yield pa.record_batch([pa.array([x]) for x in held], names)
 
 
 def term_frequencies(pairs: DataFrame, field: str, term: str, record: str) -> DataFrame:
     """field, term, occurrences, records: how often each term occurs and in how many different records.
 
     Null terms, null records and null fields are left out; repeated rows count as occurrences; an empty input gives an
-    empty result. The record is a bigint. Other columns are ignored.
+    empty result. Other columns are ignored.
 
-    Pairs are split by range of (field, term, record, salt) and each range is sorted, spilling to disk if need be, so
-    a hot term, even a hot pair, covers several ranges instead of one. Runs are scanned batch by batch in constant
-    memory. What crosses ranges is one row a run; a record cut by a border of ranges is counted once, because the run
-    before ends with the record that the run after begins with.
+    Equal rows are counted in each task before anything is sent, so copies, however many, become one row with their
+    number. The distinct pairs are split by range of (field, term, record) and each range is sorted, spilling to disk
+    if need be: a hot term covers as many ranges as its records ask for. Runs are scanned batch by batch in constant
+    memory; a term that goes over the border of ranges gives a row in each, and these few are added. Nothing here
+    depends on the order or place of rows, so a stage that is run again after a loss gives the same.
     """
-    rows = pairs.select(F.col(f"`{field}`").alias("field"), F.col(f"`{term}`").alias("term"), F.col(f"`{record}`").cast("bigint").alias("record")).dropna()
-    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int"))
+    rows = pairs.select(F.col(f"`{field}`").alias("field"), F.col(f"`{term}`").alias("term"), F.col(f"`{record}`").alias("record")).dropna()
+    counted = rows.groupBy("field", "term", "record").agg(F.count("*").alias("n"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = salted.repartitionByRange(parts, "field", "term", "record", "salt").sortWithinPartitions("field", "term", "record")
-    runs = ranged.select("field", "term", "record", F.spark_partition_id().alias("part")).mapInArrow(scan_runs, RUNS)
-    pieces = F.sort_array(F.collect_list(F.struct("part", "first_record", "last_record")))
-    merged = runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), pieces.alias("pieces"))
-    cut = F.expr("size(filter(sequence(1, size(pieces) - 1), k -> pieces[k].first_record = pieces[k - 1].last_record))")
-    return merged.select("field", "term", "occurrences", (F.col("records") - F.when(F.size("pieces") > 1, cut).otherwise(0)).cast("bigint").alias("records"))
+    ranged = counted.repartitionByRange(parts, "field", "term", "record").sortWithinPartitions("field", "term", "record")
+    runs = ranged.select("field", "term", "n").mapInArrow(scan_runs, RUNS)
+    return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marks(frequencies: DataFrame, sizes: DataFrame, least: int = 3, most: tuple[int, int] = (20, 100)) -> DataFrame:
