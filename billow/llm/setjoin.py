@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billow.session import cut
+
 
 def token_sets(pairs: DataFrame, record: str, token: str) -> DataFrame:
     """record, tokens: the distinct tokens of each record as whole numbers, rarest first in the whole collection.
@@ -92,9 +94,12 @@ def similar_pairs(sets: DataFrame, share: tuple[int, int] = (4, 5), least: int =
     pairs that come out, no more. Classes emit combinations of the tokens of an extended prefix, chosen by size class
     (see `prefix_lengths`); two similar sets share the first of them for certain. The smaller set's class is where a
     pair meets, so each pair is joined in one class only. Candidates are made distinct, then checked on whole sets.
+
+    The sets are written to the checkpoint folder first: they are read several times, and the numbers of their tokens
+    must be the same each time.
     An empty input gives an empty result; a record with a null or empty set pairs with none.
     """
-    rows = sets.filter(F.size("tokens") >= max(1, least))
+    rows = cut(sets.filter(F.size("tokens") >= max(1, least)))
     classes = rows.groupBy("tokens").agg(F.min("record").alias("rep"), F.count("*").alias("members"))
     lengths = prefix_lengths(classes.select("rep", "tokens"), share)
     pick = F.lit(1)
