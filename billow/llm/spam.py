@@ -26,6 +26,11 @@ FUNCTION_WORDS = {
     "el": "ο η το οι τα του της των και να με σε για από που δεν είναι στο στη στην κάθε θα τον την",
 }
 WORDS = {language: frozenset(text.split()) for language, text in FUNCTION_WORDS.items()}
+#: Each function word with its languages, so that a token is looked up once.
+LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _language, _words in WORDS.items():
+    for _word in _words:
+        LANGUAGES_OF[_word] = (*LANGUAGES_OF.get(_word, ()), _language)
 CHINESE = re.compile("的|了|是|在|请|我们|从|将|之后|如果|为|与|和|时|已|被|也|就|都|还|把|或|需要|這|这|该")
 KANA = re.compile("[ぁ-ゖ]")
 HANGUL = re.compile("[가-힣](?:는|은|을|를|이|가|에|의|로|다|고|어)(?=$|[^가-힣])")
@@ -33,6 +38,7 @@ ARABIC, HAN, WIDE = re.compile(r"[؀-ۿ]+"), re.compile("[一-鿿]"), re.compile
 
 URL = r"(?:https?://|www\.)[^\s<>\"'）)|,;，；]+"
 LINK = re.compile(rf"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|<{URL}>|{URL}", re.I)
+LINKED = re.compile(r"://|www\.|\]\(|</a>", re.I)
 TAG = re.compile(r"(?<![\w&/])#[^\s#,;|]+")
 MARKUP = re.compile(r"</?[a-z][^>]{0,200}>", re.I)
 FENCE = re.compile(r"^\s*(?:```|~~~)")
@@ -52,7 +58,11 @@ def mass(text: str) -> int:
 
 def shares(tokens: list[str]) -> dict[str, float]:
     """The share of function words in each language that has any."""
-    return {language: n / len(tokens) for language, words in WORDS.items() if (n := sum(t in words for t in tokens))}
+    counts: dict[str, int] = {}
+    for token in tokens:
+        for language in LANGUAGES_OF.get(token, ()):
+            counts[language] = counts.get(language, 0) + 1
+    return {language: n / len(tokens) for language, n in counts.items()}
 
 
 def tokens_of(text: str) -> list[str]:
@@ -61,13 +71,13 @@ def tokens_of(text: str) -> list[str]:
 
 def is_sentence(rest: str, tokens: list[str], least: dict[str, float]) -> bool:
     """Do the words of a segment, without its links and tags, hold together as a sentence of any language?"""
-    if WIDE.search(rest):
+    if not rest.isascii() and WIDE.search(rest):
         kana, hangul, han = len(KANA.findall(rest)), len(HANGUL.findall(rest)), len(HAN.findall(rest))
         if kana >= 3 and kana * 6 >= han or hangul >= 2:
             return True
         if han >= 4:
             return len(CHINESE.findall(rest)) >= max(1, least["zh"] * han) and len(WIDE_SEPARATOR.findall(rest)) * 8 <= han
-    if len(ARABIC.findall(rest)) >= 3:
+    if not rest.isascii() and len(ARABIC.findall(rest)) >= 3:
         return len(SEPARATOR.findall(rest)) * 3 <= len(tokens)
     if len(tokens) < 3:
         return False
@@ -105,12 +115,12 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
             size = mass(segment)
             if not size:
                 continue
-            bare = LINK.sub(" ", segment)
-            links = len(LINK.findall(segment))
-            link_mass = size - mass(bare)
-            rest = TAG.sub(" ", bare)
-            tag_mass = mass(bare) - mass(rest)
-            rest = MARKUP.sub(" ", rest)
+            bare, links = LINK.subn(" ", segment) if LINKED.search(segment) else (segment, 0)
+            link_mass = size - mass(bare) if links else 0
+            rest, tags = TAG.subn(" ", bare) if "#" in bare else (bare, 0)
+            tag_mass = mass(bare) - mass(rest) if tags else 0
+            if "<" in rest:
+                rest = MARKUP.sub(" ", rest)
             tokens = tokens_of(rest)
             words.update(tokens)
             pairs.update(zip(tokens, tokens[1:]))
@@ -118,7 +128,7 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
                 sums["sentence"] += size
             elif links and (link_mass * 3 >= size or len(tokens) <= 4 * links):
                 sums["link"] += size
-            elif tag_mass * 2 >= size and len(TAG.findall(bare)) > 1:
+            elif tag_mass * 2 >= size and tags > 1:
                 sums["tag"] += size
             elif CODE.search(segment):
                 sums["other"] += size
@@ -144,10 +154,10 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
 
 def main_language(text: str) -> tuple[str, float]:
     """The language with most function words on a page, and their share (zh: of its Chinese characters)."""
-    han = len(HAN.findall(text))
+    han = 0 if text.isascii() else len(HAN.findall(text))
     if han >= 20 and not len(KANA.findall(text)) * 6 >= han:
         return "zh", len(CHINESE.findall(text)) / han
-    tokens = tokens_of(LINK.sub(" ", text))
+    tokens = tokens_of(LINK.sub(" ", text) if LINKED.search(text) else text)
     best = max(shares(tokens).items(), key=lambda x: x[1], default=("", 0.0)) if tokens else ("", 0.0)
     return best
 
