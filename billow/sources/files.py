@@ -43,8 +43,8 @@ def ledger(rows: DataFrame) -> DataFrame:
 
 
 def failed_lines(rows: DataFrame) -> DataFrame:
-    """lines, failed: how many lines there are and how many are no object."""
-    return rows.agg(F.count("*").alias("lines"), F.count(BAD).alias("failed"))
+    """lines, failed, keyed: how many lines there are, how many are no object, how many have the first field (the key)."""
+    return rows.agg(F.count("*").alias("lines"), F.count(BAD).alias("failed"), F.count(rows.columns[0]).alias("keyed"))
 
 
 def repository_rows(rows: DataFrame, loaded: Column) -> DataFrame:

@@ -30,8 +30,8 @@ def ledger_file(tmp_path):
 
 
 def test_ledger(spark, ledger_file, tmp_path):
-    raw = files.json_lines(spark, ledger_file).cache()
-    assert rows(files.failed_lines(raw)) == [(4, 1)]
+    raw = files.json_lines(spark, ledger_file)
+    assert rows(files.failed_lines(raw)) == [(4, 1, 3)]
     clean = files.ledger(raw)
     assert rows(clean.select("id", "owner", "repo", "stars", "default_branch", "license_spdx_id")) == [(1, "later", "x", None, "main", ""), (1, "me", "one", 5, "main", "MIT"), (2, "you", "two", 7, "dev", "")]
     table = {r.owner: r for r in files.repository_rows(clean, now()).collect()}
