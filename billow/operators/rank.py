@@ -35,3 +35,8 @@ def merged(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataF
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in `seen`; a null key is never seen."""
     return df.join(seen.select(F.col(key).alias("__key")).distinct(), F.col(key) == F.col("__key"), "left_anti")
+
+
+def latest_value(df: DataFrame, group: list[str], value: str, order: list[Column], alias: str) -> DataFrame:
+    """One row a group with the value of its last row by `order`; a partial aggregate."""
+    return df.groupBy(*group).agg(F.max_by(value, F.struct(*order)).alias(alias))

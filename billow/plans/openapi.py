@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billow.dims import HEAVY_DIRECTORIES, HEAVY_EXTENSIONS, IGNORED_DIRECTORIES, IGNORED_PARTS, METHODS, OPENAPI_FILES
@@ -103,6 +103,11 @@ def candidate_stats(found: DataFrame, totals: DataFrame) -> DataFrame:
     return sums.select(F.coalesce("framework", F.lit("TOTAL")).alias("framework"), *[F.coalesce(c, F.lit(0)).alias(c) for c in sums.columns[1:]], percent(F.col("matched"), F.col("total")).alias("percentage"))
 
 
+def distinct_projects(found: DataFrame) -> DataFrame:
+    """projects: how many different repositories the candidates of all frameworks are."""
+    return found.agg(F.count_distinct("owner", "repo").alias("projects"))
+
+
 def spec_endpoints(specs: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, method, path: the endpoints of API descriptions in JSON text, made equal to compare; distinct.
 
@@ -158,6 +163,12 @@ def context_fit(stats: DataFrame, windows: DataFrame, models: list[str]) -> Data
     return stats.join(F.broadcast(table)).select(*stats.columns, *[(F.col("tokens") <= F.try_element_at("__sizes", F.lit(m))).alias(m) for m in models])
 
 
+def plotted(rows: DataFrame, group: list[str], at: str, least: int = 2) -> DataFrame:
+    """The rows of groups with at least `least` of them, with step, their number in order of time: what a chart needs."""
+    by = Window.partitionBy(*group)
+    return rows.withColumn("__n", F.count("*").over(by)).filter(F.col("__n") >= least).withColumn("step", F.row_number().over(by.orderBy(at))).drop("__n")
+
+
 def tree_sizes(files: DataFrame, group: list[str], path: str = "path", size: str = "length") -> DataFrame:
     """group, total, kept, saved_percent: bytes of all files, of those left without heavy directories and extensions,
     and what leaving them out saves."""

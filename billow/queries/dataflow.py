@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billow.dims import LANGUAGES, manifests
+from billow.dims import CATEGORIES, LANGUAGES, manifests
 from billow.functions.scalars import lines_of_code
 from billow.operators import sets
-from billow.operators.rank import keep_first, merged, top_per_group, unseen
-from billow.plans import collect, openapi
+from billow.operators.rank import keep_first, latest_value, merged, top_per_group, unseen
+from billow.plans import classify, collect, openapi
 from billow.plans.export import projects
-from billow.queries.warehouse import FINAL, PROJECTS, warehouse
+from billow.queries.warehouse import CANDIDATES, FINAL, PROJECTS, warehouse
 from billow.tables import load
 
 DIRECTORIES = ["", "docs/", "api/v1/", "tests/", "my-test/", "examples_old/", "Spec/"]
@@ -163,12 +163,36 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "documents").select("doc_id", lines_of_code(F.col("text")).alias("lines"))
 
 
+def distinct_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return openapi.distinct_projects(openapi.candidates(warehouse(spark, folder)))
+
+
+def last_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of the last row of each owner, by time, then id."""
+    rows = load(spark, folder, "repositories").select("owner", "id", F.coalesce("language", F.lit("")).alias("language"), "updated_at")
+    return latest_value(rows, ["owner"], "language", [F.col("updated_at"), F.col("id"), F.col("language")], "language")
+
+
+def classification_flat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = warehouse(spark, folder).final("repositories", "id", "owner", "repo", "stars", "language", "topics", "description", "default_branch", "latest_release_tag", "pushed_at")
+    kinds = F.element_at(F.array(*map(F.lit, [*CATEGORIES, "Web Library"])), (F.col("id") % 9 + 1).cast("int"))
+    said = rows.select("id", "owner", "repo", "stars", "language", "topics", "description", "default_branch", F.col("latest_release_tag").alias("latest_release"), kinds.alias("category"), F.array(F.lit("a"), F.lit("b")).alias("tags"), F.lit("zh").alias("description_zh"), F.lit(None).cast("string").alias("description_en"), F.lit("r").alias("reasoning"), F.col("pushed_at").alias("analyzed_at"))
+    found = warehouse(spark, folder).repository_frameworks().withColumn("priority", F.lit(0))
+    return classify.flat(said, found)
+
+
+def release_steps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = warehouse(spark, folder).final("releases", "repository_id", "tag_name", "published_at")
+    return openapi.plotted(rows.groupBy("repository_id", "published_at").agg(F.count("*").alias("n")), ["repository_id"], "published_at", 3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ledger_keep_first, incremental_new_ids, metadata_merge, release_merge, latest_stable, release_summary, ref_resolution, manifest_cross, topn_per_framework,
         openapi_file_filter, best_openapi_file, best_spec_by_size, spec_endpoints, list_paths, endpoint_union, endpoint_intersect, endpoint_missing,
         drift_metrics, repo_token_stats, context_fit, tree_size_saved, content_hash, document_lines,
+        distinct_candidates, last_language, classification_flat, release_steps,
     )
 }
 
@@ -187,7 +211,17 @@ STATS = f"""WITH {TREE}, stats AS (SELECT repository_id,
    FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS u FROM t WHERE NOT (path LIKE 'tests/%')) GROUP BY repository_id)"""
 STABLE = "NOT is_prerelease AND NOT is_draft"
 ORDER = "coalesce(published_at, created_at) DESC NULLS LAST, tag_name"
+KIND = "list_extract([" + ", ".join(f"'{c}'" for c in [*CATEGORIES, "Other"]) + "], CAST(id % 9 + 1 AS INT))"
 SQL = {
+    "distinct_candidates": FINAL + CANDIDATES + "SELECT count(DISTINCT (owner, repo)) AS projects FROM found",
+    "last_language": "SELECT owner, coalesce(language, '') AS language FROM repositories QUALIFY row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC NULLS LAST, id DESC, coalesce(repositories.language, '') DESC) = 1",
+    "classification_flat": FINAL + f""", w AS (SELECT repository_id, framework, version FROM a JOIN p ON name = package_name WHERE usage = 'core' AND name <> ''
+        QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY framework, version) = 1)
+        SELECT id, owner, repo, {KIND} AS category, {KIND} = 'Web Application' AS is_web_application, {KIND} = 'Web Framework' AS is_web_framework, CASE WHEN {KIND} = 'Web Framework' THEN repo ELSE coalesce(framework, '') END AS framework,
+        coalesce(version, '') AS framework_version, stars, 'zh' AS description_zh, '' AS description_en, language, coalesce(array_to_string([x FOR x IN topics IF x IS NOT NULL], ', '), '') AS topics,
+        CASE WHEN {KIND} = 'Web Application' THEN 'a, b' ELSE '' END AS tags, description, default_branch, latest_release_tag AS latest_release, 'r' AS reasoning, pushed_at AS analyzed_at FROM r LEFT JOIN w ON w.repository_id = r.id""",
+    "release_steps": FINAL + """, d AS (SELECT repository_id, published_at, count(*) AS n FROM l GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY published_at) AS step FROM d QUALIFY count(*) OVER (PARTITION BY repository_id) >= 3""",
     "ledger_keep_first": "SELECT owner, repo, id, stars FROM repositories QUALIFY row_number() OVER (PARTITION BY owner, repo ORDER BY updated_at ASC NULLS LAST, id NULLS FIRST, stars NULLS FIRST, license_name NULLS FIRST) = 1",
     "incremental_new_ids": "SELECT DISTINCT repository_id FROM artifacts WHERE repository_id IS NOT NULL AND repository_id NOT IN (SELECT id FROM repositories WHERE id IS NOT NULL)",
     "metadata_merge": f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at NULLS LAST, {", ".join(c + " NULLS FIRST" for c in MERGED)}) AS first,
