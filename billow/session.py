@@ -48,3 +48,13 @@ def bounded(df: DataFrame, limit: int) -> list | None:
     """The rows of df if there are at most `limit` of them, else None. Starts a job that stops after limit + 1 rows."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, split by a unique key over all cores if it comes in fewer parts than there are cores, else as it is.
+
+    For steps whose work a row is far more than moving it: a small table in one file would run on one core. A large
+    table comes in many parts and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
