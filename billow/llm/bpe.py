@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billow.session import spread
+
 #: How the vocabulary splits a text before merging; fixed by the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A vocabulary file that may be sent to every task.
@@ -223,10 +225,11 @@ def encode_texts(documents: DataFrame, key: str, text: str, path: str | None = N
     """key, ids: one row a row of `documents`, with the token ids of its whole text; [] for null and ''.
 
     The vocabulary file (at most FILE_LIMIT bytes) is read on the driver and broadcast, so executors need no copy.
-    A map over Arrow batches: no shuffle, and memory for one batch beside the transducer.
+    A map over Arrow batches, with memory for one batch beside the transducer; no shuffle, but for tables in fewer parts
+    than there are cores.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
-    rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = spread(documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(shared.value)

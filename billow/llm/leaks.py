@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billow.session import bounded
+from billow.session import bounded, spread
 
 #: Test items that a task may hold as an index.
 ITEM_LIMIT = 20_000
@@ -141,13 +141,15 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
 
     Null, empty and blank texts and passages give no row, nor do passages under `run` words. Items with a null id are
     left out; keys must be unique. At most ITEM_LIMIT items, else an error: held-out tests do not grow with the
-    corpus. The index is built once on the driver and broadcast. Documents pass through one map, no shuffle.
+    corpus. The index is built once on the driver and broadcast. Documents pass through one map; they are moved only if they come in fewer
+    parts than there are cores.
     """
     listed = bounded(items.select(F.col(item).alias("i"), F.col(passage).alias("p"), F.col(question).alias("q"), F.col(answer).alias("a")).filter("i IS NOT NULL").distinct(), ITEM_LIMIT)
     if listed is None:
         raise ValueError(f"more than {ITEM_LIMIT} test items")
     shared = documents.sparkSession.sparkContext.broadcast(Index([(r["i"], r["p"], r["q"], r["a"]) for r in listed], run))
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
+    rows = spread(rows, "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value

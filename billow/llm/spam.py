@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billow.session import spread
+
 #: Fixed function words by language; a language without word borders has characters instead.
 FUNCTION_WORDS = {
     "en": "the a an and or of to in is are was were be been has have had for with on that this these those it its by from as at not but if you your we our they their i can will would when than there then which who what so no only also into out up about per because before after until while between both each every any some isn't don't hasn't hadn't didn't won't i've we've there's it's",
@@ -167,13 +169,13 @@ def main_language(text: str) -> tuple[str, float]:
 PART, FLOOR, CEILING, ENOUGH = 0.25, 0.05, 0.12, 50
 
 
-def calibrated(documents: DataFrame, text: str) -> dict[str, float]:
+def calibrated(documents: DataFrame, key: str, text: str) -> dict[str, float]:
     """The least share of function words in a sentence, by language, from the median over all pages of the language.
 
     Starts a job: one map over all texts and one row a language to the driver. Pages of keywords hold few function
     words and pull a median down a little, never up; a quarter of it stays far below real sentences.
     """
-    rows = documents.select(F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
+    rows = spread(documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "key").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +196,8 @@ KINDS = ["sentence", "link", "tag", "keyword", "other", "top_word", "repeated_pa
 
 def page_features(documents: DataFrame, key: str, text: str) -> DataFrame:
     """key and the shares of `page_shares` for every text that is not null or blank. No shuffle but for calibration."""
-    least = calibrated(documents, text)
-    rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
+    least = calibrated(documents, key, text)
+    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
