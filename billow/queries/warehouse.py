@@ -107,6 +107,15 @@ def found_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return candidates(warehouse(spark, folder), base="https://code.example/")
 
 
+def generation_command(spark: SparkSession, folder: str) -> DataFrame:
+    """The command of the first dependency that has one; here every second package for descriptions has."""
+    packages = load(spark, folder, "framework_packages").filter("usage = 'openapi' AND length(package_name) % 2 = 0")
+    commands = packages.select("framework", F.col("package_name").alias("dependency"), F.concat(F.lit("make "), "package_name").alias("command"))
+    fallback = load(spark, folder, "framework_packages").select("framework", F.col("framework").alias("dependency"), F.concat(F.lit("run "), "framework").alias("command")).distinct()
+    found = candidates(warehouse(spark, folder), commands=commands.unionByName(fallback))
+    return found.select("framework", "owner", "repo", "matched_dependencies", "generation_command")
+
+
 def candidate_stats_total(spark: SparkSession, folder: str) -> DataFrame:
     house = warehouse(spark, folder)
     totals = house.framework_stats().groupBy("framework").agg(F.sum("repositories").alias("total"))
@@ -174,6 +183,7 @@ QUERIES = {
     "export_projects": export_projects,
     "export_web_only": export_web_only,
     "candidates": found_candidates,
+    "generation_command": generation_command,
     "candidate_stats_total": candidate_stats_total,
     "adhoc_sql": adhoc_sql,
 }
@@ -197,6 +207,8 @@ SQL = {
     "export_projects": FINAL + PROJECTS + "SELECT * FROM projects",
     "export_web_only": FINAL + PROJECTS + "SELECT * FROM projects WHERE framework <> ''",
     "candidates": FINAL + CANDIDATES + "SELECT language, framework, framework_version, owner, repo, stars, default_branch, latest_release, commit_sha, url, openapi_file, openapi_url, matched_dependencies, has_openapi_file, has_openapi_deps, generation_command FROM found",
+    "generation_command": FINAL + CANDIDATES + """SELECT framework, owner, repo, matched_dependencies,
+      coalesce('make ' || list_extract([d FOR d IN string_split(matched_dependencies, ';') IF length(d) % 2 = 0], 1), 'run ' || framework) AS generation_command FROM found""",
     "candidate_stats_total": FINAL + CANDIDATES + USED + """, t AS (SELECT framework, CAST(sum(repositories) AS BIGINT) AS total FROM fs GROUP BY framework), m AS (SELECT framework, count(*) AS n FROM found GROUP BY framework),
       z AS (SELECT t.framework, total, coalesce(n, 0) AS matched FROM t LEFT JOIN m ON m.framework = t.framework),
       g AS (SELECT coalesce(framework, 'TOTAL') AS framework, CAST(sum(total) AS BIGINT) AS total, CAST(sum(matched) AS BIGINT) AS matched FROM z GROUP BY ROLLUP (framework))
