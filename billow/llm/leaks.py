@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from billow.session import bounded, spread
 
-#: Test items that a task may hold as an index.
+#: Test items that a task holds as one index.
 ITEM_LIMIT = 20_000
 #: Words of a training passage, and of items in a block of the index.
 PASSAGE, BLOCK = 32, 16
@@ -140,16 +141,26 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     each `run` words of it are in the passage), and whether the text also holds the question and the answer.
 
     Null, empty and blank texts and passages give no row, nor do passages under `run` words. Items with a null id are
-    left out; keys must be unique. At most ITEM_LIMIT items, else an error: held-out tests do not grow with the
-    corpus. The index is built once on the driver and broadcast. Documents pass through one map; they are moved only if they come in fewer
-    parts than there are cores.
+    left out; keys must be unique. The index is built on the driver and broadcast. Items beyond ITEM_LIMIT are indexed in
+    several slices by their id, each with a broadcast and a pass over the documents of its own. Documents pass through
+    maps; they are moved only if they come in fewer parts than there are cores.
     """
-    listed = bounded(items.select(F.col(item).alias("i"), F.col(passage).alias("p"), F.col(question).alias("q"), F.col(answer).alias("a")).filter("i IS NOT NULL").distinct(), ITEM_LIMIT)
-    if listed is None:
-        raise ValueError(f"more than {ITEM_LIMIT} test items")
-    shared = documents.sparkSession.sparkContext.broadcast(Index([(r["i"], r["p"], r["q"], r["a"]) for r in listed], run))
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
     rows = spread(rows, "key")
+    wanted = items.select(F.col(item).alias("i"), F.col(passage).alias("p"), F.col(question).alias("q"), F.col(answer).alias("a")).filter("i IS NOT NULL").distinct()
+    listed = bounded(wanted, ITEM_LIMIT)
+    if listed is not None:
+        found = search_items(rows, listed, run)
+    else:
+        slices = -(-2 * wanted.count() // ITEM_LIMIT)
+        parts = [search_items(rows, wanted.filter(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).collect(), run) for k in range(slices)]
+        found = reduce(DataFrame.unionByName, parts)
+    return found.dropDuplicates(["key", "item"]).select(F.col("key").alias(key), F.col("item").alias(item), "words", "question", "answer")
+
+
+def search_items(rows: DataFrame, listed: list, run: int) -> DataFrame:
+    """FOUND for rows(key, text) and the items listed as rows (i, p, q, a)."""
+    shared = rows.sparkSession.sparkContext.broadcast(Index([(r["i"], r["p"], r["q"], r["a"]) for r in listed], run))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -167,4 +178,4 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["key", "item", "words", "question", "answer"])
 
-    return rows.mapInArrow(search, FOUND).dropDuplicates(["key", "item"]).select(F.col("key").alias(key), F.col("item").alias(item), "words", "question", "answer")
+    return rows.mapInArrow(search, FOUND)

@@ -59,7 +59,9 @@ def test_encode_texts(spark, machine):
 PASSAGE = "The quick brown fox jumps over the lazy dog while seven grey wolves watch from the old stone bridge near Velora"
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_leaks(spark, monkeypatch, limit):
+    monkeypatch.setattr(leaks, "ITEM_LIMIT", limit)
     words = PASSAGE.split()
     docs = {
         1: "Intro text. " + PASSAGE + " and more",
