@@ -56,7 +56,10 @@ def eager_join(left: DataFrame, right: DataFrame, left_on: F.Column, right_on: F
 def heavy(counts: DataFrame, key: str, n: str, share: tuple[int, int] = (3, 100)) -> DataFrame:
     """The rows of `counts` whose n is at least share[0]/share[1] of the sum of n; null keys count in the sum only.
 
-    The sum is one row, so it is joined as a broadcast. Exact: whole numbers only.
+    The sum is one row, so it is joined as a broadcast. Exact: whole numbers only. The test is one expression that
+    Catalyst cannot take apart: a filter on the key pushed to the scan of one branch would keep the two branches from
+    sharing their exchanges, and everything below would be read and sent twice.
     """
     total = counts.agg(F.sum(n).alias("__total"))
-    return counts.join(F.broadcast(total)).filter(F.col(key).isNotNull() & (F.col(n) * share[1] >= F.col("__total") * share[0])).drop("__total")
+    large = F.when(F.col(key).isNull(), F.lit(False)).otherwise(F.col(n) * share[1] >= F.col("__total") * share[0])
+    return counts.join(F.broadcast(total)).filter(large).drop("__total")
