@@ -62,7 +62,8 @@ def item_pairs(rows: DataFrame, space: str, basket: str, item: str, least: int =
     that are not dense are counted by hash, basket by basket; a basket of more than `wide` such items is not
     expanded but goes through a bit matrix of its own, so no basket is ever expanded without bound.
     """
-    clean = rows.select(F.col(f"`{space}`").alias("space"), F.col(f"`{basket}`").alias("basket"), F.col(f"`{item}`").alias("name")).dropna().distinct()
+    clean = rows.select(F.col(f"`{space}`").alias("space"), F.col(f"`{basket}`").alias("basket"), F.col(f"`{item}`").alias("name"))
+    clean = clean.filter("space IS NOT NULL AND basket IS NOT NULL AND name IS NOT NULL").distinct()
     spaces = clean.select("space", "basket").distinct().groupBy("space").agg(F.count("*").alias("baskets"))
     frequent = (
         clean.groupBy("space", "name").agg(F.count("*").alias("n")).join(spaces, "space")
