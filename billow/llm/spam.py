@@ -26,6 +26,9 @@ FUNCTION_WORDS = {
     "tr": "ve bir bu için ile de da olarak olan gibi daha çok ama her veya değil",
     "ru": "и в во на с со для по из не что это как к от за до при или но бы был была были его их мы вы он она оно они если уже еще только",
     "el": "ο η το οι τα του της των και να με σε για από που δεν είναι στο στη στην κάθε θα τον την",
+    "ar": "في من على إلى الى عن مع هذا هذه ذلك تلك التي الذي الذين أن إن لا ما لم لن كان كانت يكون هو هي هم و أو ثم قد بعد قبل عند كل بين حتى إذا كما لكن أي يتم تم غير منذ حيث عندما ولا وفي ومن",
+    "fa": "و در به از که این را با است برای آن یک تا بر هم نیز می شود شده شد بود هر یا اگر ما نمی باید کرد کند هستند پس پیش",
+    "ur": "کے کی کا میں ہے اور سے کو پر ہیں یہ نے کہ اس ایک تھا تھی بھی نہیں ہو کر یا جو تو اگر بعد لیے گیا",
 }
 WORDS = {language: frozenset(text.split()) for language, text in FUNCTION_WORDS.items()}
 #: Each function word with its languages, so that a token is looked up once.
@@ -34,9 +37,14 @@ for _language, _words in WORDS.items():
     for _word in _words:
         LANGUAGES_OF[_word] = (*LANGUAGES_OF.get(_word, ()), _language)
 CHINESE = re.compile("的|了|是|在|请|我们|从|将|之后|如果|为|与|和|时|已|被|也|就|都|还|把|或|需要|這|这|该")
-KANA = re.compile("[ぁ-ゖ]")
-HANGUL = re.compile("[가-힣](?:는|은|을|를|이|가|에|의|로|다|고|어)(?=$|[^가-힣])")
-ARABIC, HAN, WIDE = re.compile(r"[؀-ۿ]+"), re.compile("[一-鿿]"), re.compile("[一-鿿ぁ-ヿ가-힣]")
+KANA, HANGUL = re.compile("[ぁ-ゖ]"), re.compile("[가-힣]+")
+#: Particles and verb endings. `の` and the endings that Korean nouns share (가, 고, 어, 이, 의, 로) say nothing of a sentence.
+JAPANESE = re.compile(r"(?<=\w)(?:は(?!じ)|が|を)|です|ます|ました|ません|ください|して|した|する|され|から|まで|では|には|ない|れば|ので")
+KOREAN = re.compile("[가-힣](?:는|은|을|를|에서|에게|으로|까지|부터|보다|니다|니까|세요|시오|어요|아요|해요|했다|한다|된다|있다|없다|이다|였다|하는|하고|되어|해서|하여|하면|되면|지만)(?=$|[^가-힣])")
+#: The Arabic article is a prefix, with or without a conjunction or preposition before it.
+ARABIC, ARTICLE = re.compile(r"[ء-ۿ]+"), re.compile(r"(?<![ء-ۿ])[وف]?(?:ال|بال|كال|لل)[ء-ۿ]{2,}")
+SCRIPT = {"ru": "Cyrillic", "el": "Greek", "ar": "Arabic", "fa": "Arabic", "ur": "Arabic"}
+HAN, WIDE = re.compile("[一-鿿]"), re.compile("[一-鿿ぁ-ヿ가-힣]")
 
 URL = r"(?:https?://|www\.)[^\s<>\"'）)|,;，；]+"
 LINK = re.compile(rf"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|<{URL}>|{URL}", re.I)
@@ -47,10 +55,12 @@ FENCE = re.compile(r"^\s*(?:```|~~~)")
 LOG = re.compile(r"^\s*(?:\$ |> |>>> |\[?\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE)\b)")
 CODE = re.compile(r"[{}=;\\]\s*$|^\s*[{}\])]|\w\(|\"\s*:|:=|=>|==|^\s*(?:import|from|def|class|func|return|const|let|var|use|require|include|package|pip|npm|go|cargo)\s+\S+\s*(?:$|[({;=])|^\s*(?:at|File)\s+\S+[(:]")
 SENTENCES = re.compile(r"(?<=[.!?؟])\s+|(?<=[。！？])")
-SEPARATOR = re.compile(r"[|,;/•·»›→，、；／｜&]|\s[-–—]\s")
-WIDE_SEPARATOR = re.compile("(?<=[\\s一-鿿])[|;/•·；｜／](?=[\\s一-鿿])")
+SEPARATOR = re.compile(r"[|,;/•·»›→，、；／｜&،؛]|\s[-–—]\s")
+COMMA = re.compile("[,;，、；／｜،؛]")
+STRONG = re.compile(r"[|•·»›｜]|;\s|\s[-–—/]\s")
+WIDE_SEPARATOR = re.compile("(?<=[\\s一-鿿ぁ-ヿ가-힣])[|;/•·；｜／](?=[\\s一-鿿ぁ-ヿ가-힣])")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
-STRIP = " \t.,;:!?()[]{}\"'*_~`<>|/\\-–—•·+#，。；：！？（）「」、¿¡"
+STRIP = " \t.,;:!?()[]{}\"'*_~`<>|/\\-–—•·+#，。；：！？（）「」、¿¡،؛؟"
 
 
 def mass(text: str) -> int:
@@ -71,19 +81,70 @@ def tokens_of(text: str) -> list[str]:
     return [t for x in text.casefold().replace("’", "'").split() if (t := x.strip(STRIP)) and not t[0].isdigit()]
 
 
-def is_sentence(rest: str, tokens: list[str], least: dict[str, float]) -> bool:
-    """Do the words of a segment, without its links and tags, hold together as a sentence of any language?"""
-    if not rest.isascii() and WIDE.search(rest):
-        kana, hangul, han = len(KANA.findall(rest)), len(HANGUL.findall(rest)), len(HAN.findall(rest))
-        if kana >= 3 and kana * 6 >= han or hangul >= 2:
+def own_words(words: Counter[str]) -> dict[str, frozenset[str]]:
+    """The function words of the languages that a page is written in: in each script the one that explains most of its
+    tokens, then any that explains a fourth as many of the others by two words at the least."""
+    found = [(languages, n) for word, n in words.items() if (languages := LANGUAGES_OF.get(word))]
+    own: dict[str, frozenset[str]] = {}
+    most: dict[str, int] = {}
+    while found:
+        counts: dict[str, int] = {}
+        kinds: dict[str, int] = {}
+        for languages, n in found:
+            for language in languages:
+                counts[language] = counts.get(language, 0) + n
+                kinds[language] = kinds.get(language, 0) + 1
+        language = max(counts, key=lambda x: (counts[x], kinds[x], x))
+        script = SCRIPT.get(language, "Latin")
+        if script in most and (kinds[language] < 2 or counts[language] * 4 < most[script]):
+            found = [x for x in found if SCRIPT.get(x[0][0], "Latin") != script]
+            continue
+        own[language] = WORDS[language]
+        most.setdefault(script, counts[language])
+        found = [x for x in found if language not in x[0]]
+    return own
+
+
+def repetitive(rest: str, tokens: list[str]) -> bool:
+    """Does a segment say the same few words, or without word borders the same few characters, over and over?"""
+    if len(tokens) > 8:
+        pairs, kinds = len(tokens) - 1, len(set(tokens))
+        # There are no fewer kinds of pairs than of words but one.
+        if kinds * 4 <= len(tokens) <= 200 or (kinds - 1) * 3 <= pairs and len(set(zip(tokens, tokens[1:]))) * 3 <= pairs:
             return True
+    if not rest.isascii() and len(signs := WIDE.findall(rest)) >= 16:
+        return len(set(zip(signs, signs[1:]))) * 3 <= len(signs)
+    return False
+
+
+def is_sentence(rest: str, tokens: list[str], own: dict[str, frozenset[str]], least: dict[str, float]) -> bool:
+    """Do the words of a segment, without its links and tags, hold together as a sentence of its page's languages?"""
+    if repetitive(rest, tokens):
+        return False
+    if not rest.isascii() and WIDE.search(rest):
+        kana, hangul, han = len(KANA.findall(rest)), HANGUL.findall(rest), len(HAN.findall(rest))
+        wide = len(WIDE.findall(rest))
+        few = len(WIDE_SEPARATOR.findall(rest)) * 8 <= wide and len(COMMA.findall(rest)) * 4 <= wide
+        if kana >= 3 and kana * 6 >= han:
+            return few and len(JAPANESE.findall(rest)) >= max(1, least["ja"] * wide)
+        if len(hangul) >= 2:
+            return few and len(COMMA.findall(rest)) * 2 <= len(hangul) + 2 and len(KOREAN.findall(rest)) >= max(1, least["ko"] * len(hangul))
         if han >= 4:
-            return len(CHINESE.findall(rest)) >= max(1, least["zh"] * han) and len(WIDE_SEPARATOR.findall(rest)) * 8 <= han
-    if not rest.isascii() and len(ARABIC.findall(rest)) >= 3:
-        return len(SEPARATOR.findall(rest)) * 3 <= len(tokens)
+            return few and len(CHINESE.findall(rest)) >= max(1, least["zh"] * han)
+    if not rest.isascii() and (arabic := ARABIC.findall(rest)) and len(arabic) >= 3:
+        if len(SEPARATOR.findall(rest)) * 3 > len(tokens):
+            return False
+        language = next((x for x in own if SCRIPT.get(x) == "Arabic"), "ar")
+        hits = sum(t in WORDS[language] for t in arabic) + (len(ARTICLE.findall(rest)) if language == "ar" else 0)
+        return hits >= max(1, least[language] * len(arabic))
     if len(tokens) < 3:
         return False
-    return any(share >= least[language] for language, share in shares(tokens).items())
+    for language, words in own.items():
+        hits = sum(map(words.__contains__, tokens))
+        if hits and hits >= least[language] * len(tokens):
+            strong, commas = len(STRONG.findall(rest)), len(COMMA.findall(rest))
+            return not (strong >= 3 and strong * 4 >= len(tokens) or commas >= 3 and commas * 2 >= len(tokens) and hits * 5 < len(tokens))
+    return False
 
 
 def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
@@ -95,6 +156,7 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
     text = INVISIBLE.sub("", text)
     lines = re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", text)
     sums: Counter[str] = Counter()
+    segments: list[tuple[str, str, list[str], int, int, int, int, int]] = []
     doubtful: list[tuple[str, list[str], int, int]] = []
     fenced = False
     words: Counter[str] = Counter()
@@ -126,23 +188,26 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
             tokens = tokens_of(rest)
             words.update(tokens)
             pairs.update(zip(tokens, tokens[1:]))
-            if is_sentence(rest, tokens, least):
-                sums["sentence"] += size
-            elif links and (link_mass * 3 >= size or len(tokens) <= 4 * links):
-                sums["link"] += size
-            elif tag_mass * 2 >= size and tags > 1:
-                sums["tag"] += size
-            elif CODE.search(segment):
-                sums["other"] += size
-            else:
-                doubtful.append((rest, tokens, size, len(SEPARATOR.findall(rest))))
+            segments.append((segment, rest, tokens, size, links, link_mass, tags, tag_mass))
+    own = own_words(words)
+    for segment, rest, tokens, size, links, link_mass, tags, tag_mass in segments:
+        if is_sentence(rest, tokens, own, least):
+            sums["sentence"] += size
+        elif links and (link_mass * 3 >= size or len(tokens) <= 4 * links):
+            sums["link"] += size
+        elif tag_mass * 2 >= size and tags > 1:
+            sums["tag"] += size
+        elif CODE.search(segment):
+            sums["other"] += size
+        else:
+            doubtful.append((rest, tokens, size, len(SEPARATOR.findall(rest))))
     total, runs = sum(words.values()), sum(pairs.values())
     for rest, tokens, size, separators in doubtful:
         # Words without grammar are keywords if they are divided by separators or come again and again on the page.
         again = sum(words[t] > 2 for t in tokens)
         wide = len(WIDE.findall(rest))
-        piled = separators >= 3 and separators * 4 >= len(tokens) or wide >= 4 and separators * 6 >= wide
-        if piled or (tokens and again * 2 >= len(tokens)):
+        piled = separators >= 3 and separators * 4 >= len(tokens) or wide >= 4 and (separators * 6 >= wide or (commas := len(COMMA.findall(rest))) >= 2 and commas * 14 >= wide)
+        if piled or repetitive(rest, tokens) or (tokens and again * 2 >= len(tokens)):
             sums["keyword"] += size
         else:
             sums["other"] += size
@@ -183,7 +248,7 @@ def calibrated(documents: DataFrame, key: str, text: str) -> dict[str, float]:
             yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["language", "share"])
 
     medians = rows.mapInArrow(run, "language string, share double").filter("language <> '' AND share > 0").groupBy("language").agg(F.percentile_approx("share", 0.5).alias("share"), F.count("*").alias("n")).collect()
-    least = dict.fromkeys([*WORDS, "zh"], FLOOR) | {"zh": 0.02}
+    least = dict.fromkeys([*WORDS, "zh"], FLOOR) | {"zh": 0.02, "ja": 0.02, "ko": 0.1}
     for row in medians:
         if row["n"] >= ENOUGH:
             low, high = (0.02, 0.06) if row["language"] == "zh" else (FLOOR, CEILING)

@@ -179,3 +179,31 @@ def test_stuffed_pages(spark):
     assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text").orderBy("doc_id").collect()] == [k for k, (_, bad) in PAGES.items() if bad]
     assert spam.page_features(df, "doc_id", "text").count() == len(PAGES) - 3
     assert spam.stuffed_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+#: Nouns that a test by endings or by letters alone takes for sentences, with sentences of the same languages.
+PILES = {
+    0: ("برنامج مجاني، تحميل سريع، أفضل أداة، رخصة رخيصة، خادم سحابي، إضافة جديدة\n" * 2, True),
+    1: ("無料のダウンロード、おすすめのツール、ライセンスの比較\n" * 20, True),
+    2: ("최저가 광고 언어 최저가 무료 광고 언어 추천 최저가 다운로드 " * 30, True),
+    3: ("برنامج مجاني " * 1000, True),
+    4: ("免费的下载 最新的插件 " * 60, True),
+    5: ("the free tool of the best " * 80, True),
+    6: ("無料のダウンロード、おすすめのツール、ライセンスの比較、人気のプラグイン\n最新のソフト、格安のサーバー、便利なアプリ\n", True),
+    7: ("このツールは依存関係の一覧を作成します。ライセンスの表記は統一されていません。空の結果を返します。" * 5, False),
+    8: ("이 도구는 의존성 목록을 만듭니다. 라이선스 표기는 통일되어 있지 않습니다. 파일이 없으면 빈 결과를 반환합니다. " * 5, False),
+    9: ("تقرأ الحزمة الملف وتنتج قائمة مرتبة. لا يمكن تحميل الملف من الخادم في هذه الحالة. " * 5, False),
+    10: ("این بسته فایل را می خواند و فهرست را تولید می کند. " * 5 + "\n" + SENTENCES, False),
+    11: (SENTENCES * 2 + "\nVoir https://a.example/9 pour la liste complète des composants et des versions.\nПакет читает файл и строит список компонентов из него.", False),
+}
+
+
+def test_piles_are_no_sentences(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in PILES.items()], "doc_id bigint, text string")
+    assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text").orderBy("doc_id").collect()] == [k for k, (_, bad) in PILES.items() if bad]
+
+
+def test_function_words_of_another_language_count_for_nothing():
+    least = dict.fromkeys([*spam.WORDS, "zh", "ja", "ko"], spam.FLOOR)
+    text = SENTENCES + "\n" + "\n".join(f"die cloud image{i} plan{i}" for i in range(3))
+    assert spam.page_shares(text, least)["sentence"] < 0.9
