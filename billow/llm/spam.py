@@ -147,10 +147,50 @@ def is_sentence(rest: str, tokens: list[str], own: dict[str, frozenset[str]], le
     return False
 
 
+#: The shares of top word, repeated word pairs and repeated lines from which words that come twice on a page count as
+#: keywords outside its sentences, links, tags and code. Without word borders the words are what stands between blanks and commas, so fewer
+#: and longer ones; '' is a page whose language is not known, where sentences stand in that text too.
+LIMITS = {"zh": (0.34, 0.6, 0.5), "ja": (0.34, 0.6, 0.5), "ko": (0.25, 0.5, 0.5), "": (0.3, 0.6, 0.6)}
+LIMIT, LEAST_WORDS = (0.25, 0.5, 0.5), 12
+PIECES = re.compile(r"[\s,;，、；／｜/|•·،؛]+")
+
+
+def heap(words: Counter[str], pairs: Counter[tuple[str, str]], lines: Counter[str]) -> tuple[float, float, float]:
+    """The shares of the top word, of repeated word pairs and of repeated lines."""
+    return (
+        max(words.values(), default=0) / max(1, words.total()), sum(n for n in pairs.values() if n > 1) / max(1, pairs.total()),
+        sum(n for n in lines.values() if n > 1) / max(1, lines.total()),
+    )
+
+
+def heaped(doubtful: list[tuple[str, list[str], int, int]], own: dict[str, frozenset[str]]) -> bool:
+    """Are the segments of a page without grammar over the `LIMITS` of its language in any of the three shares?"""
+    words: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    lines: Counter[str] = Counter()
+    text = " ".join(rest for rest, *_ in doubtful)
+    language = next(iter(own), "")
+    if not text.isascii() and (wide := len(WIDE.findall(text))) * 2 >= mass(text):
+        hangul, kana = sum(map(len, HANGUL.findall(text))), len(KANA.findall(text))
+        language = "ko" if hangul * 2 >= wide else "ja" if kana * 6 >= wide else "zh"
+    for rest, tokens, *_ in doubtful:
+        if language in ("zh", "ja"):
+            tokens = [t for x in PIECES.split(rest.casefold()) if (t := x.strip(STRIP)) and not t[0].isdigit()]
+        words.update(tokens)
+        pairs.update(zip(tokens, tokens[1:]))
+        if tokens:
+            lines[" ".join(tokens)] += 1
+    return words.total() >= LEAST_WORDS and any(x >= limit for x, limit in zip(heap(words, pairs, lines), LIMITS.get(language, LIMIT), strict=True))
+
+
 def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
     """Shares of a page's characters: in sentences, links, tags, keywords, and other (code, logs, tables, headings);
     and the shares of its top word and of repeated word pairs and lines.
 
+    Where one of these three shares of the text outside sentences, links, tags and code is over its limit (`LIMITS`), words
+    that come twice are keywords there, else words that come three times. Real pages repeat sentences too, so the shares
+    of whole pages decide nothing.
+
     least: the function words that a sentence of a language must have at the least.
     """
     text = INVISIBLE.sub("", text)
@@ -201,10 +241,10 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
             sums["other"] += size
         else:
             doubtful.append((rest, tokens, size, len(SEPARATOR.findall(rest))))
-    total, runs = sum(words.values()), sum(pairs.values())
+    often = 1 if len(doubtful) > 1 and heaped(doubtful, own) else 2
     for rest, tokens, size, separators in doubtful:
         # Words without grammar are keywords if they are divided by separators or come again and again on the page.
-        again = sum(words[t] > 2 for t in tokens)
+        again = sum(words[t] > often for t in tokens)
         wide = len(WIDE.findall(rest))
         piled = separators >= 3 and separators * 4 >= len(tokens) or wide >= 4 and (separators * 6 >= wide or (commas := len(COMMA.findall(rest))) >= 2 and commas * 14 >= wide)
         if piled or repetitive(rest, tokens) or (tokens and again * 2 >= len(tokens)):
@@ -213,9 +253,7 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
             sums["other"] += size
     everything = max(1, sum(sums.values()))
     out = {kind: sums[kind] / everything for kind in ("sentence", "link", "tag", "keyword", "other")}
-    out["top_word"] = max(words.values(), default=0) / max(1, total)
-    out["repeated_pairs"] = sum(n for n in pairs.values() if n > 1) / max(1, runs)
-    out["repeated_lines"] = sum(n for n in seen.values() if n > 1) / max(1, sum(seen.values()))
+    out["top_word"], out["repeated_pairs"], out["repeated_lines"] = heap(words, pairs, seen)
     return out
 
 

@@ -207,3 +207,14 @@ def test_function_words_of_another_language_count_for_nothing():
     least = dict.fromkeys([*spam.WORDS, "zh", "ja", "ko"], spam.FLOOR)
     text = SENTENCES + "\n" + "\n".join(f"die cloud image{i} plan{i}" for i in range(3))
     assert spam.page_shares(text, least)["sentence"] < 0.9
+
+
+TWICE = "docker image cheap\ncloud plan deal\nlicence key rebate\nserver trial offer\nbackup coupon sale\nmailer theme bargain\n"
+
+
+def test_shares_of_text_without_grammar_decide():
+    least = dict.fromkeys([*spam.WORDS, "zh", "ja", "ko"], spam.FLOOR)
+    stuffed = lambda text: (x := spam.page_shares(text, least))["link"] + x["tag"] + x["keyword"] > 0.5
+    assert stuffed(TWICE * 2) and stuffed(TWICE.replace("\n", " gratis\n", 2) * 2) and stuffed("无痕浏览\n云端备份\n安全审计\n软件清单\n依赖扫描\n开源项目\n" * 2)
+    assert not stuffed(TWICE) and not stuffed("# Install\n" * 2 + SENTENCES * 2 + TWICE[:50])
+    assert not stuffed("Paketti lukee tiedoston ja kirjoittaa luettelon. Uusi versio julkaistaan keväällä. Virhe korjattiin eilen illalla. Kiitos kaikille testaajille avusta.")
