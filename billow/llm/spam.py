@@ -258,18 +258,35 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
 
 
 def main_language(text: str) -> tuple[str, float]:
-    """The language with most function words on a page, and their share (zh: of its Chinese characters)."""
-    han = 0 if text.isascii() else len(HAN.findall(text))
-    if han >= 20 and not len(KANA.findall(text)) * 6 >= han:
-        return "zh", len(CHINESE.findall(text)) / han
+    """The language with most function words on a page, and their share, as `is_sentence` takes it: of the Chinese
+    characters (zh), of all characters (ja), of the words in its script (ko, ar), else of all words."""
+    if not text.isascii():
+        kana, hangul, han = len(KANA.findall(text)), HANGUL.findall(text), len(HAN.findall(text))
+        if kana + han >= 20 and kana * 6 >= han:
+            return "ja", len(JAPANESE.findall(text)) / len(WIDE.findall(text))
+        if len(hangul) >= 10 and sum(map(len, hangul)) >= han:
+            return "ko", len(KOREAN.findall(text)) / len(hangul)
+        if han >= 20:
+            return "zh", len(CHINESE.findall(text)) / han
+        if len(arabic := ARABIC.findall(text)) >= 10:
+            counts = {x: sum(t in WORDS[x] for t in arabic) for x in WORDS if SCRIPT.get(x) == "Arabic"}
+            language = max(counts, key=lambda x: (counts[x], x == "ar"))
+            return language, (counts[language] + (len(ARTICLE.findall(text)) if language == "ar" else 0)) / len(arabic)
     tokens = tokens_of(LINK.sub(" ", text) if LINKED.search(text) else text)
     best = max(shares(tokens).items(), key=lambda x: x[1], default=("", 0.0)) if tokens else ("", 0.0)
     return best
 
 
-#: A sentence has this part of the function words that its language has in the corpus, within bounds: `FLOOR` where
-#: the corpus has little of a language, and never more than `CEILING`.
+#: A sentence has this part of the function words that its language has in the corpus, within bounds: `FLOOR` is the
+#: estimate before any page is seen and weighs as many pages as `ENOUGH`, and none is ever more than `CEILING`.
 PART, FLOOR, CEILING, ENOUGH = 0.25, 0.05, 0.12, 50
+BOUNDS = {"zh": (0.02, 0.06), "ja": (0.02, 0.06), "ko": (0.1, 0.2)}
+
+
+def least_share(language: str, median: float, pages: int) -> float:
+    """The mean of the lower bound, counted as `ENOUGH` pages, and of `PART` of the median over the corpus' pages."""
+    low, high = BOUNDS.get(language, (FLOOR, CEILING))
+    return (ENOUGH * low + pages * min(high, max(low, PART * median))) / (ENOUGH + pages)
 
 
 def calibrated(documents: DataFrame, key: str, text: str) -> dict[str, float]:
@@ -286,11 +303,9 @@ def calibrated(documents: DataFrame, key: str, text: str) -> dict[str, float]:
             yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["language", "share"])
 
     medians = rows.mapInArrow(run, "language string, share double").filter("language <> '' AND share > 0").groupBy("language").agg(F.percentile_approx("share", 0.5).alias("share"), F.count("*").alias("n")).collect()
-    least = dict.fromkeys([*WORDS, "zh"], FLOOR) | {"zh": 0.02, "ja": 0.02, "ko": 0.1}
+    least = {language: least_share(language, 0.0, 0) for language in (*WORDS, *BOUNDS)}
     for row in medians:
-        if row["n"] >= ENOUGH:
-            low, high = (0.02, 0.06) if row["language"] == "zh" else (FLOOR, CEILING)
-            least[row["language"]] = min(high, max(low, PART * row["share"]))
+        least[row["language"]] = least_share(row["language"], row["share"], row["n"])
     return least
 
 

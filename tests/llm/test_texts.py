@@ -218,3 +218,15 @@ def test_shares_of_text_without_grammar_decide():
     assert stuffed(TWICE * 2) and stuffed(TWICE.replace("\n", " gratis\n", 2) * 2) and stuffed("无痕浏览\n云端备份\n安全审计\n软件清单\n依赖扫描\n开源项目\n" * 2)
     assert not stuffed(TWICE) and not stuffed("# Install\n" * 2 + SENTENCES * 2 + TWICE[:50])
     assert not stuffed("Paketti lukee tiedoston ja kirjoittaa luettelon. Uusi versio julkaistaan keväällä. Virhe korjattiin eilen illalla. Kiitos kaikille testaajille avusta.")
+
+
+def test_calibration_has_no_step_and_knows_all_languages(spark):
+    steps = [spam.least_share("en", 0.4, n) for n in range(200)]
+    assert steps[0] == spam.FLOOR and max(b - a for a, b in zip(steps, steps[1:])) < 0.003 and steps == sorted(steps)
+    assert spam.least_share("en", 0.4, 10**7) > 0.0999 and spam.least_share("en", 0.9, 10**7) <= spam.CEILING
+    pages = [PILES[k][0] for k in (7, 8, 9, 10)] + [PAGES[7][0], SENTENCES]
+    pages[3] = pages[3].split("\n")[0]
+    assert [spam.main_language(text)[0] for text in pages] == ["ja", "ko", "ar", "fa", "zh", "en"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(pages * 20)], "doc_id bigint, text string")
+    least, floor = spam.calibrated(df, "doc_id", "text"), spam.calibrated(df.limit(0), "doc_id", "text")
+    assert all(least[x] > floor[x] for x in ("ja", "ko", "ar", "fa", "zh", "en")) and least["sv"] == floor["sv"]
