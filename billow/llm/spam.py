@@ -54,6 +54,10 @@ MARKUP = re.compile(r"</?[a-z][^>]{0,200}>", re.I)
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 LOG = re.compile(r"^\s*(?:\$ |> |>>> |\[?\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE)\b)")
 CODE = re.compile(r"[{}=;\\]\s*$|^\s*[{}\])]|\w\(|\"\s*:|:=|=>|==|^\s*(?:import|from|def|class|func|return|const|let|var|use|require|include|package|pip|npm|go|cargo)\s+\S+\s*(?:$|[({;=])|^\s*(?:at|File)\s+\S+[(:]")
+#: Signs of code within a line that ends like code; without any, its words are held against separators and repetition.
+SIGNS = re.compile(r"[(){}\[\]=<>\"\\`]|::|->|^\s*(?:import|from|def|class|func|return|const|let|var|use|require|include|package|pip|npm|go|cargo)\s+\S+\s*[({;=]?\s*$")
+ROW = re.compile(r"^\s*\|.*\|\s*$")
+RULE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 SENTENCES = re.compile(r"(?<=[.!?؟])\s+|(?<=[。！？])")
 SEPARATOR = re.compile(r"[|,;/•·»›→，、；／｜&،؛]|\s[-–—]\s")
 COMMA = re.compile("[,;，、；／｜،؛]")
@@ -155,6 +159,34 @@ LIMIT, LEAST_WORDS = (0.25, 0.5, 0.5), 12
 PIECES = re.compile(r"[\s,;，、；／｜/|•·،؛]+")
 
 
+def fences(lines: list[str]) -> set[int]:
+    """The lines of closed fences. A fence that is never closed hides nothing but itself."""
+    found: set[int] = set()
+    start = -1
+    for k, line in enumerate(lines):
+        if FENCE.match(line):
+            if start < 0:
+                start = k
+            else:
+                found.update(range(start, k + 1))
+                start = -1
+    return found | {start} if start >= 0 else found
+
+
+def tables(lines: list[str]) -> set[int]:
+    """The lines of tables: neighbouring `|...|` lines with a `|---|` rule among them. Menus have none."""
+    found: set[int] = set()
+    block: list[int] = []
+    for k, line in enumerate([*lines, "end"]):
+        if ROW.match(line):
+            block.append(k)
+        elif line.strip():
+            if any(RULE.match(lines[x]) for x in block):
+                found.update(block)
+            block = []
+    return found
+
+
 def heap(words: Counter[str], pairs: Counter[tuple[str, str]], lines: Counter[str]) -> tuple[float, float, float]:
     """The shares of the top word, of repeated word pairs and of repeated lines."""
     return (
@@ -198,20 +230,18 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
     sums: Counter[str] = Counter()
     segments: list[tuple[str, str, list[str], int, int, int, int, int]] = []
     doubtful: list[tuple[str, list[str], int, int]] = []
-    fenced = False
+    hidden = fences(lines) if "```" in text or "~~~" in text else set()
+    if "|" in text:
+        hidden |= tables(lines)
     words: Counter[str] = Counter()
     pairs: Counter[tuple[str, str]] = Counter()
     seen: Counter[str] = Counter()
-    for line in lines:
+    for k, line in enumerate(lines):
         size = mass(line)
         if not size:
             continue
-        if FENCE.match(line):
-            fenced = not fenced
-            sums["other"] += size
-            continue
         stripped = line.strip()
-        if fenced or LOG.match(line) or (stripped[0] == "|" and stripped[-1] == "|" and len(stripped) > 1):
+        if k in hidden or LOG.match(line):
             sums["other"] += size
             continue
         seen[stripped.casefold()] += 1
@@ -237,7 +267,7 @@ def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
             sums["link"] += size
         elif tag_mass * 2 >= size and tags > 1:
             sums["tag"] += size
-        elif CODE.search(segment):
+        elif CODE.search(segment) and (len(tokens) < 4 or SIGNS.search(segment.rstrip().rstrip("{}=;\\"))):
             sums["other"] += size
         else:
             doubtful.append((rest, tokens, size, len(SEPARATOR.findall(rest))))

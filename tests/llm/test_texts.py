@@ -230,3 +230,19 @@ def test_calibration_has_no_step_and_knows_all_languages(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(pages * 20)], "doc_id bigint, text string")
     least, floor = spam.calibrated(df, "doc_id", "text"), spam.calibrated(df.limit(0), "doc_id", "text")
     assert all(least[x] > floor[x] for x in ("ja", "ko", "ar", "fa", "zh", "en")) and least["sv"] == floor["sv"]
+
+
+HIDDEN = {
+    1: ("| Home | Docs | Pricing |\n| Blog | Shop | Login |\n| Cloud | Deals | Themes |\n", True),
+    2: ("cheap licence; free sbom; best tool;\nbest cloud; cheap image; free plan;\n", True),
+    3: ("```\n" + PAGES[4][0], True),
+    4: ("| a | b |\n|:--|---|\n" + "| Home | Docs |\n" * 20, False),
+    5: ("```sh\nx | y | z | a | b\n```\n" * 10 + "~~~\ncheap | best | free | tool\n~~~\n", False),
+    6: ("int alpha = load(a, b, c);\nreturn alpha;\nuse std::io;\nbreak;\n" * 8, False),
+    7: (SENTENCES + "\n```\n" + SENTENCES, False),
+}
+
+
+def test_tables_fences_and_code_hide_no_keywords(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in HIDDEN.items()], "doc_id bigint, text string")
+    assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text").orderBy("doc_id").collect()] == [k for k, (_, bad) in HIDDEN.items() if bad]
