@@ -1,4 +1,4 @@
-"""A data source over saved search results, split into partitions by ranges of stars."""
+"""A data source over saved search results, split into partitions by ranges of stars, and by days where one value has many."""
 
 from __future__ import annotations
 
@@ -14,15 +14,32 @@ RESULTS = 1000
 
 
 class StarRange(InputPartition):
-    def __init__(self, low: int, high: int | None):
-        super().__init__((low, high))
-        self.low, self.high = low, high
+    """Results by stars and, where days are given, by the day of creation; `undated` takes those without one too."""
+
+    def __init__(self, low: int, high: int | None, days: tuple[dt.date, dt.date] | None = None, undated: bool = True):
+        super().__init__((low, high, days, undated))
+        self.low, self.high, self.days, self.undated = low, high, days, undated
+
+    def holds(self, stars: int, day: dt.date | None) -> bool:
+        if stars < self.low or (self.high is not None and stars > self.high):
+            return False
+        if day is None:
+            return self.undated
+        return self.days is None or self.days[0] <= day <= self.days[1]
+
+
+def day_of(item: dict) -> dt.date | None:
+    """The day of creation of a result, if it has one."""
+    try:
+        return dt.date.fromisoformat(str(item.get("created_at") or "")[:10])
+    except ValueError:
+        return None
 
 
 def star_ranges(counts: dict[int, int], least: int, most: int = RESULTS) -> list[tuple[int, int | None]]:
     """Ranges [low, high] of stars, from the top down, that hold fewer than `most` results each; the top one is open.
 
-    A single number of stars with more results is a range of its own, which `day_ranges` splits further.
+    A single number of stars with more results is a range of its own, which `SearchReader.partitions` splits further by `day_ranges`.
     """
     ranges, high, held = [], None, 0
     low_of: int | None = None
@@ -60,12 +77,32 @@ class SearchReader(DataSourceReader):
         for item in self.items():
             stars = int(item.get("stargazers_count") or 0)
             counts[stars] = counts.get(stars, 0) + 1
-        return [StarRange(low, high) for low, high in star_ranges(counts, self.least, self.most)]
+        # Only a range with a single number of stars reaches `most`.
+        hot = {stars for stars, n in counts.items() if n >= self.most and stars >= self.least}
+        days: dict[int, dict[dt.date | None, int]] = {stars: {} for stars in hot}
+        if hot:
+            for item in self.items():
+                stars = int(item.get("stargazers_count") or 0)
+                if stars in hot:
+                    day = day_of(item)
+                    days[stars][day] = days[stars].get(day, 0) + 1
+        out = []
+        for low, high in star_ranges(counts, self.least, self.most):
+            stars = next((x for x in hot if x >= low and (high is None or x <= high)), None)
+            dated = {day: n for day, n in days[stars].items() if day is not None} if stars is not None else {}
+            if not dated:
+                out.append(StarRange(low, high))
+                continue
+            spans = day_ranges(dated, min(dated), max(dated), self.most)
+            out += [StarRange(low, high, span, False) for span in spans]
+            if len(dated) < len(days[stars]):
+                out.append(StarRange(low, high, (dt.date.max, dt.date.min), True))
+        return out
 
     def read(self, partition: StarRange) -> Iterator[tuple]:
         for item in self.items():
             stars = int(item.get("stargazers_count") or 0)
-            if stars >= partition.low and (partition.high is None or stars <= partition.high):
+            if partition.holds(stars, day_of(item)):
                 owner = item.get("owner")
                 yield item.get("id"), owner.get("login") if isinstance(owner, dict) else owner, item.get("name"), stars, item.get("html_url"), item.get("created_at"), item.get("language")
 

@@ -114,6 +114,17 @@ def test_search_source(spark, tmp_path):
     assert all(sum(n for d, n in days.items() if a <= d <= b) < 1000 for a, b in day_ranges(days, dt.date(2024, 1, 1), dt.date(2024, 1, 8)))
 
 
+def test_search_source_splits_a_hot_star_value_by_days(spark, tmp_path):
+    made = [f"2024-01-{d:02}T00:00:00Z" for d in range(1, 17)] + [None, "", "soon"]
+    items = [{"id": i, "name": "b", "stargazers_count": 7, "created_at": day} for i, day in enumerate(made)] + [{"id": 100 + s, "name": "c", "stargazers_count": s} for s in (3, 7, 9)]
+    (tmp_path / "p.json").write_text(json.dumps({"items": items}))
+    spark.dataSource.register(SearchSource)
+    df = spark.read.format("repository_search").option("path", str(tmp_path / "p.json")).option("most", 6).load()
+    assert sorted(r.id for r in df.collect()) == sorted(x["id"] for x in items)
+    held = df.rdd.glom().map(lambda part: sorted({r.stars for r in part})).collect(), df.rdd.glom().map(len).collect()
+    assert max(held[1]) < 6 and sum(held[1]) == len(items) and len(held[1]) == 7 and held[0].count([7]) == 5
+
+
 def test_yaml_needs_a_module(spark):
     specs = spark.createDataFrame([("a", '{"paths": {}}'), ("b", "paths:\n  /x:\n    get: {}\n")], "k string, content string")
     out = dict(tuple(r) for r in files.yaml_to_json(specs, ["k"]).collect())
