@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class EagerJoin:
-    """Counts of two inputs and of their join, by group and by join key. See `eager_join`."""
+    """Counts of two inputs and of their join, by group and by join key. See `eager_join`. `rolled` holds both: left_out
+    is 2 for a row of a group and 1 for one of a key; n, m, pairs are the counts, null for none."""
 
     groups: DataFrame
     keys: DataFrame
+    rolled: DataFrame
 
 
 def counted(df: DataFrame, by: dict[str, F.Column], weight: F.Column | None = None) -> DataFrame:
@@ -29,37 +31,38 @@ def eager_join(left: DataFrame, right: DataFrame, left_on: F.Column, right_on: F
 
     Neither input is joined row by row. Both are aggregated by join key first (the left one by key and group), so each
     task sends at most one row of a combination, however many rows a hot key has. The compact states are joined, the
-    counts multiplied, then rolled up. A hot key meets one row of the right state, and what is left of skew on the
-    left is one row for each group of the key, which adaptive execution splits.
+    counts multiplied, then rolled up to groups and to keys in one aggregate over both grouping sets, so each input is
+    read and sent once. A hot key meets one row of the right state, and what is left of skew on the left is one row for
+    each group of the key, which adaptive execution splits, the join being a left one; keys that only the right input
+    has come in by a union with its state.
 
     A null join key matches nothing: pairs is 0, but its rows count. Null groups are one group. Empty inputs give
     empty results. Repeated rows count as often as they occur; remove them first if they should not.
     """
     by_key_group = counted(left, {"key": left_on, "group": group})
     by_key = counted(right, {"key": right_on}).select("key", F.col("n").alias("m"))
-    groups = (
-        by_key_group.join(by_key.filter(F.col("key").isNotNull()), "key", "left")
-        .groupBy("group")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("pairs"))
+    joined = by_key_group.join(by_key, "key", "left").select("key", "group", "n", "m")
+    state = joined.unionByName(by_key.select("key", F.lit(None).cast(joined.schema["group"].dataType).alias("group"), F.lit(None).cast("bigint").alias("n"), "m"))
+    # 1 is the bit of a column that a grouping set leaves out, the last column's being the lowest.
+    rolled = state.groupingSets([["key"], ["group"]], "key", "group").agg(
+        F.grouping_id().alias("left_out"), F.sum("n").alias("n"), F.max("m").alias("m"), F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("pairs")
     )
-    left_keys = by_key_group.groupBy("key").agg(F.sum("n").alias("n_left"))
-    a, b = left_keys.alias("a"), by_key.alias("b")
-    keys = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")), "full").select(
-        F.coalesce("a.key", "b.key").alias("key"),
-        F.coalesce("n_left", F.lit(0)).alias("n_left"),
-        F.coalesce("m", F.lit(0)).alias("n_right"),
-        F.when(F.col("a.key").isNotNull() & F.col("b.key").isNotNull(), F.col("n_left") * F.col("m")).otherwise(F.lit(0)).cast("bigint").alias("pairs"),
-    )
-    return EagerJoin(groups, keys)
+    groups = rolled.filter("left_out = 2 AND n IS NOT NULL").select("group", "n", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    keys = rolled.filter("left_out = 1").select("key", *[F.coalesce(c, F.lit(0)).alias(name) for c, name in (("n", "n_left"), ("m", "n_right"), ("pairs", "pairs"))])
+    return EagerJoin(groups, keys, rolled)
 
 
-def heavy(counts: DataFrame, key: str, n: str, share: tuple[int, int] = (3, 100)) -> DataFrame:
-    """The rows of `counts` whose n is at least share[0]/share[1] of the sum of n; null keys count in the sum only.
+def heavy(joined: EagerJoin, share: tuple[int, int] = (3, 100)) -> DataFrame:
+    """group or key (the other is null), left_out: groups whose n is at least share[0]/share[1] of the sum of n over all
+    groups, and keys whose rows on the right are that part of all rows on the right; null groups and keys count in the
+    sums only.
 
-    The sum is one row, so it is joined as a broadcast. Exact: whole numbers only. The test is one expression that
-    Catalyst cannot take apart: a filter on the key pushed to the scan of one branch would keep the two branches from
-    sharing their exchanges, and everything below would be read and sent twice.
+    The sums are one row, so they are joined as a broadcast. Exact: whole numbers only. Both uses of the rolled-up
+    counts read the same exchange: the test is one expression that Catalyst cannot take apart, as a filter pushed to
+    the scan of one branch would have everything below read and sent twice.
     """
-    total = counts.agg(F.sum(n).alias("__total"))
-    large = F.when(F.col(key).isNull(), F.lit(False)).otherwise(F.col(n) * share[1] >= F.col("__total") * share[0])
-    return counts.join(F.broadcast(total)).filter(large).drop("__total")
+    rolled = joined.rolled.select("key", "group", "left_out", F.when(F.col("left_out") == 2, F.col("n")).otherwise(F.col("m")).alias("rows"))
+    sums = rolled.agg(*[F.sum(F.when(F.col("left_out") == side, F.col("rows"))).alias(f"sum{side}") for side in (1, 2)])
+    total = F.when(F.col("left_out") == 2, F.col("sum2")).otherwise(F.col("sum1"))
+    named = F.when(F.col("left_out") == 2, F.col("group").isNotNull()).otherwise(F.col("key").isNotNull())
+    return rolled.join(F.broadcast(sums)).filter(F.when(named, F.col("rows") * share[1] >= total * share[0]).otherwise(F.lit(False))).select("key", "group", "left_out", "rows")

@@ -21,10 +21,9 @@ def states(spark: SparkSession, folder: str) -> EagerJoin:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    joined = states(spark, folder)
-    names = heavy(joined.groups, "group", "n").select(F.lit("artifacts.name").alias("field"), F.col("group").alias("key_value"))
-    repositories = heavy(joined.keys.filter("n_right > 0"), "key", "n_right").select(F.lit("releases.repository_id").alias("field"), F.col("key").cast("string").alias("key_value"))
-    return names.unionByName(repositories)
+    of_name = F.col("left_out") == 2
+    field = F.when(of_name, "artifacts.name").otherwise("releases.repository_id")
+    return heavy(states(spark, folder)).select(field.alias("field"), F.when(of_name, F.col("group")).otherwise(F.col("key").cast("string")).alias("key_value"))
 
 
 def p1_name_counts(spark: SparkSession, folder: str) -> DataFrame:

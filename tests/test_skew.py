@@ -16,10 +16,12 @@ def test_empty_inputs(spark):
     left = spark.createDataFrame([], "k int, g string")
     out = eager_join(left, left, F.col("k"), F.col("k"), F.col("g"))
     assert rows(out.groups) == [] and rows(out.keys) == []
-    assert rows(heavy(out.groups, "group", "n")) == []
+    assert rows(heavy(out)) == []
 
 
 def test_heavy_counts_nameless_rows_in_the_total(spark):
-    counts = spark.createDataFrame([("a", 3), ("b", 2), (None, 95)], "k string, n long")
-    assert rows(heavy(counts, "k", "n")) == [("a", 3)]
-    assert rows(heavy(counts, "k", "n", (2, 100))) == [("a", 3), ("b", 2)]
+    left = spark.createDataFrame([(k, g) for g, n in (("a", 3), ("b", 2), (None, 95)) for k in range(n)], "k int, g string")
+    right = spark.createDataFrame([(7,)] * 60 + [(200,)] * 4 + [(None,)] * 36, "k int")
+    out = eager_join(left, right, F.col("k"), F.col("k"), F.col("g"))
+    assert rows(heavy(out)) == sorted([(None, "a", 2, 3), (7, None, 1, 60), (200, None, 1, 4)], key=repr)
+    assert rows(heavy(out, (2, 100)))[-1] is not None and len(rows(heavy(out, (2, 100)))) == 4
