@@ -11,7 +11,7 @@ from billow.llm.leaks import leaks
 from billow.llm.pairs import item_pairs
 from billow.llm.setjoin import similar_pairs, token_sets
 from billow.llm.spam import page_features, stuffed_pages
-from billow.llm.terms import marks, term_frequencies
+from billow.llm.terms import counted_pairs, field_sizes, marks, term_frequencies
 from billow.llm.topn import top_n
 from billow.tables import blank, fold, load, newest
 
@@ -46,9 +46,8 @@ def terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = terms(spark, folder)
-    sizes = pairs.groupBy("field").agg(F.count_distinct("record").alias("total"))
-    return marks(term_frequencies(pairs, "field", "term", "record"), sizes)
+    counted = counted_pairs(terms(spark, folder), "field", "term", "record")
+    return marks(term_frequencies(counted), field_sizes(counted))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,26 +42,36 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x]) for x in held], names)
 
 
-def term_frequencies(pairs: DataFrame, field: str, term: str, record: str) -> DataFrame:
-    """field, term, occurrences, records: how often each term occurs and in how many different records.
+def counted_pairs(pairs: DataFrame, field: str, term: str, record: str) -> DataFrame:
+    """field, term, record, n: each different row once with its number. Rows with a null in any of the three are left
+    out, other columns ignored. Equal rows are counted in each task before anything is sent."""
+    rows = pairs.select(F.col(f"`{field}`").alias("field"), F.col(f"`{term}`").alias("term"), F.col(f"`{record}`").alias("record"))
+    return rows.filter("field IS NOT NULL AND term IS NOT NULL AND record IS NOT NULL").groupBy("field", "term", "record").agg(F.count("*").alias("n"))
 
-    Null terms, null records and null fields are left out; repeated rows count as occurrences; an empty input gives an
-    empty result. Other columns are ignored.
 
-    Equal rows are counted in each task before anything is sent, so copies, however many, become one row with their
-    number. The distinct pairs are split by range of (field, term, record) and each range is sorted, spilling to disk
-    if need be: a hot term covers as many ranges as its records ask for. Runs are scanned batch by batch in constant
-    memory; a term that goes over the border of ranges gives a row in each, and these few are added. Nothing here
-    depends on the order or place of rows, so a stage that is run again after a loss gives the same.
+def term_frequencies(counted: DataFrame) -> DataFrame:
+    """field, term, occurrences, records of `counted_pairs`: how often each term occurs and in how many records.
+
+    Repeated rows count as occurrences; an empty input gives an empty result.
+
+    Copies, however many, are one row with their number. The distinct pairs are split by range of (field, term, record)
+    and each range is sorted, spilling to disk if need be: a hot term covers as many ranges as its records ask for.
+    Runs are scanned batch by batch in constant memory; a term that goes over the border of ranges gives a row in each,
+    and these few are added. Nothing here depends on the order or place of rows, so a stage that is run again after a
+    loss gives the same.
     """
-    rows = pairs.select(F.col(f"`{field}`").alias("field"), F.col(f"`{term}`").alias("term"), F.col(f"`{record}`").alias("record")).dropna()
-    counted = rows.groupBy("field", "term", "record").agg(F.count("*").alias("n"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = counted.repartitionByRange(parts, "field", "term", "record").sortWithinPartitions("field", "term", "record")
     runs = ranged.select("field", "term", "n").mapInArrow(scan_runs, RUNS)
     return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
+def field_sizes(counted: DataFrame) -> DataFrame:
+    """field, total: the records that have any term of the field. It asks for n too, so that it reads the exchange that
+    `term_frequencies` reads and not the input once more."""
+    return counted.filter("n > 0").select("field", "record").groupBy("field", "record").agg(F.count("*").alias("k")).groupBy("field").agg(F.count_if(F.col("k") > 0).alias("total"))
+
+
 def marks(frequencies: DataFrame, sizes: DataFrame, least: int = 3, most: tuple[int, int] = (20, 100)) -> DataFrame:
     """frequencies with mark: 'rare' under `least` records, else 'common' over the share `most` of the field's
     records, else null. sizes(field, total) has one row a field and is joined as a broadcast: fields are few by

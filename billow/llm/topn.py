@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Items of a group in one task, and hash slots of groups in the table that tells which are split.
+SPLIT, SLOTS = 20_000, 1 << 16
+
+
+def slot(group: Column) -> Column:
+    return F.pmod(F.xxhash64(group), F.lit(SLOTS)).cast("int")
+
+
 def score_bucket(score: Column) -> Column:
     """A whole number that never falls as a whole-number score rises: null is below all, then eight steps a doubling.
 
@@ -16,7 +24,7 @@ def score_bucket(score: Column) -> Column:
     return F.when(score.isNull(), F.lit(-(10**6))).otherwise((F.when(score < 0, -1).otherwise(1) * step).cast("int"))
 
 
-def top_n(items: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame:
+def top_n(items: DataFrame, group: str, item: str, score: str, n: int, split: int = SPLIT) -> DataFrame:
     """group, item, score and rank (from 1) of the n best items of each group.
 
     Higher scores come first, null scores last, equal scores by item ascending. An item that a group has more than
@@ -25,8 +33,14 @@ def top_n(items: DataFrame, group: str, item: str, score: str, n: int) -> DataFr
 
     A histogram of scores is made for each group; partial sums leave each task, not rows. The threshold of a group is
     the highest bucket that still has n items in it and above it, so what is kept surely holds the n best. Groups of
-    n items or fewer need no threshold. The items left are ranked exactly, and as ranks over n are dropped before the
-    exchange too, a bucket full of ties sends n rows from each task.
+    n items or fewer need no threshold.
+
+    Rows meet their threshold by group and salt. A group of more than `split` items has a salt for each `split` of
+    them, so none of its tasks gets many more; its threshold is repeated as often. Which groups have salts is told by
+    the number of salts in each of SLOTS hash slots of groups, a table of SLOTS rows at the most, which is broadcast;
+    a small group that shares its slot with a hot one is split for nothing, that is all. Only rows that pass the
+    threshold go on to the exchange by group, and as ranks over n are dropped before that exchange too, a bucket full
+    of ties sends n rows from each task.
     """
     rows = (
         items.select(F.col(f"`{group}`").alias("g"), F.col(f"`{item}`").alias("i"), F.col(f"`{score}`").cast("bigint").alias("s"))
@@ -42,9 +56,13 @@ def top_n(items: DataFrame, group: str, item: str, score: str, n: int) -> DataFr
         .groupBy("g")
         .agg(F.max(F.when(F.col("above") >= n, F.col("b"))).alias("least"), F.max("above").alias("all"))
         .filter(F.col("all") > n)
-        .select(F.col("g").alias("tg"), "least")
+        .withColumn("slot", slot(F.col("g")))
     )
-    survivors = rows.join(threshold, F.col("g") == F.col("tg"), "left").filter("least IS NULL OR b >= least")
+    hot = threshold.filter(F.col("all") > split).groupBy("slot").agg(F.ceil(F.max("all") / split).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    cuts = threshold.join(F.broadcast(hot), "slot", "left").select(F.col("g").alias("tg"), "least", F.explode(F.sequence(F.lit(0), salts - 1)).alias("ts"))
+    salted = rows.withColumn("slot", slot(F.col("g"))).join(F.broadcast(hot), "slot", "left").select("g", "i", "s", "b", F.pmod(F.xxhash64("i"), salts).cast("int").alias("salt"))
+    survivors = salted.join(cuts, (F.col("g") == F.col("tg")) & (F.col("salt") == F.col("ts")), "left").filter("least IS NULL OR b >= least").select("g", "i", "s")
     order = Window.partitionBy("g").orderBy(F.col("s").desc_nulls_last(), F.asc("i"))
     return (
         survivors.withColumn("rank", F.row_number().over(order))

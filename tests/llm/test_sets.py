@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from billow.llm import pairs, setjoin
-from billow.llm.terms import marks, scan_runs, term_frequencies
+from billow.llm.terms import counted_pairs, field_sizes, marks, scan_runs, term_frequencies
 from billow.llm.topn import score_bucket, top_n
 
 
@@ -34,6 +34,7 @@ def test_top_n(spark, seed):
         order = sorted(((-s, i) for (h, i), s in best.items() if h == g))
         want += [(g, i, None if s == 1 else -s, k) for k, (s, i) in enumerate(order[:5], 1)]
     assert rows(top_n(df, "g", "i", "s", 5)) == sorted(want, key=repr)
+    assert rows(top_n(df, "g", "i", "s", 5, split=7)) == sorted(want, key=repr)
     assert top_n(df.limit(0), "g", "i", "s", 5).count() == 0
 
 
@@ -48,10 +49,12 @@ def test_terms(spark):
             count[f, t] += 1
             records[f, t].add(r)
     want = sorted(((f, t, n, len(records[f, t])) for (f, t), n in count.items()), key=repr)
-    assert rows(term_frequencies(df, "field", "term", "record")) == want
-    assert term_frequencies(df.limit(0), "field", "term", "record").count() == 0
+    assert rows(term_frequencies(counted_pairs(df, "field", "term", "record"))) == want
+    assert term_frequencies(counted_pairs(df.limit(0), "field", "term", "record")).count() == 0
+    have = {f: {r for x, t, r in data if x == f and None not in (t, r)} for f in "xy"}
+    assert rows(field_sizes(counted_pairs(df, "field", "term", "record"))) == [("x", len(have["x"])), ("y", len(have["y"]))]
     sizes = spark.createDataFrame([("x", 30), ("y", 30)], "field string, total bigint")
-    marked = {(r.field, r.term): r.mark for r in marks(term_frequencies(df, "field", "term", "record"), sizes).collect()}
+    marked = {(r.field, r.term): r.mark for r in marks(term_frequencies(counted_pairs(df, "field", "term", "record")), sizes).collect()}
     assert marked["x", "hot"] == "common" and marked["x", "only"] == "rare"
 
 
