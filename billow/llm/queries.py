@@ -18,13 +18,13 @@ from billow.tables import blank, fold, load, newest
 
 def used_names(spark: SparkSession, folder: str) -> DataFrame:
     """name (folded) and repository_id of every artifact row that has a name."""
-    return load(spark, folder, "artifacts").select(fold("name").alias("name"), "repository_id").dropna()
+    return load(spark, folder, "artifacts").select(fold("name").alias("name"), "repository_id").filter("name IS NOT NULL AND repository_id IS NOT NULL")
 
 
 def newest_topics(spark: SparkSession, folder: str) -> DataFrame:
     """repository_id and each element of the topics of its newest row, folded; repeated elements stay."""
     rows = newest(load(spark, folder, "repositories").select("id", "topics", "updated_at"), ["id"])
-    return rows.select(F.col("id").alias("repository_id"), F.explode("topics").alias("topic")).select("repository_id", fold("topic").alias("topic")).dropna()
+    return rows.select(F.col("id").alias("repository_id"), F.explode("topics").alias("topic")).select("repository_id", fold("topic").alias("topic")).filter("repository_id IS NOT NULL AND topic IS NOT NULL")
 
 
 # 2: the best repositories of each package name

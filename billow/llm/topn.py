@@ -11,7 +11,9 @@ SPLIT, SLOTS = 20_000, 1 << 16
 
 
 def slot(group: Column) -> Column:
-    return F.pmod(F.xxhash64(group), F.lit(SLOTS)).cast("int")
+    """Never null and known to be so, else a filter on it would go down to the scan of one branch, and the branches
+    would not share what is below."""
+    return F.xxhash64(group).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def score_bucket(score: Column) -> Column:
