@@ -9,7 +9,7 @@ from billow.llm.bpe import decode_ids, encode_texts
 from billow.llm.canon import canonical, free_values
 from billow.llm.leaks import leaks
 from billow.llm.pairs import item_pairs
-from billow.llm.setjoin import similar_pairs, token_sets
+from billow.llm.setjoin import SimilarSets, expanded, record_links, similar_classes, token_sets
 from billow.llm.spam import page_features, stuffed_pages
 from billow.llm.terms import counted_pairs, field_sizes, marks, term_frequencies
 from billow.llm.topn import top_n
@@ -74,15 +74,38 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 # 5: repositories with nearly the same sets
 
 
-def similar(pairs: DataFrame, field: str, least: int) -> DataFrame:
-    found = similar_pairs(token_sets(pairs, "record", "term"), (4, 5), least)
-    return found.select(F.lit(field).alias("field"), F.col("record_a").alias("repository_id_a"), F.col("record_b").alias("repository_id_b"))
+#: The fields, each with the terms that a set must have at the least.
+FIELDS = {"topics": 5, "names": 8}
+
+
+def similar_repositories(spark: SparkSession, folder: str) -> SimilarSets:
+    """Classes and links of both fields in one plan: a record is (number of the field, id), a token (number, term), so
+    sets of different fields never share one."""
+    fields = [newest_topics(spark, folder).withColumnRenamed("topic", "term"), used_names(spark, folder).withColumnRenamed("name", "term")]
+    each = [df.select(F.struct(F.lit(k).alias("f"), F.col("repository_id").alias("id")).alias("record"), F.struct(F.lit(k).alias("f"), "term").alias("token")) for k, df in enumerate(fields)]
+    sets = token_sets(each[0].unionByName(each[1]), "record", "token")
+    return similar_classes(sets.filter(F.size("tokens") >= F.when(F.col("record.f") == 0, FIELDS["topics"]).otherwise(FIELDS["names"])), (4, 5))
+
+
+def field_of(record: str) -> F.Column:
+    return F.when(F.col(f"{record}.f") == 0, "topics").otherwise("names").alias("field")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    topics = newest_topics(spark, folder).select(F.col("repository_id").alias("record"), F.col("topic").alias("term"))
-    names = used_names(spark, folder).select(F.col("repository_id").alias("record"), F.col("name").alias("term"))
-    return similar(topics, "topics", 5).unionByName(similar(names, "names", 8))
+    found = expanded(similar_repositories(spark, folder))
+    return found.select(field_of("record_a"), F.col("record_a.id").alias("repository_id_a"), F.col("record_b.id").alias("repository_id_b"))
+
+
+def p5_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Similar pairs of different sets, each named by the least id that has it."""
+    links = similar_repositories(spark, folder).links
+    return links.select(field_of("rep_a"), F.col("rep_a.id").alias("class_a"), F.col("rep_b.id").alias("class_b"), F.col("shared").cast("bigint").alias("shared"), F.col("together").cast("bigint").alias("together"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repository with a set large enough: its class of equal sets, and how many repositories are similar to it."""
+    found = record_links(similar_repositories(spark, folder))
+    return found.select(field_of("record"), F.col("record.id").alias("repository_id"), F.col("rep.id").alias("class_id"), F.col("links").cast("bigint").alias("links"))
 
 
 # 6: packages listed in the same SBOM
@@ -147,6 +170,11 @@ TERMS = f"""WITH {USED},
  s AS (SELECT field, count(DISTINCT record) AS total FROM p GROUP BY field),
  m AS (SELECT f.*, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > total * 20 THEN 'common' END AS mark FROM f JOIN s ON f.field = s.field)
 """
+SIMILAR = f"""WITH {USED},
+ s AS (SELECT DISTINCT 'topics' AS field, repository_id AS r, topic AS term FROM topics UNION ALL SELECT DISTINCT 'names', repository_id, name FROM used),
+ z AS (SELECT field, r, count(*) AS n FROM s GROUP BY field, r HAVING n >= CASE field WHEN 'topics' THEN 5 ELSE 8 END),
+ w AS (SELECT s.*, n FROM s JOIN z USING (field, r)),
+ o AS (SELECT a.field, a.r AS ra, b.r AS rb, a.n AS na, b.n AS nb, count(*) AS k FROM w a JOIN w b ON a.field = b.field AND a.term = b.term AND a.r < b.r GROUP BY ALL)"""
 
 QUERIES = {
     "p2_found": p2_found,
@@ -154,6 +182,8 @@ QUERIES = {
     "p3_frequencies": p3_frequencies,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_class_pairs": p5_class_pairs,
+    "p5_classes": p5_classes,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
@@ -185,12 +215,12 @@ SQL = {
  FROM u JOIN last ON id = repository_id QUALIFY rank <= 5""",
     "p3_found": TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p3_frequencies": TERMS + "SELECT field, term, occurrences, records, mark FROM m",
-    "p5_found": f"""WITH {USED},
- s AS (SELECT DISTINCT 'topics' AS field, repository_id AS r, topic AS term FROM topics UNION ALL SELECT DISTINCT 'names', repository_id, name FROM used),
- z AS (SELECT field, r, count(*) AS n FROM s GROUP BY field, r HAVING n >= CASE field WHEN 'topics' THEN 5 ELSE 8 END),
- w AS (SELECT s.*, n FROM s JOIN z USING (field, r)),
- o AS (SELECT a.field, a.r AS ra, b.r AS rb, a.n AS na, b.n AS nb, count(*) AS k FROM w a JOIN w b ON a.field = b.field AND a.term = b.term AND a.r < b.r GROUP BY ALL)
- SELECT field, ra AS repository_id_a, rb AS repository_id_b FROM o WHERE k * 5 >= 4 * (na + nb - k)""",
+    "p5_found": SIMILAR + " SELECT field, ra AS repository_id_a, rb AS repository_id_b FROM o WHERE k * 5 >= 4 * (na + nb - k)",
+    "p5_class_pairs": SIMILAR + """, g AS (SELECT field, r, list_sort(list(term)) AS terms FROM w GROUP BY field, r), c AS (SELECT field, terms, min(r) AS r FROM g GROUP BY field, terms)
+ SELECT o.field, ra AS class_a, rb AS class_b, k AS shared, na + nb - k AS together FROM o JOIN c x ON x.field = o.field AND x.r = ra JOIN c y ON y.field = o.field AND y.r = rb WHERE k * 5 >= 4 * (na + nb - k)""",
+    "p5_classes": SIMILAR + """, g AS (SELECT field, r, list_sort(list(term)) AS terms FROM w GROUP BY field, r), c AS (SELECT *, min(r) OVER (PARTITION BY field, terms) AS class_id FROM g),
+ e AS (SELECT field, ra AS r FROM o WHERE k * 5 >= 4 * (na + nb - k) UNION ALL SELECT field, rb FROM o WHERE k * 5 >= 4 * (na + nb - k)), h AS (SELECT field, r, count(*) AS links FROM e GROUP BY field, r)
+ SELECT c.field, c.r AS repository_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN h ON h.field = c.field AND h.r = c.r""",
     "p6_found": PAIRS + "SELECT type, item_a AS name_a, item_b AS name_b FROM pairs",
     "p6_pairs": PAIRS + "SELECT * FROM pairs",
     "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",

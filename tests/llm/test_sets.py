@@ -99,9 +99,43 @@ def test_every_prefix_length_finds_all(spark, monkeypatch, length):
     rnd = random.Random(9)
     sets = {i: {rnd.randrange(25) for _ in range(rnd.randint(3, 22))} for i in range(120)}
     monkeypatch.setattr(setjoin, "prefix_lengths", lambda sets, share: dict.fromkeys(range(60), length))
+    least = length + 1  # two smaller sets need not share that many tokens
     df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "record bigint, token int")
-    found = setjoin.similar_pairs(setjoin.token_sets(df, "record", "token"))
-    assert sorted((r.record_a, r.record_b) for r in found.collect()) == similar(sets)
+    found = setjoin.similar_pairs(setjoin.token_sets(df, "record", "token"), least=least)
+    assert sorted((r.record_a, r.record_b) for r in found.collect()) == similar(sets, least=least)
+
+
+@pytest.mark.parametrize(("vocabulary", "size", "length"), [(120, 9, 2), (30, 9, 3)])
+def test_common_tokens_make_longer_prefixes_win(spark, monkeypatch, vocabulary, size, length):
+    rnd = random.Random(11)
+    sets = {}
+    for i in range(700):
+        sets[i] = set(rnd.sample(range(vocabulary), size)) if i % 4 else set(sets[i - 3]) ^ {rnd.randrange(vocabulary)} if i else {1}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "record bigint, token int")
+    chosen, real = {}, setjoin.prefix_lengths
+    monkeypatch.setattr(setjoin, "prefix_lengths", lambda *x: chosen.update(real(*x)) or chosen)
+    found = setjoin.similar_pairs(setjoin.token_sets(df, "record", "token"), (4, 5), 5)
+    assert sorted((r.record_a, r.record_b) for r in found.collect()) == similar(sets, least=5)
+    assert length in chosen.values()
+
+
+def test_no_record_writes_more_combinations_than_the_bound(spark):
+    sets = spark.createDataFrame([(n, list(range(n))) for n in (1, 2, 5, 8, 30, 60, 150, 500, 5000)], "rep bigint, tokens array<bigint>")
+    longest = [max(setjoin.allowed_lengths(group, (4, 5))) for group in range(40)]
+    assert longest[0] == 1 and 3 in longest and longest[-1] == 1
+    pick = F.element_at(F.array(*map(F.lit, longest)), F.col("class") + 1)
+    counts = setjoin.signatures(sets, (4, 5), pick, upper=True).groupBy("rep", "class").count().collect()
+    assert max(r["count"] for r in counts if longest[r["class"]] > 1) <= setjoin.MOST
+    assert max(r["count"] for r in counts) <= 1001
+
+
+def test_classes_and_links(spark):
+    sets = {1: "abcdefghij", 2: "abcdefghij", 3: "abcdefghi", 4: "abcdefghik", 5: "vwxyz", 9: "vwxyz", 6: "q"}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "record bigint, token string")
+    found = setjoin.similar_classes(setjoin.token_sets(df, "record", "token"))
+    assert rows(found.links) == [(1, 3, 9, 10), (1, 4, 9, 11), (3, 4, 9, 10)]
+    assert rows(setjoin.record_links(found)) == [(1, 1, 3), (2, 1, 3), (3, 3, 3), (4, 4, 3), (5, 5, 1), (6, 6, 0), (9, 5, 1)]
+    assert [tuple(r)[:2] for r in rows(setjoin.expanded(found))] == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 9)]
 
 
 def test_no_sets(spark):
