@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
@@ -143,8 +144,8 @@ def test_no_sets(spark):
     assert setjoin.similar_pairs(setjoin.token_sets(df, "record", "token")).count() == 0
 
 
-@pytest.mark.parametrize(("dense", "wide"), [((5, 100), 512), ((1, 2), 512), ((1, 1), 3), ((101, 100), 2)])
-def test_item_pairs(spark, dense, wide):
+@pytest.mark.parametrize(("dense", "part"), [((5, 100), 256), ((1, 2), 256), ((1, 1), 3), ((101, 100), 2), ((101, 100), 5)])
+def test_item_pairs(spark, dense, part):
     rnd = random.Random(3)
     data = [(rnd.choice(["s", "s", "t", None]), f"b{min(int(rnd.expovariate(0.05)), 60)}", rnd.choice(["hot", "hot", *"abcdefghijk", None])) for _ in range(1500)]
     df = spark.createDataFrame([(*x, 0) for x in data], "space string, basket string, item string, n int")
@@ -157,7 +158,49 @@ def test_item_pairs(spark, dense, wide):
         both.update((s, *p) for p in itertools.combinations(sorted(items), 2))
     total = Counter(s for s, _ in baskets)
     want = sorted((s, a, b, n) for (s, a, b), n in both.items() if n >= 5 and n * 100 >= 2 * total[s] and n * total[s] >= 1.05 * single[s, a] * single[s, b])
-    out = pairs.item_pairs(df, "space", "basket", "item", lift=1.05, dense_share=dense, wide=wide).collect()
+    out = pairs.item_pairs(df, "space", "basket", "item", lift=1.05, dense_share=dense, part=part).collect()
     assert sorted((r.space, r.item_a, r.item_b, r.both) for r in out) == want and want
     assert all(r.baskets_a == single[r.space, r.item_a] and r.baskets == total[r.space] for r in out)
     assert pairs.item_pairs(df.limit(0), "space", "basket", "item").count() == 0
+
+
+def batches_of(data, size):
+    columns = list(zip(*data, strict=True))
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_())
+    whole = pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["space", "basket", "item", "dense"])
+    return (whole.slice(k, size) for k in range(0, whole.num_rows, size))
+
+
+@pytest.mark.parametrize(("size", "block", "most"), [(7, 3, 10**6), (1000, 2, 10**6), (3, 1000, 11), (1000, 1000, 10**6), (5, 1, 1)])
+def test_blocks_begin_and_end_anywhere(monkeypatch, size, block, most):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", most)
+    rnd = random.Random(1)
+    data = sorted({(rnd.choice("st"), f"b{rnd.randrange(12)}", i := rnd.randrange(9), i < 4) for _ in range(150)})
+    held, want, got = defaultdict(set), Counter(), Counter()
+    for space, basket, item, _ in data:
+        held[space, basket].add(item)
+    for (space, _), items in held.items():
+        want.update((space, a, b) for a, b in itertools.combinations(sorted(items), 2) if a < 4)
+    for batch in pairs.count_blocks(batches_of(data, size)):
+        for space, a, b, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            got[space, a, b] += n
+    assert got == want
+
+
+def test_wide_baskets_need_little_memory():
+    import tracemalloc
+
+    def wide():
+        for basket in range(40):
+            items = np.arange(30_000, dtype=np.int32)
+            for k in range(0, 30_000, 10_000):
+                part = items[k : k + 10_000]
+                yield pa.record_batch([pa.array(["s"] * 10_000), pa.array([f"b{basket:03}"] * 10_000), pa.array(part), pa.array(part < 20)], ["space", "basket", "item", "dense"])
+
+    tracemalloc.start()
+    found = sum(int(np.sum(batch.column(3).to_numpy())) for batch in pairs.count_blocks(wide()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 40 * (20 * 19 // 2 + 20 * 29_980)
+    assert peak < 150e6
