@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -33,14 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back, so that what follows does not compute it again.
 
     The folder is the one in spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary folder
-    is used. Starts a job. Reliable: the files outlive executors.
+    is used, which goes when Python ends. Starts a job. Reliable: the files outlive executors. They are deleted when the
+    DataFrame is no longer referred to, if spark.cleaner.referenceTracking.cleanCheckpoints is on, as in DEFAULTS; a
+    launcher of its own should set it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="billow-"))
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="billow-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
