@@ -9,11 +9,11 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billow.session import bounded
+from billow.session import bounded, cut
 from billow.tables import blank
 
 #: Entries of a reference list that may be held by every task.
@@ -93,6 +93,14 @@ class SymmetricDelete:
             for short in deletes(word, edit_bound(len(word))):
                 self.table[short].append(word)
         self.longest = max(map(len, words), default=0)
+        self.__setstate__({})
+
+    def __getstate__(self) -> dict:
+        """The dictionary without what this process has looked up; a worker starts its own cache and keeps it."""
+        return {k: v for k, v in self.__dict__.items() if k != "lookup"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
         self.lookup = lru_cache(200_000)(self.lookup_uncached)
 
     def lookup_uncached(self, term: str) -> tuple[tuple[float, int, str], ...]:
@@ -299,32 +307,38 @@ def canonical(values: DataFrame, value: str, entries: DataFrame, key: str, name:
     """raw_value, entry: the entries that each value means, one row each; '' for a value that means none.
 
     `values` should be distinct; nulls are left out. Values that equal a key or name are mapped like others. The list
-    is read to the driver and sent to the tasks, up to LIST_LIMIT entries, more raise an error: a reference list is
-    kept by hand and does not grow with the data. Entries with a null key or name are left out. Words of a value are
-    looked up among words of the list by symmetric deletes and ranked by weighted edit distance, then by frequency of
-    the entries that hold them; numbers are never corrected, so a version that the list lacks gives no entry.
-    frequency(value, n): rows that hold an entry as it stands. Starts two small jobs.
+    is read to the driver, made a dictionary with all its deletes once, and that is broadcast: a worker process unpacks
+    it once and keeps it, with what it has looked up, from task to task. LIST_LIMIT bounds it; a longer list raises an
+    error, as a reference list is kept by hand and does not grow with the data. Entries with a null key or name are left
+    out. Words of a value are looked up among words of the list by symmetric deletes and ranked by weighted edit
+    distance, then by frequency of the entries that hold them; numbers are never corrected, so a version that the list
+    lacks gives no entry. frequency(value, n): rows that hold an entry as it stands. Starts two small jobs.
     """
     listed = bounded(entries.select(F.col(key).alias("k"), F.col(name).alias("n")).dropna(), LIST_LIMIT)
     if listed is None:
         raise ValueError(f"the reference list has more than {LIST_LIMIT} entries")
-    pairs = [(r["k"], r["n"]) for r in listed]
     counts = {}
     if frequency is not None:
         exact = entries.select(F.explode(F.array(key, name)).alias("value")).dropna().distinct()
         counts = {r["value"]: r["n"] for r in frequency.join(F.broadcast(exact), "value", "left_semi").limit(2 * LIST_LIMIT).collect()}
+    shared = values.sparkSession.sparkContext.broadcast(Matcher([(r["k"], r["n"]) for r in listed], counts))
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher: Matcher = shared.value
+        for batch in batches:
+            found = [(v, e) for v in batch.column(0).to_pylist() for e in matcher.match(v) or [""]]
+            yield pa.record_batch([pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else ((), ()))], ["raw_value", "entry"])
+
+    return values.select(F.col(value).alias("raw_value")).filter("raw_value IS NOT NULL").mapInArrow(resolve, "raw_value string, entry string")
 
-    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(pairs, counts)
-        for frame in frames:
-            rows = [(v, e) for v in frame["raw_value"] for e in matcher.match(v) or [""]]
-            yield pd.DataFrame(rows, columns=["raw_value", "entry"])
 
-    return values.select(F.col(value).alias("raw_value")).dropna().mapInPandas(resolve, "raw_value string, entry string")
+def counted_values(values: DataFrame, value: str) -> DataFrame:
+    """value, n: each different value with its number of rows, written to the checkpoint folder, so that the input is
+    read once for frequencies and for what is to be mapped."""
+    return cut(values.select(F.col(value).alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n")))
 
 
-def free_values(values: DataFrame, value: str, entries: DataFrame, key: str, name: str) -> DataFrame:
-    """value, n: each different value with its number of rows, without blank ones and those equal to a key or name."""
-    counted = values.select(F.col(value).alias("value")).filter(~blank("value")).groupBy("value").agg(F.count("*").alias("n"))
+def free_values(counted: DataFrame, entries: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows (value, n) of counted values that are not blank and not equal to a key or name."""
     exact = entries.select(F.explode(F.array(key, name)).alias("value")).dropna().distinct()
-    return counted.join(exact, "value", "left_anti")
+    return counted.filter(~blank("value")).join(exact, "value", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billow.llm.bpe import decode_ids, encode_texts
-from billow.llm.canon import canonical, free_values
+from billow.llm.canon import canonical, counted_values, free_values
 from billow.llm.leaks import leaks
 from billow.llm.pairs import item_pairs
 from billow.llm.setjoin import SimilarSets, expanded, record_links, similar_classes, token_sets
@@ -65,10 +65,9 @@ def typed_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     entries = load(spark, folder, "license_list")
-    values = typed_licenses(spark, folder)
-    counts = values.groupBy("value").agg(F.count("*").alias("n"))
-    free = free_values(values, "value", entries, "license_id", "full_name")
-    return canonical(free, "value", entries, "license_id", "full_name", counts).select("raw_value", F.col("entry").alias("license_id"))
+    counted = counted_values(typed_licenses(spark, folder), "value")
+    free = free_values(counted, entries, "license_id", "full_name")
+    return canonical(free, "value", entries, "license_id", "full_name", counted).select("raw_value", F.col("entry").alias("license_id"))
 
 
 # 5: repositories with nearly the same sets

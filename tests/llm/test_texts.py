@@ -1,6 +1,8 @@
 """Operators on texts: the tokenizer against two public libraries, leaks and keywords against small cases."""
 
+import pickle
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -141,12 +143,30 @@ def test_licence_names(value, keys):
     assert canon.Matcher(LIST).match(value) == keys
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_one_wrong_letter(data, seed):
+    """Each name of the test list with one letter changed, left out, put in or swapped, in its longest word."""
+    import pyarrow.parquet as pq
+
+    entries = [(r["license_id"], r["full_name"]) for r in pq.read_table(f"{data}/license_list.parquet").to_pylist()]
+    matcher, rnd, wrong = pickle.loads(pickle.dumps(canon.Matcher(entries))), random.Random(seed), []
+    for key, name in entries:
+        word = max(re.findall(r"[A-Za-z]+", name), key=len)
+        at = rnd.randrange(1, len(word) - 1)
+        letter = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+        other = rnd.choice([word[:at] + letter + word[at + 1 :], word[:at] + word[at + 1 :], word[:at] + letter + word[at:], word[:at] + word[at + 1] + word[at] + word[at + 2 :]])
+        if matcher.match(name.replace(word, other, 1)) != [key]:
+            wrong.append((name, other))
+    assert len(wrong) * 50 <= len(entries), wrong
+
+
 def test_canonical(spark):
     entries = spark.createDataFrame([*[(k, n, False) for k, n in LIST], (None, "x", True)], "license_id string, full_name string, raw_value boolean")
     values = spark.createDataFrame([("tarnpl 2",), ("tarnpl 2",), (None,), (" ",), ("TarnPL-2.0",), ("?",)], "value string")
-    free = canon.free_values(values, "value", entries, "license_id", "full_name")
+    counted = canon.counted_values(values, "value")
+    free = canon.free_values(counted, entries, "license_id", "full_name")
     assert rows(free) == [("?", 1), ("tarnpl 2", 2)]
-    assert rows(canon.canonical(free, "value", entries, "license_id", "full_name", free)) == [("?", ""), ("tarnpl 2", "TarnPL-2.0")]
+    assert rows(canon.canonical(free, "value", entries, "license_id", "full_name", counted)) == [("?", ""), ("tarnpl 2", "TarnPL-2.0")]
     assert rows(canon.canonical(free, "value", entries.limit(0), "license_id", "full_name")) == [("?", ""), ("tarnpl 2", "")]
     assert canon.canonical(free.limit(0), "value", entries, "license_id", "full_name").count() == 0
 
