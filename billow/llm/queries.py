@@ -138,7 +138,7 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with each item that it gives away: words of the longest run, and if question and answer are there."""
     documents, items = load(spark, folder, "documents"), load(spark, folder, "eval_items")
-    return leaks(documents, "doc_id", "text", items, "item_id", "passage", "question", "answer")
+    return leaks(documents, "doc_id", "text", items, "item_id", "passage", "question", "answer").withColumn("words", F.col("words").cast("bigint"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +204,19 @@ PAIRS = f"""WITH r AS (SELECT DISTINCT type, sbom_commit_sha AS sbom, {FOLD.form
 """
 RUNS = """WITH {name}_text AS (SELECT {key}, regexp_extract_all(lower(regexp_replace({text}, '[\\x{{AD}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}),
  {name} AS (SELECT DISTINCT {key}, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM {name}_text WHERE len(w) >= 12))"""
+PLAIN = "regexp_extract_all(lower(regexp_replace(coalesce({text}, ''), '[\\x{{AD}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+SPACED = "' ' || array_to_string({words}, ' ') || ' '"
+#: Runs of 12 words with their places; a run that goes on is a line of such places on one diagonal, 11 words longer than the line.
+REPORT = f"""WITH d AS (SELECT doc_id, w, {SPACED.format(words="w")} AS joined FROM (SELECT doc_id, {PLAIN.format(text="text")} AS w FROM documents)),
+ i AS (SELECT item_id, w, array_to_string(q, ' ') AS q, array_to_string(a, ' ') AS a FROM (SELECT item_id, {PLAIN.format(text="passage")} AS w, {PLAIN.format(text="question")} AS q, {PLAIN.format(text="answer")} AS a FROM eval_items)),
+ dg AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ ig AS (SELECT item_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+ m AS (SELECT doc_id, item_id, dg.k AS x, dg.k - ig.k AS diagonal FROM dg JOIN ig ON dg.g = ig.g),
+ l AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY x) AS line FROM m) GROUP BY doc_id, item_id, diagonal, line)
+ SELECT l.doc_id, l.item_id, max(words) AS words, any_value(i.q <> '' AND contains(d.joined, ' ' || i.q || ' ')) AS question, any_value(i.a <> '' AND contains(d.joined, ' ' || i.a || ' ')) AS answer
+ FROM l JOIN d ON d.doc_id = l.doc_id JOIN i ON i.item_id = l.item_id GROUP BY l.doc_id, l.item_id"""
 SQL = {
+    "p8_report": REPORT,
     "p8_found": RUNS.format(name="d", key="doc_id", text="text", table="documents")
     + ", "
     + RUNS.format(name="i", key="item_id", text="passage", table="eval_items").removeprefix("WITH ")

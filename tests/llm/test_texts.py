@@ -77,15 +77,16 @@ def test_leaks(spark, monkeypatch, limit):
         9: "   ",
         10: "What is the question here exactly " + PASSAGE.replace(" ", ", ") + " forty two",
         11: " ".join(words[:12] + words[12:20]),
+        12: " ".join(words[:12] + words[8:20]),  # two runs, the second one begins in the middle of the first
     }
     items = [(1, PASSAGE, "question here", "forty two"), (2, "too short a passage", "q", "a"), (3, None, None, None), (4, PASSAGE, "", None), (None, PASSAGE, "q", "a")]
     d = spark.createDataFrame([(k, v, 0) for k, v in docs.items()], "doc_id bigint, text string, item int")
     i = spark.createDataFrame(items, "item_id bigint, passage string, question string, answer string")
     out = leaks.leaks(d, "doc_id", "text", i, "item_id", "passage", "question", "answer").collect()
-    assert sorted((r.doc_id, r.item_id) for r in out) == sorted((k, x) for k in (1, 2, 5, 10, 11) for x in (1, 4))
+    assert sorted((r.doc_id, r.item_id) for r in out) == sorted((k, x) for k in (1, 2, 5, 10, 11, 12) for x in (1, 4))
     by = {(r.doc_id, r.item_id): r for r in out}
     assert by[10, 1].question and by[10, 1].answer and not by[1, 1].question and not by[10, 4].question
-    assert by[2, 1].words == 12 and by[1, 1].words == len(words) and by[11, 1].words == 20
+    assert by[2, 1].words == 12 and by[1, 1].words == len(words) and by[11, 1].words == 20 and by[12, 1].words == 12
     assert leaks.leaks(d, "doc_id", "text", i.limit(0), "item_id", "passage", "question", "answer").count() == 0
     assert leaks.leaks(d.limit(0), "doc_id", "text", i, "item_id", "passage", "question", "answer").count() == 0
 
@@ -108,6 +109,40 @@ def test_retrieval_loses_nothing():
     got = {(t, int(index.items[k])) for t, k in index.retrieve(ids) if index.longest(ids[t], k)}
     want = {(t, k) for t, words in enumerate(texts) for k, p, _, _ in items if any(" ".join(words[i : i + 12]) + " " in p + " " and f" {' '.join(words[i:i + 12])} " in f" {p} " for i in range(len(words) - 11))}
     assert got == want and want
+    for t, words in enumerate(texts[:80]):  # the longest run, by trying all
+        joined = [f" {p} " for _, p, _, _ in items]
+        for k, x in enumerate(index.items.tolist()):
+            best = max((n for i in range(len(words)) for n in range(12, len(words) - i + 1) if f" {' '.join(words[i : i + n])} " in joined[x]), default=0)
+            assert index.longest(ids[t], k) == best
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_walk_finds_all_that_score_one(monkeypatch, block):
+    monkeypatch.setattr(leaks, "BLOCK", block)
+    rnd = random.Random(block)
+    items = [(k, " ".join(f"w{min(int(rnd.expovariate(0.2)), 40)}" for _ in range(rnd.randint(12, 60))), "", "") for k in range(300)]
+    index = leaks.Index(items, 12)
+    for _ in range(150):
+        terms = sorted(rnd.sample(range(len(index.keys)), rnd.randint(1, min(31, len(index.keys)))))
+        scores = {}
+        for t in terms:
+            for k in range(index.offsets[t], index.offsets[t + 1]):
+                scores[int(index.post_item[k])] = scores.get(int(index.post_item[k]), 0.0) + float(index.post_impact[k])
+        assert sorted(index.walk(terms)) == sorted(k for k, x in scores.items() if x >= 1)
+
+
+def test_index_grows_with_the_words_of_its_items():
+    import tracemalloc
+
+    rnd, sizes = random.Random(4), []
+    for n in (500, 2000):
+        items = [(k, " ".join(f"w{rnd.randrange(30_000)}" for _ in range(100)), "q", "a") for k in range(n)]
+        tracemalloc.start()
+        index = leaks.Index(items, 12)
+        sizes.append(tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+        assert len(index.post_item) <= 99 * n
+    assert sizes[1] < 5 * sizes[0] and sizes[1] < 20e6
 
 
 def test_weighted_distance():
