@@ -159,9 +159,10 @@ class Index:
     def retrieve(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
         """(text, item) of every passage that scores at least 1 for the item.
 
-        Passages overlap by run - 1 words, so each run lies in one of them. Most passages have too few terms of the
-        index: the sum of the greatest impacts of theirs is under 1, which is the first pivot not found, for all
-        passages at once. The others walk the lists.
+        Passages overlap by run - 1 words, so each run lies in one of them. A run of an item is run - 1 neighbouring
+        terms of the index, so terms with fewer known ones around them ask for nothing. Of most passages that are left
+        the sum of the greatest impacts is under 1, which is the first pivot not found, for all passages at once. The
+        others walk the lists.
         """
         size = max(PASSAGE, 2 * self.run)
         stride, width = size - self.run + 1, size - 1
@@ -171,7 +172,13 @@ class Index:
                 continue
             terms = self.terms(ids)
             starts = np.arange(0, len(ids) - self.run + 1, stride)
-            if not len(at := np.flatnonzero(terms >= 0)):
+            at = np.flatnonzero(terms >= 0)
+            if len(at) < self.run - 1:
+                continue
+            borders = np.flatnonzero(at[1:] != at[:-1] + 1) + 1
+            sizes = np.diff(np.concatenate(([0], borders, [len(at)])))
+            at = at[np.repeat(sizes >= self.run - 1, sizes)]
+            if not len(at):
                 continue
             # A term lies in the passage that begins last before it, and in those before that reach it.
             for back in range(-(-width // stride)):
