@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billow import dims
+from billow.functions.tokens import bpe_count
 from billow.plans import collect, openapi
 from billow.plans.export import projects
 from billow.plans.warehouse import Warehouse, adhoc
@@ -34,7 +35,7 @@ def db_index(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.language:
         rows = rows.filter(F.lower("language") == args.language.lower())
     if args.limit:
-        rows = rows.limit(args.limit)
+        rows = rows.orderBy("id").limit(args.limit)
     out = {"repositories": files.repository_rows(rows, now), "releases": files.release_rows(rows, now)}
     if args.sboms:
         target = rows.select(F.col("sbom_path").alias("sbom_file"), "id", F.col("download_target.ref").alias("sbom_ref"), F.col("download_target.commit_sha").alias("sbom_commit_sha"))
@@ -104,13 +105,19 @@ def openapi_list_paths(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def openapi_stats(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Lines and tokens of the sources of cloned repositories. --input: a table of projects (owner, repo, language), by
+    default the ones of the warehouse."""
     root = args.clones.rstrip("/")
     rows = files.folder_files(spark, root)
+    listed = files.csv_text(spark, args.input) if args.input else projects(warehouse(spark, args.warehouse)) if files.exists(spark, f"{args.warehouse}/repositories") else None
     parts = F.split(F.substring_index("path", root.rsplit("/", 1)[-1] + "/", -1), "/")
     keyed = rows.select(parts[0].alias("owner"), parts[1].alias("repo"), F.array_join(F.slice(parts, 3, F.size(parts)), "/").alias("path"), "length", F.col("content").cast("string").alias("text"))
-    ends = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    sources = keyed.join(dims.extensions(spark).select("extension").distinct(), ends == F.col("extension"), "left_semi")
-    write_csv(openapi.source_stats(sources, ["owner", "repo"]), args.output)
+    if listed is None:
+        sources = keyed.withColumn("language", F.lit(""))
+    else:
+        sources = keyed.join(listed.select(F.lower("owner").alias("o"), F.lower("repo").alias("r"), "language").dropDuplicates(["o", "r"]), [F.lower("owner") == F.col("o"), F.lower("repo") == F.col("r")])
+    counts = (lambda text: bpe_count(spark, text)) if args.bpe else openapi.token_count
+    write_csv(openapi.source_stats(sources, ["owner", "repo", "language"], size="length", tokens=counts), args.output)
 
 
 def sbom_hashes(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -140,7 +147,7 @@ COMMANDS = {
     ("openapi", "candidates"): (openapi_candidates, ["--output=candidates", "--trees"]),
     ("openapi", "drift"): (openapi_drift, ["input", "--specs=specs", "--truth=truth", "--output=drift"]),
     ("openapi", "list-paths"): (openapi_list_paths, ["input", "--specs=specs", "--output=paths"]),
-    ("openapi", "stats"): (openapi_stats, ["clones", "--output=stats"]),
+    ("openapi", "stats"): (openapi_stats, ["clones", "--input", "--output=stats", "--bpe:flag"]),
     ("sbom", "hashes"): (sbom_hashes, ["input"]),
     ("github", "search"): (github_search, ["input", "--output=search", "--language", "--min-stars:int=1000", "--force:flag"]),
 }

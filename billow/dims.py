@@ -36,7 +36,11 @@ LANGUAGES = {
 #: Extensions where the language is unknown. Fixed.
 EXTENSIONS = [".py", ".go", ".java", ".rs", ".rb", ".js", ".ts", ".php"]
 #: Names of API descriptions, directories that hide them, parts of directory names that do. Fixed.
-OPENAPI_FILES = [f"{stem}.{end}" for stem in ("openapi", "swagger", "api", "api-docs", "openapi-spec", "swagger-spec") for end in ("yaml", "yml", "json")]
+OPENAPI_FILES = [
+    "openapi.yaml", "openapi.yml", "openapi.json", "swagger.yaml", "swagger.yml", "swagger.json", "api.yaml", "api.yml", "api.json",
+    "api-docs.yaml", "api-docs.yml", "api-docs.json", "openapi-spec.yaml", "openapi-spec.yml", "openapi-spec.json",
+    "swagger-spec.yaml", "swagger-spec.yml", "swagger-spec.json",
+]
 IGNORED_DIRECTORIES = [
     "test", "tests", "__tests__", "__test__", "fixture", "fixtures", "example", "examples", "sample", "samples", "seed", "demo", "demos", "testdata",
     "node_modules", "vendor", "bower_components", "dist", "build", "temp", "tmp", ".github", "site-packages", "mock", "mocks", "coverage", "bin", "obj",
@@ -60,8 +64,11 @@ def framework_packages(spark: SparkSession) -> DataFrame:
 
 
 def ranked(packages: DataFrame) -> DataFrame:
-    """A table (language, framework, package_name, usage) with priority and position by name, where it has none."""
-    by_language, by_framework = Window.partitionBy("language").orderBy("framework"), Window.partitionBy("language", "framework", "usage").orderBy("package_name")
+    """A table (language, framework, package_name, usage) with priority and position, where it has none: the frameworks of
+    `LANGUAGES` in their order, then others by name; packages by name."""
+    listed = F.create_map(*[F.lit(x) for language, (_, frameworks, _) in LANGUAGES.items() for k, framework in enumerate(frameworks) for x in (f"{language} {framework}", k)])
+    known = F.try_element_at(listed, F.concat_ws(" ", F.lower("language"), F.lower("framework")))
+    by_language, by_framework = Window.partitionBy("language").orderBy(known.asc_nulls_last(), "framework"), Window.partitionBy("language", "framework", "usage").orderBy("package_name")
     return packages.withColumn("priority", F.dense_rank().over(by_language) - 1).withColumn("position", F.row_number().over(by_framework) - 1)
 
 

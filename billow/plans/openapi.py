@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billow.dims import HEAVY_DIRECTORIES, HEAVY_EXTENSIONS, IGNORED_DIRECTORIES, IGNORED_PARTS, METHODS, OPENAPI_FILES
+from billow.dims import EXTENSIONS, HEAVY_DIRECTORIES, HEAVY_EXTENSIONS, IGNORED_DIRECTORIES, IGNORED_PARTS, LANGUAGES, METHODS, OPENAPI_FILES
 from billow.functions.scalars import basename, blob_url, depth, filled, lines_of_code, normalize_path, percent, ref_of, tree_url
 from billow.operators.rank import best_value, keep_first
 from billow.operators.sets import agreement
@@ -49,13 +50,14 @@ def best_spec(files: DataFrame, group: list[str], path: str = "path", size: str
 def candidates(warehouse: Warehouse, files: DataFrame | None = None, commands: DataFrame | None = None, base: str = "https://github.com/") -> DataFrame:
     """Repositories that use a framework and have an API description or a package that makes one; columns CANDIDATES.
 
-    files(owner, repo, ref, sha, path, position): file trees; owner and repo are compared without case. All frameworks
-    are one plan: artifacts meet the small package dimension once, then are aggregated by repository and framework, so
-    no row is multiplied by its siblings. A repository with an excluded package of a framework is none of its candidates.
+    files(language, owner, repo, ref, sha, path, position): file trees, each of one commit; its language, owner,
+    repository, ref (the release, else the branch) and commit are compared without case, so trees of two commits of one
+    ref are not mixed. All frameworks are one plan: artifacts meet the small package dimension where they are read, then
+    are aggregated by repository and framework, so no row is multiplied by its siblings. A repository with an excluded package of a framework is none of its candidates.
     """
     marks = warehouse.packages.select("language", "framework", F.col("package_name").alias("name"), "usage", "priority").distinct()
     single = marks.groupBy("framework", "name", "usage").agg(F.min_by("language", F.struct("priority", "language")).alias("language"))
-    hits = warehouse.final("artifacts", "repository_id", "name", "version").join(single, "name")
+    hits = warehouse.tagged(single, "repository_id", "version")
     by = hits.groupBy("repository_id", "framework").agg(
         F.max(F.when(F.col("usage") == "core", F.col("version"))).alias("framework_version"),
         F.count_if(F.col("usage") == "core").alias("core"),
@@ -67,8 +69,10 @@ def candidates(warehouse: Warehouse, files: DataFrame | None = None, commands: D
     named = rows.select("id", F.lower("language").alias("language"), F.lower("owner").alias("owner"), F.lower("repo").alias("repo"), "stars", F.lower("default_branch").alias("default_branch"), F.lower("latest_release_tag").alias("latest_release"), F.lower("sbom_commit_sha").alias("commit_sha"))
     joined = by.filter("core > 0 AND excluded = 0").join(named, F.col("repository_id") == F.col("id")).withColumn("language", filled(F.col("language"), F.col("framework_language")))
     if files is not None:
-        best = best_file(description_files(files).select(F.lower("owner").alias("o"), F.lower("repo").alias("r"), F.lower("ref").alias("f"), "path", "position"), ["o", "r", "f"])
-        joined = joined.join(best, (F.col("owner") == F.col("o")) & (F.col("repo") == F.col("r")) & (ref_of(F.col("latest_release"), F.col("default_branch")) == F.col("f")), "left")
+        of_commit = [F.lower(c).alias(f"f_{c}") for c in ("language", "owner", "repo", "ref", "sha")]
+        best = best_file(description_files(files).select(*of_commit, "path", "position"), ["f_language", "f_owner", "f_repo", "f_ref", "f_sha"])
+        same = [F.col(a) == F.col(b) for a, b in (("language", "f_language"), ("owner", "f_owner"), ("repo", "f_repo"), ("commit_sha", "f_sha"))]
+        joined = joined.join(best, [*same, ref_of(F.col("latest_release"), F.col("default_branch")) == F.col("f_ref")], "left")
     else:
         joined = joined.withColumn("path", F.lit(None).cast("string"))
     out = joined.withColumn("openapi_file", F.coalesce("path", F.lit(""))).filter((F.col("openapi_file") != "") | (F.size("deps") > 0))
@@ -148,12 +152,28 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z]{1,7}|[0-9]{1,3}|[^\sA-Za-z0-9]|\s*[\r\n]+"), F.lit(0))).cast("bigint")
 
 
-def source_stats(files: DataFrame, group: list[str], path: str = "path", text: str = "text", size: str = "length", most: int = 1 << 20) -> DataFrame:
-    """group, lines, tokens, files: of files outside ignored directories; files over `most` bytes count as 0."""
-    small = F.coalesce(F.col(size), F.length(text)) <= most
-    rows = files.filter(~F.arrays_overlap(directories(F.col(path)), F.array(*map(F.lit, IGNORED_DIRECTORIES))))
-    zero = F.lit(0).cast("bigint")
-    return rows.groupBy(*group).agg(F.sum(F.when(small, lines_of_code(F.col(text))).otherwise(zero)).alias("lines"), F.sum(F.when(small, token_count(F.col(text))).otherwise(zero)).alias("tokens"), F.count("*").alias("files"))
+def is_source(path: Column, language: Column) -> Column:
+    """Does a file name end like a source of the language, or of any common one where the language is not known?"""
+    suffix = F.regexp_extract(F.lower(path), r"[^/](\.[^./]+)$", 1)
+    named = F.lower(language)
+    out = F.when(F.coalesce(named.isin(list(LANGUAGES)), F.lit(False)), F.lit(False)).otherwise(suffix.isin(EXTENSIONS))
+    for name, (_, _, ends) in LANGUAGES.items():
+        out = F.when(named == name, suffix.isin(ends)).otherwise(out)
+    return out
+
+
+def source_stats(files: DataFrame, group: list[str], path: str = "path", text: str = "text", language: str = "language", size: str | None = None, most: int = 1 << 20, tokens: Callable[[Column], Column] = token_count) -> DataFrame:
+    """group, lines, tokens, files: of the files outside ignored directories whose names end like sources of their
+    repository's language (see `is_source`); files over `most` bytes count as 0 lines and tokens.
+
+    size: the column with the bytes of a file; by default those of its text. tokens: how tokens are counted, by default
+    an estimate; `billow.functions.tokens.bpe_count` counts them by a vocabulary.
+    """
+    small = (F.octet_length(F.coalesce(text, F.lit(""))) if size is None else F.col(size)) <= most
+    ignored = F.arrays_overlap(directories(F.col(path)), F.array(*map(F.lit, IGNORED_DIRECTORIES)))
+    read = F.when(small, F.col(text))
+    rows = files.filter(~ignored & is_source(F.col(path), F.col(language))).select(*group, lines_of_code(read).alias("lines"), tokens(read).alias("tokens"))
+    return rows.groupBy(*group).agg(F.sum("lines").alias("lines"), F.sum("tokens").alias("tokens"), F.count("*").alias("files"))
 
 
 def context_fit(stats: DataFrame, windows: DataFrame, models: list[str]) -> DataFrame:

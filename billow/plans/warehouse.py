@@ -48,6 +48,16 @@ class Warehouse:
         repositories = self.final("repositories", "id", *theirs).select("id", *[F.col(c).alias(f"r_{c}") for c in theirs])
         return self.final("artifacts", *dict.fromkeys(["repository_id", *mine])).join(repositories, F.col("repository_id") == F.col("id")).select(*columns)
 
+    def tagged(self, marks: DataFrame, *columns: str) -> DataFrame:
+        """These columns of all artifact rows with a name in marks(name, ...), with the columns of marks.
+
+        For what does not change with repeated rows, of columns that are part of the key: such need no newest rows. So
+        artifacts meet the small dimension where they are read, and nearly none of them is sent.
+        """
+        assert {*columns, "name"} <= set(KEYS["artifacts"])
+        rows = normalised(self.tables["artifacts"], "artifacts", list(dict.fromkeys(["name", *columns])))
+        return rows.join(marks, "name")
+
     def stats(self) -> DataFrame:
         """repositories, artifacts: rows of each, in one row."""
         a = self.final("repositories", "id").agg(F.count("*").alias("repositories"))
@@ -94,15 +104,19 @@ class Warehouse:
     def in_language(self, language: str, *columns: str) -> DataFrame:
         return self.final("repositories", *dict.fromkeys(["id", "language", *columns])).filter(F.lower("language") == language.lower())
 
-    def with_packages(self, packages: list[str]) -> DataFrame:
-        """repository_id of the artifacts with one of these names, before any dedupe: names are part of the key."""
-        return normalised(self.tables["artifacts"], "artifacts", ["repository_id", "name"]).filter(F.col("name").isin(packages)).select("repository_id")
+    def with_packages(self, packages: list[str] | DataFrame) -> DataFrame:
+        """repository_id of the artifacts with one of these names (or those of a DataFrame(name)), before any dedupe:
+        names are part of the key."""
+        rows = normalised(self.tables["artifacts"], "artifacts", ["repository_id", "name"])
+        if isinstance(packages, DataFrame):
+            return rows.join(packages.select("name").distinct(), "name", "left_semi").select("repository_id")
+        return rows.filter(F.col("name").isin(packages)).select("repository_id")
 
-    def framework_usage(self, language: str, packages: list[str]) -> DataFrame:
+    def framework_usage(self, language: str, packages: list[str] | DataFrame) -> DataFrame:
         rows = self.in_language(language)
         return rows.join(self.with_packages(packages), rows["id"] == F.col("repository_id"), "left_semi").agg(F.count("*").alias("repositories"))
 
-    def top_projects(self, language: str, packages: list[str], limit: int = 3) -> DataFrame:
+    def top_projects(self, language: str, packages: list[str] | DataFrame, limit: int = 3) -> DataFrame:
         rows = self.in_language(language, "owner", "repo", "stars", "url")
         found = rows.join(self.with_packages(packages), rows["id"] == F.col("repository_id"), "left_semi").select("owner", "repo", "stars", "url").distinct()
         return found.orderBy(F.desc("stars"), "owner", "repo", "url").limit(limit)
@@ -113,11 +127,11 @@ class Warehouse:
 
     def repository_frameworks(self, repository_id: int | Column | None = None) -> DataFrame:
         """repository_id, framework, version: what its packages say, for one repository or for all."""
-        rows = self.final("artifacts", "repository_id", "name", "version")
+        marks = self.core_packages().select(F.col("package_name").alias("name"), "framework").filter("name <> ''").distinct()
+        rows = self.tagged(marks, "repository_id", "version")
         if repository_id is not None:
             rows = rows.filter(F.col("repository_id") == repository_id)
-        marks = self.core_packages().select(F.col("package_name").alias("name"), "framework").filter("name <> ''").distinct()
-        return rows.join(marks, "name").select("repository_id", "framework", "version").distinct()
+        return rows.select("repository_id", "framework", "version").distinct()
 
     def framework_stats(self, samples: int = 3) -> DataFrame:
         """language, framework, repositories, samples: how many repositories of the language use the framework, and the

@@ -15,20 +15,15 @@ from billow.operators import sets
 from billow.operators.rank import keep_first, latest_value, merged, top_per_group, unseen
 from billow.plans import classify, collect, openapi
 from billow.plans.export import projects
-from billow.queries.warehouse import CANDIDATES, FINAL, PROJECTS, warehouse
+from billow.functions.tokens import bpe_count
+from billow.queries.warehouse import CANDIDATES, DIRECTORIES, FINAL, HIDDEN, NAMED, PROJECTS, TREE_PATH, pick, trees, warehouse
 from billow.tables import load
 
-DIRECTORIES = ["", "docs/", "api/v1/", "tests/", "my-test/", "examples_old/", "Spec/"]
-FILES = ["openapi.yaml", "swagger.json", "API.YML", "api.json", "README.md", "logo.png", "main.go", "openapi.json"]
+SOURCES = ["main.go", "App.PY", "index.ts", "logo.png", "Main.java", "lib.rs", "README.md", "user.rb", "page.php", "view.jsx", "build", ".py", "a.b.kt", "go.sum", "c.mjs"]
 MERGED = ["stars", "description", "language", "license_name", "latest_release_tag"]
 
 
-def pick(values: list[str], number: str) -> str:
-    """SQL for the element of a list by a number; the same text for both engines."""
-    return "CASE " + " ".join(f"WHEN {number} % {len(values)} = {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
-
-
-TREE_PATH = f"concat({pick(DIRECTORIES, 'doc_id')}, {pick(FILES, 'doc_id')})"
+SOURCE_PATH = f"concat({pick(DIRECTORIES, 'doc_id')}, {pick(SOURCES, 'doc_id')})"
 SPEC = """concat('{"paths": {"/Items/{id}/', doc_id % 7, '/": {"get": {}, "POST": {}, "x-note": 1}, "users/:uid?x=', doc_id, '": {"delete": {}}}}')"""
 
 
@@ -140,8 +135,19 @@ def drift_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return openapi.drift(rows, keyed[0], keyed[1])
 
 
+def sources(spark: SparkSession, folder: str) -> DataFrame:
+    """repository_id, language, path, text: one file a document of a known repository, with names of many languages."""
+    rows = load(spark, folder, "documents").select("repository_id", F.expr(SOURCE_PATH).alias("path"), "text")
+    return rows.join(warehouse(spark, folder).final("repositories", "id", "language"), F.col("repository_id") == F.col("id")).drop("id")
+
+
 def repo_token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return openapi.source_stats(tree(spark, folder), ["repository_id"])
+    return openapi.source_stats(sources(spark, folder), ["repository_id", "language"])
+
+
+def repo_bpe_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and tokens of each repository's sources, tokens by a public vocabulary: SQL has no such count."""
+    return openapi.source_stats(sources(spark, folder), ["repository_id", "language"], tokens=lambda text: bpe_count(spark, text))
 
 
 def context_fit(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +170,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return openapi.distinct_projects(openapi.candidates(warehouse(spark, folder)))
+    return openapi.distinct_projects(openapi.candidates(warehouse(spark, folder), trees(spark, folder)))
 
 
 def last_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +197,7 @@ QUERIES = {
     for f in (
         ledger_keep_first, incremental_new_ids, metadata_merge, release_merge, latest_stable, release_summary, ref_resolution, manifest_cross, topn_per_framework,
         openapi_file_filter, best_openapi_file, best_spec_by_size, spec_endpoints, list_paths, endpoint_union, endpoint_intersect, endpoint_missing,
-        drift_metrics, repo_token_stats, context_fit, tree_size_saved, content_hash, document_lines,
+        drift_metrics, repo_token_stats, repo_bpe_tokens, context_fit, tree_size_saved, content_hash, document_lines,
         distinct_candidates, last_language, classification_flat, release_steps,
     )
 }
@@ -199,16 +205,22 @@ QUERIES = {
 TREE = f"t AS (SELECT repository_id, doc_id, {TREE_PATH} AS path, text, coalesce(n_chars, 0) AS length FROM documents WHERE repository_id IS NOT NULL)"
 SPECS = f"""x AS (SELECT DISTINCT repository_id, doc_id, m AS method, p AS path FROM (SELECT repository_id, doc_id, unnest(['GET', 'POST', 'DELETE']) AS m,
   unnest(['/items/{{}}/' || (doc_id % 7), '/items/{{}}/' || (doc_id % 7), '/users/{{}}']) AS p FROM documents WHERE repository_id IS NOT NULL))"""
-HIDDEN = "path LIKE 'tests/%' OR path LIKE 'my-test/%' OR path LIKE 'examples_old/%'"
-DESCRIBED = f"f AS (SELECT * FROM t WHERE lower(split_part(path, '/', -1)) IN ('openapi.yaml', 'swagger.json', 'api.yml', 'api.json', 'openapi.json') AND NOT ({HIDDEN}))"
+DESCRIBED = f"f AS (SELECT * FROM t WHERE {NAMED} AND NOT ({HIDDEN}))"
 EVENTS = "e AS (SELECT user_id, event_type AS method, '/v/' || CAST(floor(value) AS BIGINT) AS path, event_id % 2 = 1 AS odd FROM events)"
 TAGS = "tags AS (SELECT DISTINCT repository_id, coalesce(tag_name, '') AS tag_name FROM releases)"
 FILLED = [f"coalesce(n.{c}, o.{c}) AS {c}" for c in MERGED]
 MANIFESTS = "(VALUES " + ", ".join(f"('{language}', '{name}')" for language, name in [(a, b) for a, spec in LANGUAGES.items() for b in spec[0]]) + ") AS m(l, manifest)"
-STATS = f"""WITH {TREE}, stats AS (SELECT repository_id,
-   CAST(sum(CASE WHEN length <= 1048576 THEN len(regexp_replace(u, '[^\\n]', '', 'g')) + CASE WHEN u <> '' AND NOT ends_with(u, chr(10)) THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS lines,
-   CAST(sum(CASE WHEN length <= 1048576 THEN len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{1,7}}|[0-9]{{1,3}}|[^\\s\\x0BA-Za-z0-9]|[\\s\\x0B]*[\\r\\n]+')) ELSE 0 END) AS BIGINT) AS tokens, count(*) AS files
-   FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS u FROM t WHERE NOT (path LIKE 'tests/%')) GROUP BY repository_id)"""
+#: Which endings count for which language, and for a language that is not known. Fixed.
+ENDS = """(VALUES ('go', ['.go']), ('python', ['.py']), ('java', ['.java', '.kt', '.scala']), ('rust', ['.rs']), ('ruby', ['.rb']), ('php', ['.php']),
+   ('node', ['.js', '.ts', '.jsx', '.tsx', '.mjs', '.cjs']), ('javascript', ['.js', '.ts', '.jsx', '.tsx', '.mjs', '.cjs']), ('typescript', ['.js', '.ts', '.jsx', '.tsx', '.mjs', '.cjs'])) AS e(l, ends)"""
+STATS = f""", f AS (SELECT d.repository_id, r.language, {SOURCE_PATH} AS path, text FROM (SELECT doc_id, repository_id, text FROM documents) d JOIN r ON d.repository_id = r.id),
+   g AS (SELECT f.*, strlen(coalesce(text, '')) <= 1048576 AS small, regexp_replace(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g') AS u
+     FROM f LEFT JOIN {ENDS} ON l = lower(language) WHERE NOT (path LIKE 'tests/%')
+     AND list_contains(coalesce(ends, ['.py', '.go', '.java', '.rs', '.rb', '.js', '.ts', '.php']), regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1))),
+   stats AS (SELECT repository_id, language,
+   CAST(sum(CASE WHEN small THEN len(regexp_replace(u, '[^\\n]', '', 'g')) + CASE WHEN u <> '' AND NOT ends_with(u, chr(10)) THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS lines,
+   CAST(sum(CASE WHEN small THEN len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{1,7}}|[0-9]{{1,3}}|[^\\s\\x0BA-Za-z0-9]|[\\s\\x0B]*[\\r\\n]+')) ELSE 0 END) AS BIGINT) AS tokens, count(*) AS files
+   FROM g GROUP BY repository_id, language)"""
 STABLE = "NOT is_prerelease AND NOT is_draft"
 ORDER = "coalesce(published_at, created_at) DESC NULLS LAST, tag_name"
 KIND = "list_extract([" + ", ".join(f"'{c}'" for c in [*CATEGORIES, "Other"]) + "], CAST(id % 9 + 1 AS INT))"
@@ -255,8 +267,8 @@ SQL = {
         round(CASE WHEN coalesce(f, 0) = 0 THEN 0.0 ELSE coalesce(k, 0)::DOUBLE / f END, 4) AS precision, round(CASE WHEN coalesce(t, 0) = 0 THEN 0.0 ELSE coalesce(k, 0)::DOUBLE / t END, 4) AS recall,
         round(CASE WHEN coalesce(t + f, 0) = 0 THEN 0.0 ELSE 2 * coalesce(k, 0)::DOUBLE / (t + f) END, 4) AS f1_score, '' AS openapi_file
         FROM customer LEFT JOIN n ON n.user_id = c_custkey LEFT JOIN b ON b.user_id = c_custkey""",
-    "repo_token_stats": STATS + " SELECT * FROM stats",
-    "context_fit": STATS + " SELECT repository_id, tokens, tokens <= 200 AS small, tokens <= 2000 AS middle FROM stats",
+    "repo_token_stats": FINAL + STATS + " SELECT * FROM stats",
+    "context_fit": FINAL + STATS + " SELECT repository_id, tokens, tokens <= 200 AS small, tokens <= 2000 AS middle FROM stats",
     "tree_size_saved": f"""WITH {TREE}, s AS (SELECT repository_id, CAST(sum(length) AS BIGINT) AS total, CAST(coalesce(sum(length) FILTER (path NOT LIKE 'tests/%' AND path NOT LIKE '%.png'), 0) AS BIGINT) AS kept FROM t GROUP BY repository_id)
         SELECT *, round(CASE WHEN total = 0 THEN 0.0 ELSE (1 - kept::DOUBLE / total) * 100 END, 1) AS saved_percent FROM s""",
     "content_hash": "SELECT doc_id, sha256('a' || coalesce(path, '') || 'b' || coalesce(text, '')) AS hash FROM documents",

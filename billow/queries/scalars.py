@@ -35,7 +35,7 @@ def iso_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def middle_day(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "repositories").filter("created_at <= updated_at").select("id", "updated_at", S.day(S.middle(F.col("created_at"), F.col("updated_at"))).alias("middle")).distinct()
+    return load(spark, folder, "repositories").select("id", "updated_at", S.day(S.middle(F.col("created_at"), F.col("updated_at"))).alias("middle")).distinct()
 
 
 def url_builder(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,7 @@ def natural_size(spark: SparkSession, folder: str) -> DataFrame:
 
 def assets_json(spark: SparkSession, folder: str) -> DataFrame:
     assets = F.from_json("release_assets", "array<map<string,string>>")
-    return load(spark, folder, "releases").select("repository_id", "tag_name", F.coalesce(F.size(assets), F.lit(0)).cast("bigint").alias("assets"), F.to_json(F.slice(assets, 1, 0)).alias("none")).distinct()
+    return load(spark, folder, "releases").select("repository_id", "tag_name", F.coalesce(F.size(assets), F.lit(0)).cast("bigint").alias("assets"), F.to_json(assets).alias("json")).distinct()
 
 
 def category() -> F.Column:
@@ -118,13 +118,14 @@ SQL = {
     "license_normalize": "SELECT DISTINCT id, array_to_string([x FOR x IN [nullif(license_spdx_id, ''), nullif(license_name, ''), nullif(language, '')] IF x IS NOT NULL], ';') AS names FROM (SELECT id, license_spdx_id, license_name, language FROM repositories)",
     "owner_extract": "SELECT DISTINCT id, coalesce(owner, '') AS owner FROM repositories",
     "iso_parse": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN date_trunc('second', ts) END AS at, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%d') ELSE '1970-01-02' END AS day FROM events",
-    "middle_day": "SELECT DISTINCT id, updated_at, strftime(CAST(created_at AS DATE) + CAST(floor((CAST(updated_at AS DATE) - CAST(created_at AS DATE)) / 2) AS INT), '%Y-%m-%d') AS middle FROM repositories WHERE created_at <= updated_at",
+    "middle_day": "SELECT DISTINCT id, updated_at, strftime(CAST(created_at AS DATE) + CAST(floor((CAST(updated_at AS DATE) - CAST(created_at AS DATE)) / 2) AS INT), '%Y-%m-%d') AS middle FROM repositories",
     "url_builder": f"SELECT DISTINCT id, url || CASE WHEN latest_release_tag <> '' THEN '/releases/tag/' || latest_release_tag WHEN sbom_commit_sha <> '' THEN '/tree/' || sbom_commit_sha ELSE '' END AS tree, url || '/blob/' || {REF.format('sbom_commit_sha', 'default_branch')} || '/openapi.yaml' AS blob FROM repositories",
     "ref_fallback": f"SELECT DISTINCT id, {REF.format('latest_release_tag', 'default_branch')} AS ref, coalesce(nullif(latest_release_tag, ''), nullif(sbom_commit_sha, ''), nullif(default_branch, ''), '') AS tag, {REF.format('latest_release_tag', chr(39) + 'HEAD' + chr(39))} || coalesce('/' || nullif(trim(sbom_commit_sha), ''), '') AS version FROM repositories",
     "short_sha": "SELECT DISTINCT sbom_commit_sha, left(sbom_commit_sha, 7) AS short FROM artifacts",
     "ref_names": "SELECT DISTINCT repository_id, CASE WHEN source = 'git_tag' THEN 'refs/tags/' ELSE 'refs/heads/' END || tag_name || CASE WHEN is_prerelease THEN '^{}' ELSE '' END AS full, tag_name AS name FROM releases",
     "natural_size": "SELECT doc_id, CASE WHEN n = 1 THEN '1 Byte' WHEN n < 1000 THEN n || ' Bytes' WHEN n < 1000000 THEN printf('%.1f kB', n / 1000.0::DOUBLE) ELSE printf('%.1f MB', n / 1000000.0::DOUBLE) END AS size FROM (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents)",
-    "assets_json": "SELECT DISTINCT repository_id, tag_name, coalesce(json_array_length(release_assets), 0)::BIGINT AS assets, CASE WHEN release_assets IS NOT NULL THEN '[]' END AS none FROM releases",
+    "assets_json": """SELECT DISTINCT repository_id, tag_name, coalesce(json_array_length(release_assets), 0)::BIGINT AS assets,
+        replace(replace(replace(release_assets, '": "', '":"'), '", "', '","'), '}, {', '},{') AS json FROM releases""",
     "tag_rule": f"SELECT DISTINCT id, updated_at, CASE WHEN {CATEGORY} = 'Web Application' THEN coalesce(array_to_string([x FOR x IN coalesce(topics, []) IF x IS NOT NULL][1:5], ';'), '') ELSE '' END AS tags FROM repositories",
     "framework_override": f"SELECT DISTINCT id, CASE WHEN {CATEGORY} = 'Web Framework' THEN repo ELSE coalesce(language, '') END AS framework FROM repositories",
     "snippet": "SELECT doc_id, md5(left(text, 1000)) AS digest FROM documents",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billow.dims import ranked
+from billow.dims import framework_packages, ranked
 from billow.plans.export import projects
 from billow.plans.openapi import candidate_stats, candidates
 from billow.plans.warehouse import Warehouse, adhoc
@@ -13,6 +13,17 @@ from billow.tables import load
 
 #: Arguments of the queries that take some.
 PART, LANGUAGE = "parser", "python"
+DIRECTORIES = ["", "docs/", "api/v1/", "tests/", "my-test/", "examples_old/", "Spec/"]
+FILES = ["openapi.yaml", "swagger.json", "API.YML", "api.json", "README.md", "logo.png", "main.go", "openapi.json"]
+
+
+def pick(values: list[str], number: str) -> str:
+    """SQL for the element of a list by a number; the same text for both engines."""
+    return "CASE " + " ".join(f"WHEN {number} % {len(values)} = {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+TREE_PATH = f"concat({pick(DIRECTORIES, 'doc_id')}, {pick(FILES, 'doc_id')})"
+REAL_NAME = f"CASE WHEN length(name) % 3 = 0 THEN {pick(['fastapi', 'starlette', 'django', 'flask', 'express', 'laravel/framework', 'symfony/routing'], 'repository_id')} WHEN length(name) % 3 = 1 THEN {pick(['django', 'fastapi', 'flask', 'symfony/http-kernel', 'rails'], 'length(version)')} ELSE name END"
 
 
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
@@ -74,9 +85,9 @@ def dependents(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse(spark, folder).dependents(top_library(spark, folder), LANGUAGE)
 
 
-def core_names(spark: SparkSession, folder: str) -> list[str]:
-    """Core packages of the language: a list of a few names from a fixed dimension."""
-    return [r["package_name"] for r in warehouse(spark, folder).core_packages().filter(F.col("language") == LANGUAGE).select("package_name").collect()]
+def core_names(spark: SparkSession, folder: str) -> DataFrame:
+    """name: core packages of the language."""
+    return warehouse(spark, folder).core_packages().filter(F.col("language") == LANGUAGE).select(F.col("package_name").alias("name"))
 
 
 def framework_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,8 +114,25 @@ def export_web_only(spark: SparkSession, folder: str) -> DataFrame:
     return projects(warehouse(spark, folder), web_only=True)
 
 
+def trees(spark: SparkSession, folder: str) -> DataFrame:
+    """File trees of commits: a file for each document of a repository; every fifth lies in the tree of another commit."""
+    house = warehouse(spark, folder)
+    rows = load(spark, folder, "documents").select("repository_id", F.col("doc_id").alias("position"), F.expr(TREE_PATH).alias("path"))
+    ref = F.coalesce(F.nullif("latest_release_tag", F.lit("")), "default_branch")
+    sha = F.when(F.col("position") % 5 == 0, "other").otherwise(F.col("sbom_commit_sha"))
+    joined = rows.join(house.final("repositories", "id", "language", "owner", "repo", "latest_release_tag", "default_branch", "sbom_commit_sha"), F.col("repository_id") == F.col("id"))
+    return joined.select("language", "owner", "repo", ref.alias("ref"), sha.alias("sha"), "path", "position")
+
+
 def found_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return candidates(warehouse(spark, folder), base="https://code.example/")
+    return candidates(warehouse(spark, folder), trees(spark, folder), base="https://code.example/")
+
+
+def export_by_fixed_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects with the packages of the fixed dimension, whose frameworks have an order of their own; names of artifacts
+    are turned into such packages."""
+    artifacts = load(spark, folder, "artifacts").withColumn("name", F.expr(REAL_NAME))
+    return projects(Warehouse(load(spark, folder, "repositories"), artifacts, packages=framework_packages(spark)))
 
 
 def generation_command(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +147,7 @@ def generation_command(spark: SparkSession, folder: str) -> DataFrame:
 def candidate_stats_total(spark: SparkSession, folder: str) -> DataFrame:
     house = warehouse(spark, folder)
     totals = house.framework_stats().groupBy("framework").agg(F.sum("repositories").alias("total"))
-    return candidate_stats(candidates(house), totals)
+    return candidate_stats(candidates(house, trees(spark, folder)), totals)
 
 
 def adhoc_sql(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,15 +180,23 @@ USED = """, used AS (SELECT DISTINCT p.language, p.framework, r.id, r.owner, r.r
    FROM (SELECT DISTINCT language, framework FROM p WHERE usage = 'core') p LEFT JOIN used u ON u.language = p.language AND u.framework = p.framework GROUP BY p.language, p.framework)
 """
 PROJECTS = """, hit AS (SELECT r.id, arg_min(p.framework, p.priority) AS framework FROM r JOIN a ON a.repository_id = r.id JOIN p ON p.package_name = a.name AND p.language = lower(r.language) AND p.usage = 'core' GROUP BY r.id),
- projects AS (SELECT r.language, coalesce(framework, '') AS framework, owner, repo, stars, default_branch, latest_release_tag AS latest_release, sbom_commit_sha AS commit_sha, url FROM r LEFT JOIN hit ON hit.id = r.id)
+ projects AS (SELECT lower(r.language) AS language, coalesce(framework, '') AS framework, owner, repo, stars, default_branch, latest_release_tag AS latest_release, sbom_commit_sha AS commit_sha, url FROM r LEFT JOIN hit ON hit.id = r.id)
 """
-CANDIDATES = """, s AS (SELECT framework, package_name, usage, min(language) AS language FROM p GROUP BY ALL),
+HIDDEN = "path LIKE 'tests/%' OR path LIKE 'my-test/%' OR path LIKE 'examples_old/%'"
+NAMED = "lower(split_part(path, '/', -1)) IN ('openapi.yaml', 'swagger.json', 'api.yml', 'api.json', 'openapi.json')"
+CANDIDATES = f""", tf AS (SELECT doc_id, lower(r.language) AS tl, lower(owner) AS own, lower(repo) AS rep, lower(coalesce(nullif(latest_release_tag, ''), default_branch)) AS ref,
+   lower(CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE sbom_commit_sha END) AS sha, {TREE_PATH} AS path FROM (SELECT doc_id, repository_id FROM documents) d JOIN r ON d.repository_id = r.id),
+ best AS (SELECT * FROM tf WHERE {NAMED} AND NOT ({HIDDEN}) QUALIFY row_number() OVER (PARTITION BY tl, own, rep, ref, sha ORDER BY
+   CASE WHEN lower(split_part(path, '/', -1)) LIKE '%openapi%' OR lower(split_part(path, '/', -1)) LIKE '%swagger%' THEN 0 ELSE 1 END, length(path) - length(replace(path, '/', '')), length(path), doc_id) = 1),
+ s AS (SELECT framework, package_name, usage, min(language) AS language FROM p GROUP BY ALL),
  h AS (SELECT a.repository_id, s.framework, max(CASE WHEN usage = 'core' THEN version END) AS v, count(*) FILTER (usage = 'core') AS core, count(*) FILTER (usage = 'excluded') AS excluded,
    coalesce(string_agg(DISTINCT lower(a.name), ';' ORDER BY lower(a.name)) FILTER (usage = 'openapi'), '') AS deps, max(s.language) AS fl FROM a JOIN s ON a.name = s.package_name GROUP BY ALL),
- c AS (SELECT coalesce(nullif(lower(language), ''), fl) AS language, framework, lower(coalesce(v, '')) AS framework_version, lower(owner) AS owner, lower(repo) AS repo, stars, lower(default_branch) AS default_branch,
-   lower(latest_release_tag) AS latest_release, lower(sbom_commit_sha) AS commit_sha, deps AS matched_dependencies FROM h JOIN r ON h.repository_id = r.id WHERE core > 0 AND excluded = 0 AND deps <> ''),
+ k AS (SELECT coalesce(nullif(lower(language), ''), fl) AS language, framework, lower(coalesce(v, '')) AS framework_version, lower(owner) AS owner, lower(repo) AS repo, stars, lower(default_branch) AS default_branch,
+   lower(latest_release_tag) AS latest_release, lower(sbom_commit_sha) AS commit_sha, deps AS matched_dependencies FROM h JOIN r ON h.repository_id = r.id WHERE core > 0 AND excluded = 0),
+ c AS (SELECT k.*, coalesce(path, '') AS openapi_file, coalesce(nullif(commit_sha, ''), nullif(latest_release, ''), default_branch) AS place FROM k LEFT JOIN best ON tl = language AND own = owner AND rep = repo AND sha = commit_sha
+   AND ref = coalesce(nullif(latest_release, ''), default_branch) WHERE matched_dependencies <> '' OR path IS NOT NULL),
  found AS (SELECT *, 'https://code.example/' || owner || '/' || repo || CASE WHEN latest_release <> '' THEN '/releases/tag/' || latest_release WHEN commit_sha <> '' THEN '/tree/' || commit_sha ELSE '' END AS url,
-   '' AS openapi_file, '' AS openapi_url, false AS has_openapi_file, true AS has_openapi_deps, '' AS generation_command FROM c)
+   CASE WHEN openapi_file <> '' THEN 'https://code.example/' || owner || '/' || repo || '/blob/' || place || '/' || openapi_file ELSE '' END AS openapi_url, openapi_file <> '' AS has_openapi_file, matched_dependencies <> '' AS has_openapi_deps, '' AS generation_command FROM c)
 """
 
 QUERIES = {
@@ -183,6 +219,7 @@ QUERIES = {
     "export_projects": export_projects,
     "export_web_only": export_web_only,
     "candidates": found_candidates,
+    "export_by_fixed_order": export_by_fixed_order,
     "generation_command": generation_command,
     "candidate_stats_total": candidate_stats_total,
     "adhoc_sql": adhoc_sql,
@@ -206,12 +243,17 @@ SQL = {
     "framework_stats": FINAL + USED + "SELECT * FROM fs",
     "export_projects": FINAL + PROJECTS + "SELECT * FROM projects",
     "export_web_only": FINAL + PROJECTS + "SELECT * FROM projects WHERE framework <> ''",
+    "export_by_fixed_order": FINAL.replace("FROM artifacts", f"FROM (SELECT * REPLACE ({REAL_NAME} AS name) FROM artifacts) artifacts")
+    + """, f(l, framework, name, k) AS (VALUES ('python', 'flask', 'flask', 0), ('python', 'django', 'django', 1), ('python', 'fastapi', 'fastapi', 2), ('python', 'fastapi', 'starlette', 2), ('ruby', 'rails', 'rails', 0),
+        ('php', 'laravel', 'laravel/framework', 0), ('php', 'symfony', 'symfony/routing', 1), ('php', 'symfony', 'symfony/http-kernel', 1), ('javascript', 'express', 'express', 0), ('typescript', 'express', 'express', 0)),
+      g AS (SELECT r.id, arg_min(f.framework, k) AS framework FROM r JOIN a ON a.repository_id = r.id JOIN f ON f.name = a.name AND l = lower(r.language) GROUP BY r.id)
+      SELECT lower(language) AS language, coalesce(framework, '') AS framework, owner, repo, stars, default_branch, latest_release_tag AS latest_release, sbom_commit_sha AS commit_sha, url FROM r LEFT JOIN g ON g.id = r.id""",
     "candidates": FINAL + CANDIDATES + "SELECT language, framework, framework_version, owner, repo, stars, default_branch, latest_release, commit_sha, url, openapi_file, openapi_url, matched_dependencies, has_openapi_file, has_openapi_deps, generation_command FROM found",
     "generation_command": FINAL + CANDIDATES + """SELECT framework, owner, repo, matched_dependencies,
-      coalesce('make ' || list_extract([d FOR d IN string_split(matched_dependencies, ';') IF length(d) % 2 = 0], 1), 'run ' || framework) AS generation_command FROM found""",
-    "candidate_stats_total": FINAL + CANDIDATES + USED + """, t AS (SELECT framework, CAST(sum(repositories) AS BIGINT) AS total FROM fs GROUP BY framework), m AS (SELECT framework, count(*) AS n FROM found GROUP BY framework),
-      z AS (SELECT t.framework, total, coalesce(n, 0) AS matched FROM t LEFT JOIN m ON m.framework = t.framework),
-      g AS (SELECT coalesce(framework, 'TOTAL') AS framework, CAST(sum(total) AS BIGINT) AS total, CAST(sum(matched) AS BIGINT) AS matched FROM z GROUP BY ROLLUP (framework))
-      SELECT framework, total, matched, 0::BIGINT AS "both", 0::BIGINT AS file_only, matched AS deps_only, round(CASE WHEN total = 0 THEN 0.0 ELSE matched::DOUBLE * 100 / total END, 2) AS percentage FROM g""",
+      coalesce('make ' || list_extract([d FOR d IN string_split(matched_dependencies, ';') IF length(d) % 2 = 0], 1), 'run ' || framework) AS generation_command FROM found WHERE has_openapi_deps""",
+    "candidate_stats_total": FINAL + CANDIDATES + USED + """, t AS (SELECT framework, CAST(sum(repositories) AS BIGINT) AS total FROM fs GROUP BY framework), m AS (SELECT framework, count(*) AS n, count(*) FILTER (has_openapi_file AND has_openapi_deps) AS b, count(*) FILTER (NOT has_openapi_deps) AS f, count(*) FILTER (NOT has_openapi_file) AS d FROM found GROUP BY framework),
+      z AS (SELECT t.framework, total, coalesce(n, 0) AS matched, coalesce(b, 0) AS b, coalesce(f, 0) AS f, coalesce(d, 0) AS d FROM t LEFT JOIN m ON m.framework = t.framework),
+      g AS (SELECT coalesce(framework, 'TOTAL') AS framework, CAST(sum(total) AS BIGINT) AS total, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(b) AS BIGINT) AS b, CAST(sum(f) AS BIGINT) AS f, CAST(sum(d) AS BIGINT) AS d FROM z GROUP BY ROLLUP (framework))
+      SELECT framework, total, matched, b AS "both", f AS file_only, d AS deps_only, round(CASE WHEN total = 0 THEN 0.0 ELSE matched::DOUBLE * 100 / total END, 2) AS percentage FROM g""",
     "adhoc_sql": FINAL + "SELECT language, count(*) AS releases, count(DISTINCT l.repository_id) AS repositories FROM l JOIN r ON l.repository_id = r.id WHERE NOT is_prerelease GROUP BY language",
 }

@@ -62,7 +62,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """df, split by a unique key over all cores if it comes in fewer parts than there are cores, else as it is.
 
     For steps whose work a row is far more than moving it: a small table in one file would run on one core. A large
-    table comes in many parts and is not moved.
+    table comes in many parts and is not moved. What has been through an exchange is spread already and stays as it is:
+    to count its parts would run its stages.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -47,8 +47,9 @@ def append_ledger(df: DataFrame, path: str, key: str, order: list[Column], force
     first.write.mode("append").option("ignoreNullFields", True).json(path)
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """A CSV folder with a header and flags as True and False; `single` asks for one file, for a report of bounded size."""
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """A CSV folder with a header and flags as True and False; `single` asks for one file, which only a report of bounded
+    size should be: all its rows go through one task."""
     text = df.select([python_bool(F.col(c)).alias(c) if kind == "boolean" else F.col(c) for c, kind in df.dtypes])
     (text.coalesce(1) if single else text).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 

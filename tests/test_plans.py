@@ -54,7 +54,7 @@ def test_export_takes_frameworks_by_priority(house):
 
 
 def test_candidates(spark, house):
-    files = spark.createDataFrame([("a", "ONE", "v1", "s", "docs/openapi.yaml", 0), ("a", "ONE", "v1", "s", "tests/openapi.json", 1)], "owner string, repo string, ref string, sha string, path string, position int")
+    files = spark.createDataFrame([("Python", "a", "ONE", "v1", "", "docs/openapi.yaml", 0), ("python", "a", "ONE", "v1", "", "tests/openapi.json", 1), ("python", "a", "one", "v1", "other", "openapi.json", 2), ("go", "a", "one", "v1", "", "openapi.json", 3)], "language string, owner string, repo string, ref string, sha string, path string, position int")
     out = {(r.repo, r.framework): r for r in openapi.candidates(house, files, dims.commands(spark)).collect()}
     assert set(out) == {("one", "flask"), ("one", "django"), ("two", "fastapi")}  # flask is excluded where there is fastapi
     row = out[("one", "flask")]
@@ -107,7 +107,7 @@ def test_releases_and_refs(spark):
 
 def test_sizes(spark):
     files = spark.createDataFrame([("r", "a.go", "x\ny", 3), ("r", "tests/b.go", "z", 1), ("r", "big.go", "q", 2 << 20), ("r", "p.png", None, 6)], "g string, path string, text string, length long")
-    assert rows(openapi.source_stats(files, ["g"]).select("lines", "files")) == [(2, 3)]
+    assert rows(openapi.source_stats(files.withColumn("language", F.lit("go")), ["g"], size="length").select("lines", "files")) == [(2, 2)]
     assert rows(openapi.tree_sizes(files.filter("length < 100"), ["g"])) == [("r", 10, 3, 70.0)]
     windows = spark.createDataFrame([("m", 5)], "model string, tokens long")
     assert rows(openapi.context_fit(spark.createDataFrame([("r", 5), ("s", 6)], "g string, tokens long"), windows, ["m"])) == [("r", 5, True), ("s", 6, False)]
@@ -130,3 +130,35 @@ def test_plan_reads_only_what_it_needs(spark, data):
     assert "ReadSchema: struct<repository_id:bigint,name:string>" in plan and "TakeOrderedAndProject" in plan
     text = warehouse(spark, data).of_library("x", None)._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+
+
+def test_listed_frameworks_have_the_fixed_order(spark):
+    packages = [("python", f, f, "core") for f in ("aiohttp", "fastapi", "django", "flask")] + [("php", "symfony", "x", "core"), ("php", "laravel", "y", "core")]
+    found = dims.ranked(spark.createDataFrame(packages, "language string, framework string, package_name string, usage string")).collect()
+    order = sorted((r.language, r.priority, r.framework) for r in found)
+    assert [x[2] for x in order] == ["laravel", "symfony", "flask", "django", "fastapi", "aiohttp"]
+
+
+def test_sources_by_language(spark):
+    files = [("go", "a/x.GO"), ("go", "x.py"), ("go", "go.sum"), ("cobol", "x.py"), ("cobol", "x.kt"), (None, "x.rs"), ("Java", "x.kt"), ("python", "tests/x.py"), ("python", ".py"), ("python", "x.test.py"), ("node", "x.mjs")]
+    df = spark.createDataFrame([(k, language, path, "a b\nc") for k, (language, path) in enumerate(files)], "k int, language string, path string, text string")
+    out = {r.k: (r.lines, r.files) for r in openapi.source_stats(df, ["k"]).collect()}
+    assert sorted(out) == [0, 3, 5, 6, 9, 10] and set(out.values()) == {(2, 1)}
+
+
+def test_long_files_count_as_nothing_by_their_bytes(spark):
+    df = spark.createDataFrame([(1, "go", "x.go", "é" * 600), (2, "go", "x.go", "e" * 600), (3, "go", "x.go", None)], "k int, language string, path string, text string")
+    assert {r.k: (r.lines, r.files) for r in openapi.source_stats(df, ["k"], most=1000).collect()} == {1: (0, 1), 2: (1, 1), 3: (0, 1)}
+
+
+def test_bpe_counts_as_a_second_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    P = pytest.importorskip("public_tokenizers")
+    from billow.functions.tokens import bpe_count
+
+    texts = ["def main():\n    return 1\n", "<|endoftext|>", "", None, "naïve 文字", "x" * 500]
+    other = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.n for r in df.select("k", bpe_count(spark, F.col("t")).alias("n")).collect()}
+    assert got == {k: len(other.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
