@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,9 @@ DEFAULTS = {
 }
 
 
+_made: dict[str, str] = {}
+
+
 def session(master: str = "local[*]", name: str = "billow", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and for one machine; on a cluster the launcher sets master and memory."""
     builder = SparkSession.builder.master(master).appName(name)
@@ -32,23 +36,35 @@ def session(master: str = "local[*]", name: str = "billow", partitions: int = 8,
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Only where that is unset and all runs on one
+    machine, as in tests, a temporary folder is made, which goes when Python ends."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _made:
+            _made[context.applicationId] = tempfile.mkdtemp(prefix="billow-")
+            atexit.register(shutil.rmtree, _made[context.applicationId], ignore_errors=True)
+        folder = _made[context.applicationId]
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new name in the shared folder, for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back, so that what follows does not compute it again.
 
-    The folder is the one in spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary folder
-    is used, which goes when Python ends. Starts a job. Reliable: the files outlive executors. They are deleted when the
-    DataFrame is no longer referred to, if spark.cleaner.referenceTracking.cleanCheckpoints is on, as in DEFAULTS; a
-    launcher of its own should set it.
+    Starts a job. Reliable: the files outlive executors. They are deleted when the DataFrame is no longer referred to,
+    if spark.cleaner.referenceTracking.cleanCheckpoints is on, as in DEFAULTS; a launcher of its own should set it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="billow-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
