@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billow.session import spread
+from billow.session import cut, spread
 
 #: Fixed function words by language; a language without word borders has characters instead.
 FUNCTION_WORDS = {
     "en": "the a an and or of to in is are was were be been has have had for with on that this these those it its by from as at not but if you your we our they their i can will would when than there then which who what so no only also into out up about per because before after until while between both each every any some isn't don't hasn't hadn't didn't won't i've we've there's it's",
-    "de": "der die das den dem des ein eine einer einem einen und oder ist sind war waren wird werden nicht mit von zu zum zur im in auf für an bei aus nach über unter sich es sie wir ihr ich als auch nur noch nun wenn dass daraus ab bitte einmal keine durch um so",
-    "es": "el la los las un una unos unas y o de del al en es son fue con por para que se no más su sus como si lo le ya casi después entre sobre desde hasta ha han hemos este esta cuando qué",
-    "fr": "le la les un une des et ou de du au aux en est sont été a ont pour par sur dans avec que qui se ne pas plus ce cette ces il elle nous vous leur son sa ses tous depuis entre l' d' n'est l'été",
+    "de": "der die das den dem des ein eine einer einem einen und oder ist sind war waren wird werden nicht mit von zu zum zur im in auf für an bei aus nach über unter sich es sie wir ihr ich als auch nur noch nun wenn dass ab keine durch um so",
+    "es": "el la los las un una unos unas y o de del al en es son fue con por para que se no más su sus como si lo le ya entre sobre desde hasta ha han hemos este esta cuando qué",
+    "fr": "le la les un une des et ou de du au aux en est sont été a ont pour par sur dans avec que qui se ne pas plus ce cette ces il elle nous vous leur son sa ses depuis entre l' d' n'est",
     "pt": "o a os as um uma e ou de do da dos das no na nos nas em é são foi com por para que se não mais seu sua como já quando entre",
     "it": "il lo la gli le un una e o di del della dei in nel nella è sono con per che si non più come da dal alla ha hanno quando tra",
     "nl": "de het een en of van in is zijn was met voor op aan dat die niet te er ook als naar bij door om uit wordt worden",
@@ -63,6 +63,7 @@ SEPARATOR = re.compile(r"[|,;/•·»›→，、；／｜&،؛]|\s[-–—]\s")
 COMMA = re.compile("[,;，、；／｜،؛]")
 STRONG = re.compile(r"[|•·»›｜]|;\s|\s[-–—/]\s")
 WIDE_SEPARATOR = re.compile("(?<=[\\s一-鿿ぁ-ヿ가-힣])[|;/•·；｜／](?=[\\s一-鿿ぁ-ヿ가-힣])")
+WIDE_BLANK = re.compile("(?<=[一-鿿ぁ-ヿ])\\s+(?=[一-鿿ぁ-ヿ])")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 STRIP = " \t.,;:!?()[]{}\"'*_~`<>|/\\-–—•·+#，。；：！？（）「」、¿¡،؛؟"
 
@@ -72,15 +73,6 @@ def mass(text: str) -> int:
     return len("".join(text.split()))
 
 
-def shares(tokens: list[str]) -> dict[str, float]:
-    """The share of function words in each language that has any."""
-    counts: dict[str, int] = {}
-    for token in tokens:
-        for language in LANGUAGES_OF.get(token, ()):
-            counts[language] = counts.get(language, 0) + 1
-    return {language: n / len(tokens) for language, n in counts.items()}
-
-
 def tokens_of(text: str) -> list[str]:
     return [t for x in text.casefold().replace("’", "'").split() if (t := x.strip(STRIP)) and not t[0].isdigit()]
 
@@ -121,34 +113,45 @@ def repetitive(rest: str, tokens: list[str]) -> bool:
     return False
 
 
-def is_sentence(rest: str, tokens: list[str], own: dict[str, frozenset[str]], least: dict[str, float]) -> bool:
-    """Do the words of a segment, without its links and tags, hold together as a sentence of its page's languages?"""
+#: What a segment may be: (language, its share of function words, does it hold together as a sentence otherwise?), and so
+#: on for each language of its page. The first language whose least share it has decides.
+Reading = list[tuple[str, float, bool]]
+
+
+def readings(rest: str, tokens: list[str], own: dict[str, frozenset[str]]) -> Reading:
+    """How a segment, without its links and tags, reads in the languages of its page; without any, it is no sentence."""
     if repetitive(rest, tokens):
-        return False
+        return []
     if not rest.isascii() and WIDE.search(rest):
         kana, hangul, han = len(KANA.findall(rest)), HANGUL.findall(rest), len(HAN.findall(rest))
         wide = len(WIDE.findall(rest))
         few = len(WIDE_SEPARATOR.findall(rest)) * 8 <= wide and len(COMMA.findall(rest)) * 4 <= wide
         if kana >= 3 and kana * 6 >= han:
-            return few and len(JAPANESE.findall(rest)) >= max(1, least["ja"] * wide)
+            return [("ja", len(JAPANESE.findall(rest)) / wide, few)]
         if len(hangul) >= 2:
-            return few and len(COMMA.findall(rest)) * 2 <= len(hangul) + 2 and len(KOREAN.findall(rest)) >= max(1, least["ko"] * len(hangul))
+            return [("ko", len(KOREAN.findall(rest)) / len(hangul), few and len(COMMA.findall(rest)) * 2 <= len(hangul) + 2)]
         if han >= 4:
-            return few and len(CHINESE.findall(rest)) >= max(1, least["zh"] * han)
+            return [("zh", len(CHINESE.findall(rest)) / han, few)]
     if not rest.isascii() and (arabic := ARABIC.findall(rest)) and len(arabic) >= 3:
         if len(SEPARATOR.findall(rest)) * 3 > len(tokens):
-            return False
+            return []
         language = next((x for x in own if SCRIPT.get(x) == "Arabic"), "ar")
         hits = sum(t in WORDS[language] for t in arabic) + (len(ARTICLE.findall(rest)) if language == "ar" else 0)
-        return hits >= max(1, least[language] * len(arabic))
+        return [(language, hits / len(arabic), True)]
     if len(tokens) < 3:
-        return False
+        return []
+    out: Reading = []
     for language, words in own.items():
         hits = sum(map(words.__contains__, tokens))
-        if hits and hits >= least[language] * len(tokens):
+        if hits:
             strong, commas = len(STRONG.findall(rest)), len(COMMA.findall(rest))
-            return not (strong >= 3 and strong * 4 >= len(tokens) or commas >= 3 and commas * 2 >= len(tokens) and hits * 5 < len(tokens))
-    return False
+            piled = strong >= 3 and strong * 4 >= len(tokens) or commas >= 3 and commas * 2 >= len(tokens) and hits * 5 < len(tokens)
+            out.append((language, hits / len(tokens), not piled))
+    return out
+
+
+def is_sentence(reading: Reading, least: dict[str, float]) -> bool:
+    return next((whole for language, share, whole in reading if share and share >= least[language]), False)
 
 
 #: The shares of top word, repeated word pairs and repeated lines from which words that come twice on a page count as
@@ -215,148 +218,264 @@ def heaped(doubtful: list[tuple[str, list[str], int, int]], own: dict[str, froze
     return words.total() >= LEAST_WORDS and any(x >= limit for x, limit in zip(heap(words, pairs, lines), LIMITS.get(language, LIMIT), strict=True))
 
 
-def page_shares(text: str, least: dict[str, float]) -> dict[str, float]:
-    """Shares of a page's characters: in sentences, links, tags, keywords, and other (code, logs, tables, headings);
-    and the shares of its top word and of repeated word pairs and lines.
-
-    Where one of these three shares of the text outside sentences, links, tags and code is over its limit (`LIMITS`), words
-    that come twice are keywords there, else words that come three times. Real pages repeat sentences too, so the shares
-    of whole pages decide nothing.
-
-    least: the function words that a sentence of a language must have at the least.
-    """
-    text = INVISIBLE.sub("", text)
-    lines = re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", text)
-    sums: Counter[str] = Counter()
-    segments: list[tuple[str, str, list[str], int, int, int, int, int]] = []
-    doubtful: list[tuple[str, list[str], int, int]] = []
-    hidden = fences(lines) if "```" in text or "~~~" in text else set()
-    if "|" in text:
-        hidden |= tables(lines)
-    words: Counter[str] = Counter()
-    pairs: Counter[tuple[str, str]] = Counter()
-    seen: Counter[str] = Counter()
-    for k, line in enumerate(lines):
-        size = mass(line)
-        if not size:
-            continue
-        stripped = line.strip()
-        if k in hidden or LOG.match(line):
-            sums["other"] += size
-            continue
-        seen[stripped.casefold()] += 1
-        for segment in SENTENCES.split(line):
-            size = mass(segment)
+class Page:
+    """The segments of a text, read once; `judged` then counts them under any least shares of function words."""
+
+    def __init__(self, text: str):
+        text = INVISIBLE.sub("", text)
+        lines = re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", text)
+        self.other = 0
+        raw = []
+        hidden = fences(lines) if "```" in text or "~~~" in text else set()
+        if "|" in text:
+            hidden |= tables(lines)
+        self.words: Counter[str] = Counter()
+        self.pairs: Counter[tuple[str, str]] = Counter()
+        self.lines: Counter[str] = Counter()
+        for k, line in enumerate(lines):
+            size = mass(line)
             if not size:
                 continue
-            bare, links = LINK.subn(" ", segment) if LINKED.search(segment) else (segment, 0)
-            link_mass = size - mass(bare) if links else 0
-            rest, tags = TAG.subn(" ", bare) if "#" in bare else (bare, 0)
-            tag_mass = mass(bare) - mass(rest) if tags else 0
-            if "<" in rest:
-                rest = MARKUP.sub(" ", rest)
-            tokens = tokens_of(rest)
-            words.update(tokens)
-            pairs.update(zip(tokens, tokens[1:]))
-            segments.append((segment, rest, tokens, size, links, link_mass, tags, tag_mass))
-    own = own_words(words)
-    for segment, rest, tokens, size, links, link_mass, tags, tag_mass in segments:
-        if is_sentence(rest, tokens, own, least):
-            sums["sentence"] += size
-        elif links and (link_mass * 3 >= size or len(tokens) <= 4 * links):
-            sums["link"] += size
-        elif tag_mass * 2 >= size and tags > 1:
-            sums["tag"] += size
-        elif CODE.search(segment) and (len(tokens) < 4 or SIGNS.search(segment.rstrip().rstrip("{}=;\\"))):
-            sums["other"] += size
-        else:
-            doubtful.append((rest, tokens, size, len(SEPARATOR.findall(rest))))
-    often = 1 if len(doubtful) > 1 and heaped(doubtful, own) else 2
-    for rest, tokens, size, separators in doubtful:
-        # Words without grammar are keywords if they are divided by separators or come again and again on the page.
-        again = sum(words[t] > often for t in tokens)
-        wide = len(WIDE.findall(rest))
-        piled = separators >= 3 and separators * 4 >= len(tokens) or wide >= 4 and (separators * 6 >= wide or (commas := len(COMMA.findall(rest))) >= 2 and commas * 14 >= wide)
-        if piled or repetitive(rest, tokens) or (tokens and again * 2 >= len(tokens)):
-            sums["keyword"] += size
-        else:
-            sums["other"] += size
-    everything = max(1, sum(sums.values()))
-    out = {kind: sums[kind] / everything for kind in ("sentence", "link", "tag", "keyword", "other")}
-    out["top_word"], out["repeated_pairs"], out["repeated_lines"] = heap(words, pairs, seen)
-    return out
-
+            if k in hidden or LOG.match(line):
+                self.other += size
+                continue
+            if not CODE.search(line):
+                self.lines[line.strip().casefold()] += 1
+            for segment in SENTENCES.split(line):
+                size = mass(segment)
+                if not size:
+                    continue
+                bare, links = LINK.subn(" ", segment) if LINKED.search(segment) else (segment, 0)
+                link_mass = size - mass(bare) if links else 0
+                rest, tags = TAG.subn(" ", bare) if "#" in bare else (bare, 0)
+                tag_mass = mass(bare) - mass(rest) if tags else 0
+                if "<" in rest:
+                    rest = MARKUP.sub(" ", rest)
+                tokens = tokens_of(rest)
+                self.words.update(tokens)
+                self.pairs.update(zip(tokens, tokens[1:]))
+                raw.append((segment, rest, tokens, size, links, link_mass, tags, tag_mass))
+        self.own = own_words(self.words)
+        self.language, self.share = self.main_language(text)
+        known = self.language in BOUNDS or SCRIPT.get(self.language) in ("Arabic", "Greek")
+        outside = sum(n for word, n in self.words.items() if not word.isascii())
+        self.foreign = not known and self.share < FOREIGN and outside > 0 and outside * 6 >= self.words.total()
+        self.segments = [(readings(rest, tokens, self.own), self.kind(segment, tokens, size, links, link_mass, tags, tag_mass), rest, tokens, size) for segment, rest, tokens, size, links, link_mass, tags, tag_mass in raw]
+
+    @staticmethod
+    def kind(segment: str, tokens: list[str], size: int, links: int, link_mass: int, tags: int, tag_mass: int) -> str:
+        """What a segment is if it is no sentence; '' for what its words tell."""
+        if links and (link_mass * 3 >= size or len(tokens) <= 4 * links):
+            return "link"
+        if tag_mass * 2 >= size and tags > 1:
+            return "tag"
+        if CODE.search(segment) and (len(tokens) < 4 or SIGNS.search(segment.rstrip().rstrip("{}=;\\"))):
+            return "other"
+        return ""
+
+    def main_language(self, text: str) -> tuple[str, float]:
+        """The language with most function words on the page, and their share, as `readings` takes it: of the Chinese
+        characters (zh), of all characters (ja), of the words in its script (ko, ar), else of all words."""
+        if not text.isascii():
+            kana, hangul, han = len(KANA.findall(text)), HANGUL.findall(text), len(HAN.findall(text))
+            if kana + han >= 20 and kana * 6 >= han:
+                return "ja", len(JAPANESE.findall(text)) / len(WIDE.findall(text))
+            if len(hangul) >= 10 and sum(map(len, hangul)) >= han:
+                return "ko", len(KOREAN.findall(text)) / len(hangul)
+            if han >= 20:
+                return "zh", len(CHINESE.findall(text)) / han
+            if len(arabic := ARABIC.findall(text)) >= 10:
+                counts = {x: sum(t in WORDS[x] for t in arabic) for x in WORDS if SCRIPT.get(x) == "Arabic"}
+                language = max(counts, key=lambda x: (counts[x], x == "ar"))
+                return language, (counts[language] + (len(ARTICLE.findall(text)) if language == "ar" else 0)) / len(arabic)
+        if not self.own:
+            return "", 0.0
+        language, words = next(iter(self.own.items()))
+        return language, sum(n for word, n in self.words.items() if word in words) / self.words.total()
+
+    def judged(self, least: dict[str, float]) -> dict[str, float]:
+        """Shares of the page's characters: in sentences, links, tags, keywords, and other (code, logs, tables, headings).
+
+        Where one of the three shares of repetition of the text outside sentences, links, tags and code is over its
+        limit (`LIMITS`), words that come twice are keywords there, else words that come three times. In a language that
+        is not known function words come again too, so there pairs of words must, and a segment that ends as a sentence
+        may have more commas.
+        """
+        sums: Counter[str] = Counter(other=self.other)
+        doubtful: list[tuple[str, list[str], int, int]] = []
+        for reading, kind, rest, tokens, size in self.segments:
+            if is_sentence(reading, least):
+                sums["sentence"] += size
+            elif kind:
+                sums[kind] += size
+            else:
+                doubtful.append((rest, tokens, size, len(SEPARATOR.findall(rest))))
+        often = 1 if len(doubtful) > 1 and heaped(doubtful, self.own) else 2
+        for rest, tokens, size, separators in doubtful:
+            # Words without grammar are keywords if they are divided by separators or come again and again on the page.
+            wide = len(WIDE.findall(rest)) if not rest.isascii() else 0
+            if self.foreign:
+                again, of = sum(self.pairs[x] > often for x in zip(tokens, tokens[1:])), max(1, len(tokens) - 1)
+                dense = 3 if rest.rstrip().endswith((".", "!", "?", "…", "।")) else 4
+            else:
+                again, of, dense = sum(self.words[t] > often for t in tokens), len(tokens), 4
+            # Chinese and Japanese have no blanks between words, so a blank there divides like a comma.
+            blanks = len(WIDE_BLANK.findall(rest)) if wide >= 8 else 0
+            piled = separators >= 3 and separators * dense >= len(tokens) or blanks >= 4 and blanks * 6 >= wide or wide >= 4 and (separators * 6 >= wide or (commas := len(COMMA.findall(rest))) >= 2 and commas * 14 >= wide)
+            if piled or repetitive(rest, tokens) or (again and again * 2 >= of):
+                sums["keyword"] += size
+            else:
+                sums["other"] += size
+        everything = max(1, sum(sums.values()))
+        return {kind: sums[kind] / everything for kind in MASSES}
 
-def main_language(text: str) -> tuple[str, float]:
-    """The language with most function words on a page, and their share, as `is_sentence` takes it: of the Chinese
-    characters (zh), of all characters (ja), of the words in its script (ko, ar), else of all words."""
-    if not text.isascii():
-        kana, hangul, han = len(KANA.findall(text)), HANGUL.findall(text), len(HAN.findall(text))
-        if kana + han >= 20 and kana * 6 >= han:
-            return "ja", len(JAPANESE.findall(text)) / len(WIDE.findall(text))
-        if len(hangul) >= 10 and sum(map(len, hangul)) >= han:
-            return "ko", len(KOREAN.findall(text)) / len(hangul)
-        if han >= 20:
-            return "zh", len(CHINESE.findall(text)) / han
-        if len(arabic := ARABIC.findall(text)) >= 10:
-            counts = {x: sum(t in WORDS[x] for t in arabic) for x in WORDS if SCRIPT.get(x) == "Arabic"}
-            language = max(counts, key=lambda x: (counts[x], x == "ar"))
-            return language, (counts[language] + (len(ARTICLE.findall(text)) if language == "ar" else 0)) / len(arabic)
-    tokens = tokens_of(LINK.sub(" ", text) if LINKED.search(text) else text)
-    best = max(shares(tokens).items(), key=lambda x: x[1], default=("", 0.0)) if tokens else ("", 0.0)
-    return best
+    def repetition(self) -> dict[str, float]:
+        """Of the whole page but code, logs and tables: the share of its most frequent word, and how much of its word pairs
+        and of its lines say what was said before. 0 where there are too few to tell."""
+        words, pairs, lines = self.words.total(), self.pairs.total(), self.lines.total()
+        return {
+            "top_word": max(self.words.values()) / words if words >= LEAST["top_word"] else 0.0,
+            "repeated_pairs": 1 - len(self.pairs) / pairs if pairs >= LEAST["repeated_pairs"] else 0.0,
+            "repeated_lines": 1 - len(self.lines) / lines if lines >= LEAST["repeated_lines"] else 0.0,
+        }
 
 
 #: A sentence has this part of the function words that its language has in the corpus, within bounds: `FLOOR` is the
 #: estimate before any page is seen and weighs as many pages as `ENOUGH`, and none is ever more than `CEILING`.
 PART, FLOOR, CEILING, ENOUGH = 0.25, 0.05, 0.12, 50
 BOUNDS = {"zh": (0.02, 0.06), "ja": (0.02, 0.06), "ko": (0.1, 0.2)}
+#: A page with fewer function words, and a sixth of its words outside ASCII, is of a language that is not known.
+FOREIGN = 0.1
+MASSES = ("sentence", "link", "tag", "keyword", "other")
+#: Repetition of a whole page: words, pairs and lines that it must have to count, and for each share the least and the
+#: greatest limit. Half of what is over the language's 99.9th percentile is the limit within these bounds, smoothed as above.
+LEAST = {"top_word": 30, "repeated_pairs": 60, "repeated_lines": 12}
+OVER = {"top_word": (0.45, 0.7), "repeated_pairs": (0.93, 0.98), "repeated_lines": (0.85, 0.95)}
 
 
-def least_share(language: str, median: float, pages: int) -> float:
-    """The mean of the lower bound, counted as `ENOUGH` pages, and of `PART` of the median over the corpus' pages."""
-    low, high = BOUNDS.get(language, (FLOOR, CEILING))
-    return (ENOUGH * low + pages * min(high, max(low, PART * median))) / (ENOUGH + pages)
+def smoothed(low: float, high: float, estimate: float, pages: int, start: float) -> float:
+    """The mean of `start`, counted as `ENOUGH` pages, and of the estimate over the corpus' pages, within bounds: it moves
+    with the corpus without a step."""
+    return (ENOUGH * start + pages * min(high, max(low, estimate))) / (ENOUGH + pages)
 
 
-def calibrated(documents: DataFrame, key: str, text: str) -> dict[str, float]:
-    """The least share of function words in a sentence, by language, from the median over all pages of the language.
-
-    Starts a job: one map over all texts and one row a language to the driver. Pages of keywords hold few function
-    words and pull a median down a little, never up; a quarter of it stays far below real sentences.
-    """
-    rows = spread(documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "key").select("text")
+def least_share(language: str, median: float, pages: int) -> float:
+    low, high = BOUNDS.get(language, (FLOOR, CEILING))
+    return smoothed(low, high, PART * median, pages, low)
+
+
+def over_limit(name: str, high_share: float, pages: int) -> float:
+    """Halfway from what all but the most repetitive pages of a language stay under to 1."""
+    low, high = OVER[name]
+    return smoothed(low, high, (1 + high_share) / 2, pages, (low + high) / 2)
+
+
+LOWEST, HIGHEST = ({language: BOUNDS.get(language, (FLOOR, CEILING))[k] for language in (*WORDS, *BOUNDS)} for k in (0, 1))
+KINDS = [*MASSES, *OVER]
+READ = "key bigint, language string, share double, " + ", ".join(f"{k} double" for k in KINDS) + ", text string"
+
+
+def verdict(reading: Reading) -> bool | None:
+    """Is a segment a sentence, whatever the least shares come to within their bounds? None if that is open."""
+    seen = set()
+    for language, share, whole in reading:
+        if share and share >= LOWEST[language]:
+            seen.add(whole)
+            if share >= HIGHEST[language]:
+                break
+    else:
+        seen.add(False)
+    return seen.pop() if len(seen) == 1 else None
+
+
+def settled(page: Page, most: float | None) -> tuple[dict[str, float], bool]:
+    """The shares of a page, and whether they stand whatever the corpus makes of the least shares of function words; with
+    `most` it is enough that links, tags and keywords are surely more than that part of the page or surely not."""
+    sure, sure_not, everything, waits = 0, page.other, page.other, False
+    for reading, kind, _, _, size in page.segments:
+        everything += size
+        found = verdict(reading)
+        if found is None:
+            waits = True
+        elif found or kind == "other":
+            sure_not += size
+        elif kind:
+            sure += size
+    if waits and most is not None:
+        waits = not (sure > most * everything or everything - sure_not <= most * everything)
+    return page.judged(LOWEST), not waits
+
+
+def stuffing(shares: dict[str, float]) -> float:
+    return shares["link"] + shares["tag"] + shares["keyword"]
+
+
+def read_pages(documents: DataFrame, key: str, text: str, most: float | None) -> DataFrame:
+    """READ for every text that is not null or blank: all that is needed of it is found here in one pass. The text itself
+    goes on only for a page whose verdict awaits the calibration."""
+    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_language(value.as_py()) for value in batch.column(0)]
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["language", "share"])
-
-    medians = rows.mapInArrow(run, "language string, share double").filter("language <> '' AND share > 0").groupBy("language").agg(F.percentile_approx("share", 0.5).alias("share"), F.count("*").alias("n")).collect()
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not INVISIBLE.sub("", v).strip():
+                    continue
+                page = Page(v)
+                shares, sure = settled(page, most)
+                again = page.repetition()
+                out.append((k, page.language, page.share, *(shares[x] for x in MASSES), *(again[x] for x in OVER), None if sure else v))
+            columns = list(zip(*out, strict=True)) if out else [()] * (len(KINDS) + 4)
+            kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.float64()] * len(KINDS), pa.string()]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["key", "language", "share", *KINDS, "text"])
+
+    return rows.mapInArrow(run, READ)
+
+
+def calibrated(pages: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """By language: the least share of function words in a sentence, from the median over all pages; and the limits of
+    the shares of repetition, from their high percentiles. '' stands for a language that is not known.
+
+    Starts a job, with one row a language to the driver. Pages of keywords hold few function words and pull a median
+    down a little, never up; a quarter of it stays far below real sentences.
+    """
+    high = [F.percentile_approx(name, 0.999, 1000).alias(name) for name in OVER]
+    found = pages.groupBy("language").agg(F.count("*").alias("n"), F.count_if(F.col("share") > 0).alias("spoken"), F.percentile_approx(F.when(F.col("share") > 0, F.col("share")), 0.5).alias("median"), *high).collect()
     least = {language: least_share(language, 0.0, 0) for language in (*WORDS, *BOUNDS)}
-    for row in medians:
-        least[row["language"]] = least_share(row["language"], row["share"], row["n"])
-    return least
-
+    limits = {language: {name: over_limit(name, 0.0, 0) for name in OVER} for language in (*least, "")}
+    for row in found:
+        if row["language"]:
+            least[row["language"]] = least_share(row["language"], row["median"] or 0.0, row["spoken"])
+        limits[row["language"]] = {name: over_limit(name, row[name], row["n"]) for name in OVER}
+    return least, limits
 
-KINDS = ["sentence", "link", "tag", "keyword", "other", "top_word", "repeated_pairs", "repeated_lines"]
 
+def page_features(documents: DataFrame, key: str, text: str, most: float | None = None) -> DataFrame:
+    """key, the shares KINDS and `over` (is a share of repetition over the limit of the page's language?) for every text
+    that is not null or blank. The texts are read once; what was found goes through the checkpoint folder, and pages that
+    await the calibration are judged again from there. No shuffle but for calibration.
 
-def page_features(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key and the shares of `page_shares` for every text that is not null or blank. No shuffle but for calibration."""
-    least = calibrated(documents, key, text)
-    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "key")
+    most: only whether links, tags and keywords are more than this need be right, so fewer pages wait.
+    """
+    pages = cut(read_pages(documents, key, text, most))
+    least, limits = calibrated(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(k, v) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if INVISIBLE.sub("", v).strip()]
-            found = [page_shares(v, least) for _, v in kept]
-            yield pa.record_batch([pa.array([k for k, _ in kept], pa.int64()), *(pa.array([x[kind] for x in found], pa.float64()) for kind in KINDS)], ["key", *KINDS])
+            found = [Page(v).judged(least) for v in batch.column(len(KINDS) + 3).to_pylist()]
+            columns = [pa.array([x[kind] for x in found], pa.float64()) for kind in MASSES]
+            yield pa.record_batch([*batch.columns[:3], *columns, *batch.columns[3 + len(MASSES) :]], batch.schema.names)
 
-    return rows.mapInArrow(run, "key bigint, " + ", ".join(f"{k} double" for k in KINDS)).withColumnRenamed("key", key)
+    waiting = pages.filter("text IS NOT NULL").mapInArrow(run, READ)
+    rows = pages.filter("text IS NULL").unionByName(waiting)
+    over = F.lit(False)
+    for language, of in limits.items():
+        over = F.when(F.col("language") == language, F.greatest(*[F.col(name) - limit for name, limit in of.items()]) > 0).otherwise(over)
+    return rows.select(F.col("key").alias(key), *KINDS, over.alias("over"))
 
 
 def stuffed_pages(documents: DataFrame, key: str, text: str, most: float = 0.5) -> DataFrame:
-    """The rows of `page_features` of pages with more than `most` of their characters in links, tags and keywords
-    outside sentences. Null, empty and blank texts are no page; code, logs and tables count as other text."""
-    return page_features(documents, key, text).filter(F.col("link") + F.col("tag") + F.col("keyword") > most)
+    """The rows of `page_features` of pages with more than `most` of their characters in links, tags and keywords outside
+    sentences, or with a share of repetition over the limit of their language. Null, empty and blank texts are no page;
+    code, logs and tables count as other text."""
+    return page_features(documents, key, text, most).filter((F.col("link") + F.col("tag") + F.col("keyword") > most) | F.col("over"))

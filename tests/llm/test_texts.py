@@ -261,7 +261,7 @@ def test_piles_are_no_sentences(spark):
 def test_function_words_of_another_language_count_for_nothing():
     least = dict.fromkeys([*spam.WORDS, "zh", "ja", "ko"], spam.FLOOR)
     text = SENTENCES + "\n" + "\n".join(f"die cloud image{i} plan{i}" for i in range(3))
-    assert spam.page_shares(text, least)["sentence"] < 0.9
+    assert spam.Page(text).judged(least)["sentence"] < 0.9
 
 
 TWICE = "docker image cheap\ncloud plan deal\nlicence key rebate\nserver trial offer\nbackup coupon sale\nmailer theme bargain\n"
@@ -269,7 +269,7 @@ TWICE = "docker image cheap\ncloud plan deal\nlicence key rebate\nserver trial o
 
 def test_shares_of_text_without_grammar_decide():
     least = dict.fromkeys([*spam.WORDS, "zh", "ja", "ko"], spam.FLOOR)
-    stuffed = lambda text: (x := spam.page_shares(text, least))["link"] + x["tag"] + x["keyword"] > 0.5
+    stuffed = lambda text: (x := spam.Page(text).judged(least))["link"] + x["tag"] + x["keyword"] > 0.5
     assert stuffed(TWICE * 2) and stuffed(TWICE.replace("\n", " gratis\n", 2) * 2) and stuffed("无痕浏览\n云端备份\n安全审计\n软件清单\n依赖扫描\n开源项目\n" * 2)
     assert not stuffed(TWICE) and not stuffed("# Install\n" * 2 + SENTENCES * 2 + TWICE[:50])
     assert not stuffed("Paketti lukee tiedoston ja kirjoittaa luettelon. Uusi versio julkaistaan keväällä. Virhe korjattiin eilen illalla. Kiitos kaikille testaajille avusta.")
@@ -281,9 +281,9 @@ def test_calibration_has_no_step_and_knows_all_languages(spark):
     assert spam.least_share("en", 0.4, 10**7) > 0.0999 and spam.least_share("en", 0.9, 10**7) <= spam.CEILING
     pages = [PILES[k][0] for k in (7, 8, 9, 10)] + [PAGES[7][0], SENTENCES]
     pages[3] = pages[3].split("\n")[0]
-    assert [spam.main_language(text)[0] for text in pages] == ["ja", "ko", "ar", "fa", "zh", "en"]
+    assert [spam.Page(text).language for text in pages] == ["ja", "ko", "ar", "fa", "zh", "en"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(pages * 20)], "doc_id bigint, text string")
-    least, floor = spam.calibrated(df, "doc_id", "text"), spam.calibrated(df.limit(0), "doc_id", "text")
+    least, floor = (spam.calibrated(spam.read_pages(x, "doc_id", "text", None))[0] for x in (df, df.limit(0)))
     assert all(least[x] > floor[x] for x in ("ja", "ko", "ar", "fa", "zh", "en")) and least["sv"] == floor["sv"]
 
 
@@ -301,3 +301,47 @@ HIDDEN = {
 def test_tables_fences_and_code_hide_no_keywords(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _) in HIDDEN.items()], "doc_id bigint, text string")
     assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text").orderBy("doc_id").collect()] == [k for k, (_, bad) in HIDDEN.items() if bad]
+
+
+PROSE = {
+    "cs": "Nástroj prochází všechny soubory projektu, porovnává je s předchozím stavem a zapisuje rozdíly do zprávy. Pokud se některý balíček změnil, uživatel dostane upozornění, které obsahuje název, verzi a licenci. Zpráva se ukládá do složky, kterou lze změnit v nastavení.",
+    "fi": "Työkalu lukee kaikki projektin tiedostot, vertaa niitä edelliseen tilaan ja kirjoittaa erot raporttiin. Jos jokin paketti on muuttunut, käyttäjä saa ilmoituksen, joka sisältää nimen, version ja lisenssin. Raportti tallennetaan kansioon, jonka voi vaihtaa asetuksista.",
+    "vi": "Công cụ đọc tất cả các tệp của dự án, so sánh chúng với trạng thái trước đó và ghi sự khác biệt vào báo cáo. Nếu một gói đã thay đổi, người dùng sẽ nhận được thông báo có tên, phiên bản và giấy phép. Báo cáo được lưu trong thư mục mà bạn có thể thay đổi trong phần cài đặt.",
+    "uk": "Інструмент читає всі файли проєкту, порівнює їх із попереднім станом і записує відмінності до звіту. Якщо якийсь пакунок змінився, користувач отримує повідомлення, яке містить назву, версію та ліцензію.",
+}
+PILED = {
+    "equal lines": "\n".join(["buy cheap parser library now the best of all"] * 200),
+    "cs": "levný software, nejlepší nástroj, stáhnout zdarma, sbom generátor, licence levně, open source nástroj, " * 4,
+    "fi": "Halpa ohjelmisto paras työkalu lataa ilmaiseksi. Lisenssi halvalla sbom generaattori paras hinta. Lataa ilmainen ohjelmisto paras työkalu halpa lisenssi. " * 3,
+    "zh": "云服务 报价 优惠 许可证 软件清单 工具 免费下载 最新版 依赖扫描 插件",
+}
+
+
+def test_languages_that_are_not_known(spark):
+    pages = [*PROSE.values(), *PILED.values()]
+    df = spark.createDataFrame(list(enumerate(pages)), "doc_id bigint, text string")
+    assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text").orderBy("doc_id").collect()] == list(range(len(PROSE), len(pages)))
+
+
+def test_open_verdicts_are_settled_by_the_calibration(spark):
+    """Pages that are read once and judged later get what they get when the least shares are known from the start."""
+    rnd = random.Random(5)
+    common, rare = "the of and to in".split(), [f"w{i}" for i in range(400)]
+    pages = ["\n".join(" ".join(rnd.choice(common) if rnd.random() < share else rnd.choice(rare) for _ in range(14)) + "." for _ in range(9)) for share in (0.03, 0.07, 0.09, 0.12, 0.4) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(pages)), "doc_id bigint, text string")
+    for most in (None, 0.5):
+        kept = spam.read_pages(df, "doc_id", "text", most)
+        least, _ = spam.calibrated(kept)
+        assert kept.filter("text IS NOT NULL").count() > 0 or most
+        got = {r.doc_id: r for r in spam.page_features(df, "doc_id", "text", most).collect()}
+        for k, text in enumerate(pages):
+            want = spam.Page(text).judged(least)
+            if most is None:
+                assert {x: got[k][x] for x in spam.MASSES} == want
+            assert (got[k].link + got[k].tag + got[k].keyword > 0.5) == (spam.stuffing(want) > 0.5)
+
+
+def test_limits_move_without_a_step():
+    for name, (low, high) in spam.OVER.items():
+        steps = [spam.over_limit(name, 0.2, n) for n in range(300)]
+        assert steps[0] == pytest.approx((low + high) / 2) and max(abs(b - a) for a, b in zip(steps, steps[1:])) < 0.01 and low - 1e-9 <= min(steps)
