@@ -68,6 +68,13 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 STRIP = " \t.,;:!?()[]{}\"'*_~`<>|/\\-–—•·+#，。；：！？（）「」、¿¡،؛؟"
 
 
+LINE_ENDS = re.compile("[\\r\\n\x0b\x0c\u2028\u2029]+")
+
+
+def visible(text: str) -> str:
+    return text if text.isascii() else INVISIBLE.sub("", text)
+
+
 def mass(text: str) -> int:
     """Characters that are no white space."""
     return len("".join(text.split()))
@@ -113,6 +120,19 @@ def repetitive(rest: str, tokens: list[str]) -> bool:
     return False
 
 
+#: A sentence has this part of the function words that its language has in the corpus, within bounds: `FLOOR` is the
+#: estimate before any page is seen and weighs as many pages as `ENOUGH`, and none is ever more than `CEILING`.
+PART, FLOOR, CEILING, ENOUGH = 0.25, 0.05, 0.12, 50
+BOUNDS = {"zh": (0.02, 0.06), "ja": (0.02, 0.06), "ko": (0.1, 0.2)}
+#: A page with fewer function words, and a sixth of its words outside ASCII, is of a language that is not known.
+FOREIGN = 0.1
+MASSES = ("sentence", "link", "tag", "keyword", "other")
+#: Repetition of a whole page: words, pairs and lines that it must have to count, and for each share the least and the
+#: greatest limit. Half of what is over the language's 99.9th percentile is the limit within these bounds, smoothed as above.
+LEAST = {"top_word": 30, "repeated_pairs": 60, "repeated_lines": 12}
+OVER = {"top_word": (0.45, 0.7), "repeated_pairs": (0.93, 0.98), "repeated_lines": (0.85, 0.95)}
+LOWEST, HIGHEST = ({language: BOUNDS.get(language, (FLOOR, CEILING))[k] for language in (*WORDS, *BOUNDS)} for k in (0, 1))
+
 #: What a segment may be: (language, its share of function words, does it hold together as a sentence otherwise?), and so
 #: on for each language of its page. The first language whose least share it has decides.
 Reading = list[tuple[str, float, bool]]
@@ -143,13 +163,30 @@ def readings(rest: str, tokens: list[str], own: dict[str, frozenset[str]]) -> Re
     out: Reading = []
     for language, words in own.items():
         hits = sum(map(words.__contains__, tokens))
-        if hits:
-            strong, commas = len(STRONG.findall(rest)), len(COMMA.findall(rest))
+        if hits and hits >= LOWEST[language] * len(tokens):
+            if rest.isascii():
+                commas = rest.count(",") + rest.count(";")
+                strong = len(STRONG.findall(rest)) if "|" in rest or ";" in rest or " - " in rest or " / " in rest or "\t" in rest else 0
+            else:
+                strong, commas = len(STRONG.findall(rest)), len(COMMA.findall(rest))
             piled = strong >= 3 and strong * 4 >= len(tokens) or commas >= 3 and commas * 2 >= len(tokens) and hits * 5 < len(tokens)
             out.append((language, hits / len(tokens), not piled))
     return out
 
 
+def verdict(reading: Reading) -> bool | None:
+    """Is a segment a sentence, whatever the least shares come to within their bounds? None if that is open."""
+    seen = set()
+    for language, share, whole in reading:
+        if share and share >= LOWEST[language]:
+            seen.add(whole)
+            if share >= HIGHEST[language]:
+                break
+    else:
+        seen.add(False)
+    return seen.pop() if len(seen) == 1 else None
+
+
 def is_sentence(reading: Reading, least: dict[str, float]) -> bool:
     return next((whole for language, share, whole in reading if share and share >= least[language]), False)
 
@@ -222,8 +259,9 @@ class Page:
     """The segments of a text, read once; `judged` then counts them under any least shares of function words."""
 
     def __init__(self, text: str):
-        text = INVISIBLE.sub("", text)
-        lines = re.split(r"[\r\n\x0b\x0c\u2028\u2029]+", text)
+        text = visible(text)
+        linked, tagged, marked = LINKED.search(text) is not None, "#" in text, "<" in text
+        lines = LINE_ENDS.split(text)
         self.other = 0
         raw = []
         hidden = fences(lines) if "```" in text or "~~~" in text else set()
@@ -232,35 +270,45 @@ class Page:
         self.words: Counter[str] = Counter()
         self.pairs: Counter[tuple[str, str]] = Counter()
         self.lines: Counter[str] = Counter()
+        every: list[str] = []
+        couples: list[tuple[str, str]] = []
+        whole: list[str] = []
         for k, line in enumerate(lines):
-            size = mass(line)
-            if not size:
+            stripped = line.strip()
+            if not stripped:
                 continue
             if k in hidden or LOG.match(line):
-                self.other += size
+                self.other += mass(line)
                 continue
-            if not CODE.search(line):
-                self.lines[line.strip().casefold()] += 1
+            whole.append(stripped.casefold())
             for segment in SENTENCES.split(line):
                 size = mass(segment)
                 if not size:
                     continue
-                bare, links = LINK.subn(" ", segment) if LINKED.search(segment) else (segment, 0)
+                bare, links = LINK.subn(" ", segment) if linked and LINKED.search(segment) else (segment, 0)
                 link_mass = size - mass(bare) if links else 0
-                rest, tags = TAG.subn(" ", bare) if "#" in bare else (bare, 0)
+                rest, tags = TAG.subn(" ", bare) if tagged and "#" in bare else (bare, 0)
                 tag_mass = mass(bare) - mass(rest) if tags else 0
-                if "<" in rest:
+                if marked and "<" in rest:
                     rest = MARKUP.sub(" ", rest)
                 tokens = tokens_of(rest)
-                self.words.update(tokens)
-                self.pairs.update(zip(tokens, tokens[1:]))
+                every += tokens
+                couples += zip(tokens, tokens[1:])
                 raw.append((segment, rest, tokens, size, links, link_mass, tags, tag_mass))
+        self.words.update(every)
+        self.pairs.update(couples)
+        self.lines.update(whole)
         self.own = own_words(self.words)
         self.language, self.share = self.main_language(text)
         known = self.language in BOUNDS or SCRIPT.get(self.language) in ("Arabic", "Greek")
-        outside = sum(n for word, n in self.words.items() if not word.isascii())
-        self.foreign = not known and self.share < FOREIGN and outside > 0 and outside * 6 >= self.words.total()
-        self.segments = [(readings(rest, tokens, self.own), self.kind(segment, tokens, size, links, link_mass, tags, tag_mass), rest, tokens, size) for segment, rest, tokens, size, links, link_mass, tags, tag_mass in raw]
+        outside = 0 if known or self.share >= FOREIGN or text.isascii() else sum(n for word, n in self.words.items() if not word.isascii())
+        self.foreign = outside > 0 and outside * 6 >= self.words.total()
+        self.segments: list[tuple[Reading, str, str, list[str], int]] = []
+        for segment, rest, tokens, size, links, link_mass, tags, tag_mass in raw:
+            reading = readings(rest, tokens, self.own)
+            # What is a sentence for certain needs no other name.
+            kind = "sentence" if verdict(reading) else self.kind(segment, tokens, size, links, link_mass, tags, tag_mass)
+            self.segments.append((reading, kind, rest, tokens, size))
 
     @staticmethod
     def kind(segment: str, tokens: list[str], size: int, links: int, link_mass: int, tags: int, tag_mass: int) -> str:
@@ -304,7 +352,7 @@ class Page:
         sums: Counter[str] = Counter(other=self.other)
         doubtful: list[tuple[str, list[str], int, int]] = []
         for reading, kind, rest, tokens, size in self.segments:
-            if is_sentence(reading, least):
+            if kind == "sentence" or reading and is_sentence(reading, least):
                 sums["sentence"] += size
             elif kind:
                 sums[kind] += size
@@ -332,27 +380,18 @@ class Page:
     def repetition(self) -> dict[str, float]:
         """Of the whole page but code, logs and tables: the share of its most frequent word, and how much of its word pairs
         and of its lines say what was said before. 0 where there are too few to tell."""
-        words, pairs, lines = self.words.total(), self.pairs.total(), self.lines.total()
+        words, pairs = self.words.total(), self.pairs.total()
+        # Lines of code come again in code; to look at those that do is enough.
+        code = sum(n for line, n in self.lines.items() if n > 1 and CODE.search(line))
+        kinds = len(self.lines) - sum(1 for line, n in self.lines.items() if n > 1 and CODE.search(line))
+        lines = self.lines.total() - code
         return {
             "top_word": max(self.words.values()) / words if words >= LEAST["top_word"] else 0.0,
             "repeated_pairs": 1 - len(self.pairs) / pairs if pairs >= LEAST["repeated_pairs"] else 0.0,
-            "repeated_lines": 1 - len(self.lines) / lines if lines >= LEAST["repeated_lines"] else 0.0,
+            "repeated_lines": 1 - kinds / lines if lines >= LEAST["repeated_lines"] else 0.0,
         }
 
 
-#: A sentence has this part of the function words that its language has in the corpus, within bounds: `FLOOR` is the
-#: estimate before any page is seen and weighs as many pages as `ENOUGH`, and none is ever more than `CEILING`.
-PART, FLOOR, CEILING, ENOUGH = 0.25, 0.05, 0.12, 50
-BOUNDS = {"zh": (0.02, 0.06), "ja": (0.02, 0.06), "ko": (0.1, 0.2)}
-#: A page with fewer function words, and a sixth of its words outside ASCII, is of a language that is not known.
-FOREIGN = 0.1
-MASSES = ("sentence", "link", "tag", "keyword", "other")
-#: Repetition of a whole page: words, pairs and lines that it must have to count, and for each share the least and the
-#: greatest limit. Half of what is over the language's 99.9th percentile is the limit within these bounds, smoothed as above.
-LEAST = {"top_word": 30, "repeated_pairs": 60, "repeated_lines": 12}
-OVER = {"top_word": (0.45, 0.7), "repeated_pairs": (0.93, 0.98), "repeated_lines": (0.85, 0.95)}
-
-
 def smoothed(low: float, high: float, estimate: float, pages: int, start: float) -> float:
     """The mean of `start`, counted as `ENOUGH` pages, and of the estimate over the corpus' pages, within bounds: it moves
     with the corpus without a step."""
@@ -370,34 +409,21 @@ def over_limit(name: str, high_share: float, pages: int) -> float:
     return smoothed(low, high, (1 + high_share) / 2, pages, (low + high) / 2)
 
 
-LOWEST, HIGHEST = ({language: BOUNDS.get(language, (FLOOR, CEILING))[k] for language in (*WORDS, *BOUNDS)} for k in (0, 1))
 KINDS = [*MASSES, *OVER]
 READ = "key bigint, language string, share double, " + ", ".join(f"{k} double" for k in KINDS) + ", text string"
 
 
-def verdict(reading: Reading) -> bool | None:
-    """Is a segment a sentence, whatever the least shares come to within their bounds? None if that is open."""
-    seen = set()
-    for language, share, whole in reading:
-        if share and share >= LOWEST[language]:
-            seen.add(whole)
-            if share >= HIGHEST[language]:
-                break
-    else:
-        seen.add(False)
-    return seen.pop() if len(seen) == 1 else None
-
-
 def settled(page: Page, most: float | None) -> tuple[dict[str, float], bool]:
     """The shares of a page, and whether they stand whatever the corpus makes of the least shares of function words; with
     `most` it is enough that links, tags and keywords are surely more than that part of the page or surely not."""
     sure, sure_not, everything, waits = 0, page.other, page.other, False
     for reading, kind, _, _, size in page.segments:
         everything += size
-        found = verdict(reading)
-        if found is None:
+        if kind == "sentence":
+            sure_not += size
+        elif reading and verdict(reading) is None:
             waits = True
-        elif found or kind == "other":
+        elif kind == "other":
             sure_not += size
         elif kind:
             sure += size
@@ -419,7 +445,7 @@ def read_pages(documents: DataFrame, key: str, text: str, most: float | None) ->
         for batch in batches:
             out = []
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not INVISIBLE.sub("", v).strip():
+                if not visible(v).strip():
                     continue
                 page = Page(v)
                 shares, sure = settled(page, most)
