@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 FILE_LIMIT = 64 << 20
 #: Transducer states and whole pieces that a task keeps; beyond it starts afresh, so memory has a bound.
 STATE_LIMIT, PIECE_LIMIT = 300_000, 300_000
+#: Ids that a task keeps before it hands them on; one text is never divided.
+OUT = 1_000_000
 
 
 def default_path() -> str:
@@ -124,7 +127,12 @@ class Transducer:
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         state, out = self.start, []
         for byte in piece:
-            move = state.next.get(byte) or self.step(state, byte)
+            move = state.next.get(byte)
+            if move is None:
+                if len(self.states) >= STATE_LIMIT:  # a state is all that a reading needs, so it goes on in a fresh machine
+                    self.reset()
+                    state = self.state(state.items)
+                move = self.step(state, byte)
             if move[0]:
                 out += move[0]
             state = move[1]
@@ -139,14 +147,13 @@ class Transducer:
             ids = pieces.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece.encode("utf-8", "replace"))
+                pieces = self.pieces
                 if len(piece) <= 64:
-                    if len(pieces) >= PIECE_LIMIT or len(self.states) >= STATE_LIMIT:
+                    if len(pieces) >= PIECE_LIMIT:
                         self.reset()
                         pieces = self.pieces
                     pieces[piece] = ids
             out += ids
-        if len(self.states) >= STATE_LIMIT:
-            self.reset()
         return out
 
 
@@ -225,7 +232,8 @@ def encode_texts(documents: DataFrame, key: str, text: str, path: str | None = N
     """key, ids: one row a row of `documents`, with the token ids of its whole text; [] for null and ''.
 
     The vocabulary file (at most FILE_LIMIT bytes) is read on the driver and broadcast, so executors need no copy.
-    A map over Arrow batches, with memory for one batch beside the transducer; no shuffle, but for tables in fewer parts
+    A map over Arrow batches, with memory for one batch of texts (spark.sql.execution.arrow.maxBytesPerBatch bounds it)
+    and OUT ids beside the transducer, which never has more than STATE_LIMIT states; no shuffle, but for tables in fewer parts
     than there are cores.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -234,12 +242,14 @@ def encode_texts(documents: DataFrame, key: str, text: str, path: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(shared.value)
         for batch in batches:
-            flat: list[int] = []
-            offsets = np.zeros(batch.num_rows + 1, np.int32)
+            begin, flat, offsets = 0, array("i"), array("i", [0])
             for i, value in enumerate(batch.column(1)):
-                flat += machine.encode(value.as_py() or "")
-                offsets[i + 1] = len(flat)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], ["key", "ids"])
+                flat.extend(machine.encode(value.as_py() or ""))
+                offsets.append(len(flat))
+                if len(flat) >= OUT or i == batch.num_rows - 1:
+                    ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
+                    yield pa.record_batch([batch.column(0).slice(begin, i + 1 - begin), ids], ["key", "ids"])
+                    begin, flat, offsets = i + 1, array("i"), array("i", [0])
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")

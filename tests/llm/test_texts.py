@@ -34,6 +34,16 @@ def test_ids_as_libraries_give_them(machine):
         assert bpe.decode(machine.bytes_of[i] for i in ids) == text
 
 
+def test_states_stay_within_their_limit_inside_a_piece(machine, monkeypatch):
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    machine.reset()
+    want = machine.encode(text)
+    monkeypatch.setattr(bpe, "STATE_LIMIT", 200)
+    machine.reset()
+    assert machine.encode(text) == want and len(machine.states) <= 202
+
+
 def test_output_waits_for_bounded_lookahead(machine):
     state, waiting = machine.start, 0
     for byte in b"antidisestablishmentarianism" * 20:
@@ -49,7 +59,9 @@ def test_utf8_machine_as_python(data):
         assert bpe.decode(data[i : i + step] for i in range(0, len(data), step)) == data.decode("utf-8", "replace")
 
 
-def test_encode_texts(spark, machine):
+@pytest.mark.parametrize("out", [1, 1_000_000])
+def test_encode_texts(spark, machine, monkeypatch, out):
+    monkeypatch.setattr(bpe, "OUT", out)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*ODD, None])], "doc_id bigint, text string, ids string")
     out = {r.doc_id: r.ids for r in bpe.encode_texts(df, "doc_id", "text").collect()}
     assert len(out) == len(ODD) + 1 and out[0] == [] and out[len(ODD)] == [] and out[4] == machine.encode("<|endoftext|>")
