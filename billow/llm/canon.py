@@ -6,17 +6,18 @@ import itertools
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from billow.session import bounded, cut
 from billow.tables import blank
 
-#: Entries of a reference list that may be held by every task.
+#: Entries of a reference list that may be held by every task; a longer one is joined.
 LIST_LIMIT = 100_000
 
 #: Fixed words of the grammar of licence names.
@@ -24,6 +25,8 @@ NUMBERS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six
 FLAVOURS = {"only": "only", "later": "later", "newer": "later", "above": "later", "higher": "later"}
 FILLERS = ["the", "under", "licensed", "license", "licence", "version", "ver", "or", "any", "and", "clause", "lic", "terms", "released", "this", "software", "is"]
 
+GRAMMAR = [*FILLERS, *FLAVOURS, *NUMBERS]
+
 #: Fixed words for kinds of licence: they tell no licence from another by themselves.
 KINDS = frozenset("general public license licence software source community permissive agreement free open documentation lesser library data".split())
 
@@ -137,11 +140,37 @@ def number(text: str) -> tuple[int, ...]:
     return tuple(parts)
 
 
+def bare(value: str) -> str:
+    """A value in plain form; of an address what names the entry."""
+    text = plain(value)
+    if URL.match(text):
+        text = re.sub(r"[?#].*$", "", text).rstrip("/").rsplit("/", 1)[-1]
+        text = re.sub(r"\.(?:html?|txt|md|php|json|xml)$", "", text)
+    return text
+
+
+def parted(text: str) -> tuple[str, list[str]]:
+    """A plain text, and its parts at separators. After a version and 'or', what is like 'later' is that; else it would be
+    taken for a second licence."""
+    text = OR_LATER.sub(lambda m: m[1] + "later" if damerau(m[2], "later", 2) <= 2 else m[0], text)
+    return text, [p for p in SPLIT.split(text) if p and p.strip()]
+
+
+def tokens_in(text: str) -> list[str]:
+    return TOKEN.findall(VERSION_MARK.sub(" v ", text))
+
+
+def looked_up(value: str) -> list[str]:
+    """The words of a value, of which nearest words are wanted."""
+    text, parts = parted(bare(value))
+    return sorted({t for x in (text, *parts) for t in tokens_in(x) if t != "+" and not t[0].isdigit() and t != "v"})
+
+
 class Entry:
     def __init__(self, key: str, name: str):
         self.key, self.name = key, name
         words, self.numbers, self.flavour = [], [], ""
-        for token in TOKEN.findall(VERSION_MARK.sub(" v ", plain(name))):
+        for token in tokens_in(plain(name)):
             if token[0].isdigit():
                 self.numbers.append(number(token))
             elif token in FLAVOURS:
@@ -149,10 +178,24 @@ class Entry:
             elif token not in ("v", "version", "or", "clause", "+"):
                 words.append(token)
         self.words = tuple(words)
-        letters = [t for t in TOKEN.findall(VERSION_MARK.sub(" v ", plain(key))) if not t[0].isdigit() and t not in FLAVOURS and t not in ("v", "or", "clause", "+")]
+        letters = [t for t in tokens_in(plain(key)) if not t[0].isdigit() and t not in FLAVOURS and t not in ("v", "or", "clause", "+")]
         self.short = tuple(letters)
 
 
+def marks_of(family: tuple, alone: set[str]) -> set[str]:
+    """The words of a family that tell it; `alone`: those that no other family has. Words too short to be corrected are
+    not asked for beside longer ones."""
+    marks = {w for w in alone if w not in KINDS} or alone or set(family)
+    return {w for w in marks if len(w) >= 4} or marks
+
+
+def initials_of(family: tuple, alone: set[str]) -> list[str]:
+    """Initials that may stand for the kind of licence after its own name."""
+    initials = "".join(w[0] for w in family)
+    names = max((k + 1 for k, w in enumerate(family) if w not in KINDS and w in alone), default=0)
+    return [initials[k:] for k in range(max(1, names), len(initials) - 1)]
+
+
 class Matcher:
     """Reads a value as the names, versions and flavours of entries. frequency: rows that hold an entry as it stands."""
 
@@ -171,9 +214,7 @@ class Matcher:
         for family in self.families:
             for word in family:
                 holders[word].add(family)
-        self.distinctive = {f: {w for w in f if len(holders[w]) == 1 and w not in KINDS} or {w for w in f if len(holders[w]) == 1} or set(f) for f in self.families}
-        for family, marks in self.distinctive.items():  # words too short to be corrected are not asked for beside longer ones
-            self.distinctive[family] = {w for w in marks if len(w) >= 4} or marks
+        self.distinctive = {f: marks_of(f, {w for w in f if len(holders[w]) == 1}) for f in self.families}
         self.shorts: dict[str, set] = defaultdict(set)
         words: dict[str, int] = defaultdict(int)
         for family, members in self.families.items():
@@ -184,11 +225,9 @@ class Matcher:
                 if len(e.short) == 1 and e.short[0] not in family:
                     self.shorts[e.short[0]].add(family)
                     words[e.short[0]] += weight
-            initials = "".join(w[0] for w in family)
-            names = max((k + 1 for k, w in enumerate(family) if w not in KINDS and len(holders[w]) == 1), default=0)
-            for k in range(max(1, names), len(initials) - 1):
-                words[initials[k:]] += 0
-        for word in [*FILLERS, *FLAVOURS, *NUMBERS]:
+            for word in initials_of(family, {w for w in family if len(holders[w]) == 1}):
+                words[word] += 0
+        for word in GRAMMAR:
             words[word] += 0
         self.index = SymmetricDelete(dict(words))
         self.of_word: dict[str, set] = defaultdict(set)
@@ -216,7 +255,7 @@ class Matcher:
         """Tokens as ('word', w), ('number', n), ('plus', None) or ('unknown', t), and each word's distance."""
         out: list[tuple[str, object]] = []
         far: dict[str, float] = {}
-        for token in TOKEN.findall(VERSION_MARK.sub(" v ", text)):
+        for token in tokens_in(text):
             if token == "+":
                 out.append(("plus", None))
             elif token[0].isdigit():
@@ -287,15 +326,10 @@ class Matcher:
 
     def match(self, value: str) -> list[str]:
         """The keys of the entries that a value means, sorted; empty for none."""
-        text = plain(value)
-        if URL.match(text):
-            text = re.sub(r"[?#].*$", "", text).rstrip("/").rsplit("/", 1)[-1]
-            text = re.sub(r"\.(?:html?|txt|md|php|json|xml)$", "", text)
+        text = bare(value)
         if text in self.exact:
             return [self.exact[text]]
-        # After a version and 'or', what is like 'later' is that; else it would be taken for a second licence.
-        text = OR_LATER.sub(lambda m: m[1] + "later" if damerau(m[2], "later", 2) <= 2 else m[0], text)
-        parts = [p for p in SPLIT.split(text) if p and p.strip()]
+        text, parts = parted(text)
         if len(parts) > 1:
             named = [self.whole(p) for p in parts]
             if sum(map(bool, named)) > 1:
@@ -308,19 +342,19 @@ def canonical(values: DataFrame, value: str, entries: DataFrame, key: str, name:
 
     `values` should be distinct; nulls are left out. Values that equal a key or name are mapped like others. The list
     is read to the driver, made a dictionary with all its deletes once, and that is broadcast: a worker process unpacks
-    it once and keeps it, with what it has looked up, from task to task. LIST_LIMIT bounds it; a longer list raises an
-    error, as a reference list is kept by hand and does not grow with the data. Entries with a null key or name are left
-    out. Words of a value are looked up among words of the list by symmetric deletes and ranked by weighted edit
+    it once and keeps it, with what it has looked up, from task to task. LIST_LIMIT bounds it; a longer list goes through
+    `canonical_by_join`, with the same result. Entries with a null key or name are left out. Words of a value are looked up among words of the list by symmetric deletes and ranked by weighted edit
     distance, then by frequency of the entries that hold them; numbers are never corrected, so a version that the list
     lacks gives no entry. frequency(value, n): rows that hold an entry as it stands. Starts two small jobs.
     """
-    listed = bounded(entries.select(F.col(key).alias("k"), F.col(name).alias("n")).dropna(), LIST_LIMIT)
+    named = entries.select(F.col(f"`{key}`").alias("k"), F.col(f"`{name}`").alias("n")).dropna()
+    listed = bounded(named, LIST_LIMIT)
     if listed is None:
-        raise ValueError(f"the reference list has more than {LIST_LIMIT} entries")
+        return canonical_by_join(values, value, named, frequency)
     counts = {}
     if frequency is not None:
-        exact = entries.select(F.explode(F.array(key, name)).alias("value")).dropna().distinct()
-        counts = {r["value"]: r["n"] for r in frequency.join(F.broadcast(exact), "value", "left_semi").limit(2 * LIST_LIMIT).collect()}
+        exact = named.select(F.explode(F.array("k", "n")).alias("value")).distinct()
+        counts = {r["value"]: r["n"] for r in frequency.join(F.broadcast(exact), "value", "left_semi").collect()}
     shared = values.sparkSession.sparkContext.broadcast(Matcher([(r["k"], r["n"]) for r in listed], counts))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +366,110 @@ def canonical(values: DataFrame, value: str, entries: DataFrame, key: str, name:
     return values.select(F.col(value).alias("raw_value")).filter("raw_value IS NOT NULL").mapInArrow(resolve, "raw_value string, entry string")
 
 
+class Part(Matcher):
+    """What a matcher of the whole list would hold that one value asks for."""
+
+    def __init__(self, lookups: list, longest: int, families: list, exact: str | None, text: str):
+        found = {r["t"]: ((r["d"], 0, r["word"]),) for r in lookups}
+        self.index = self
+        self.longest, self.lookup = longest, lambda t: found.get(t, ())
+        self.exact = {} if exact is None else {text: exact}
+        self.families = {tuple(r["family"]): [Entry(m["k"], m["n"]) for m in r["members"]] for r in families}
+        self.distinctive = {tuple(r["family"]): set(r["marks"]) for r in families}
+        self.shorts: dict[str, set] = defaultdict(set)
+        self.of_word: dict[str, set] = defaultdict(set)
+        for r in families:
+            for word in r["marks"]:
+                self.of_word[word].add(tuple(r["family"]))
+            for word in r["shorts"]:
+                self.shorts[word].add(tuple(r["family"]))
+
+
+def by_batch(df: DataFrame, schema: str, function: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
+    """The rows that `function` makes of the rows of each batch."""
+    names = [x.split()[0] for x in re.split(r",\s*(?![^<]*>)", schema)]
+    kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = function(batch.to_pylist())
+            while part := list(itertools.islice(rows, 20_000)):
+                yield pa.record_batch([pa.array(c, kinds.field(name).type) for name, c in zip(names, zip(*part, strict=True), strict=True)], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def nearest(terms: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """t, d, word: the nearest word of terms(t), by (distance, frequency, word), of words(word, n): exact words first, for
+    the others words that share a string with them after deletes, which is what the two sides are joined on."""
+    same = terms.join(words.select(F.col("word").alias("t")), "t").select("t", F.lit(0.0).alias("d"), F.col("t").alias("word"))
+    rest = terms.join(words.select(F.col("word").alias("t")), "t", "left_anti").filter(F.length("t").between(2, longest + 3))
+    left = by_batch(rest, "short string, t string", lambda rows: ((x, r["t"]) for r in rows for x in deletes(r["t"], edit_bound(len(r["t"]) + 1))))
+    right = by_batch(words, "short string, word string, n bigint", lambda rows: ((x, r["word"], r["n"]) for r in rows for x in deletes(r["word"], edit_bound(len(r["word"])))))
+    met = left.join(right, "short").select("t", "word", "n").distinct()
+
+    def check(rows: list[dict]) -> Iterator[tuple]:
+        for r in rows:
+            bound = edit_bound(max(len(r["word"]), 1))
+            if damerau(r["t"], r["word"], bound) <= bound and (d := weighted_damerau(r["t"], r["word"])) < 4:
+                yield r["t"], r["word"], r["n"], d
+
+    near = by_batch(met, "t string, word string, n bigint, d double", check)
+    best = near.groupBy("t").agg(F.min(F.struct("d", (-F.col("n")).alias("m"), "word")).alias("b"))
+    return same.unionByName(best.select("t", "b.d", "b.word"))
+
+
+def canonical_by_join(values: DataFrame, value: str, entries: DataFrame, frequency: DataFrame | None) -> DataFrame:
+    """`canonical` for a list entries(k, n) of any length: nothing of it is broadcast or held as a whole. Words of values
+    meet words of the list on what is left of both after deletes; each value then gets its nearest words and the families
+    that these name, and is read with them as it would be with the whole list. Starts a job for the longest word."""
+    rows = by_batch(entries, "k string, n string, family array<string>, short string, ek string, en string", lambda rows: ((r["k"], r["n"], list(e.words), e.short[0] if len(e.short) == 1 and e.short[0] not in e.words else None, plain(r["k"]), plain(r["n"])) for r in rows for e in (Entry(r["k"], r["n"]),)))
+    by_name = rows.groupBy(F.col("en").alias("text")).agg(F.min(F.struct("k", "n")).alias("first"))
+    by_key = rows.groupBy(F.col("ek").alias("text")).agg(F.max("k").alias("last"))
+    exact = by_key.join(by_name, "text", "full").select("text", F.coalesce("last", "first.k").alias("exact"))
+    families = rows.select("family").distinct()
+    each = families.select("family", F.explode_outer(F.array_distinct("family")).alias("w"))
+    held = each.groupBy("w").agg(F.count("*").alias("holders"))
+    alone = each.join(held, "w", "left").groupBy("family").agg(F.collect_set(F.when(F.col("holders") == 1, F.col("w"))).alias("alone"))
+    told = by_batch(alone, "family array<string>, marks array<string>, initials array<string>", lambda rows: ((r["family"], sorted(marks_of(tuple(r["family"]), set(r["alone"]))), initials_of(tuple(r["family"]), set(r["alone"]))) for r in rows))
+    weights = families.select("family", F.lit(0).cast("bigint").alias("weight"))
+    if frequency is not None:
+        sides = rows.select("family", F.col("k").alias("value")).unionByName(rows.select("family", F.col("n").alias("value")))
+        weights = weights.unionByName(sides.join(frequency.select("value", F.col("n").alias("weight")), "value").select("family", "weight"))
+    weights = weights.groupBy("family").agg(F.sum("weight").alias("weight"))
+    of_entry = rows.filter("short IS NOT NULL").join(weights, "family").select(F.col("short").alias("word"), "weight")
+    of_family = weights.select(F.explode("family").alias("word"), "weight")
+    plainly = told.select(F.explode("initials").alias("word")).unionByName(values.sparkSession.createDataFrame([(w,) for w in GRAMMAR], "word string")).select("word", F.lit(0).cast("bigint").alias("weight"))
+    words = of_entry.unionByName(of_family).unionByName(plainly).groupBy("word").agg(F.sum("weight").alias("n"))
+    longest = words.agg(F.max(F.length("word")).alias("m")).first()["m"]
+    shorts = rows.groupBy("family").agg(F.collect_set("short").alias("shorts"), F.collect_list(F.struct("k", "n")).alias("members"))
+    whole = told.select("family", "marks").join(shorts, "family")
+    names = whole.select("family", F.explode(F.array_union("marks", "shorts")).alias("word"))
+
+    wanted = values.select(F.col(value).alias("raw_value")).filter("raw_value IS NOT NULL")
+    read = by_batch(wanted.distinct(), "raw_value string, text string, tokens array<string>", lambda rows: ((r["raw_value"], bare(r["raw_value"]), looked_up(r["raw_value"])) for r in rows))
+    tokens = read.select("raw_value", F.explode("tokens").alias("token"))
+    terms = tokens.select(F.col("token").alias("t")).distinct()
+    first = nearest(terms, words, longest)
+    # What is no word by itself may be several written without blanks.
+    joined = terms.join(first.select("t"), "t", "left_anti").filter(F.length("t") >= 6)
+    pieces = by_batch(joined, "token string, t string", lambda rows: ((r["t"], r["t"][i:j]) for r in rows for i in range(len(r["t"])) for j in range(i + 2, min(len(r["t"]), i + longest + 2) + 1))).distinct()
+    second = pieces.join(nearest(pieces.select("t").distinct(), words, longest), "t")
+    near = first.select(F.col("t").alias("token"), "t", "d", "word").unionByName(second.select("token", "t", "d", "word"))
+    found = tokens.join(near, "token").select("raw_value", "t", "d", "word").distinct()
+    lookups = found.groupBy("raw_value").agg(F.collect_list(F.struct("t", "d", "word")).alias("lookups"))
+    meant = found.join(names, "word").select("raw_value", "family").distinct().join(whole, "family").groupBy("raw_value").agg(F.collect_list(F.struct("family", "marks", "shorts", "members")).alias("families"))
+    full = read.select("raw_value", "text").join(exact, "text", "left").join(lookups, "raw_value", "left").join(meant, "raw_value", "left")
+
+    def match(rows: list[dict]) -> Iterator[tuple]:
+        for r in rows:
+            part = Part(r["lookups"] or [], longest, r["families"] or [], r["exact"], r["text"])
+            for entry in part.match(r["raw_value"]) or [""]:
+                yield r["raw_value"], entry
+
+    return wanted.join(by_batch(full, "raw_value string, entry string", match), "raw_value")
+
+
 def counted_values(values: DataFrame, value: str) -> DataFrame:
     """value, n: each different value with its number of rows, written to the checkpoint folder, so that the input is
     read once for frequencies and for what is to be mapped."""

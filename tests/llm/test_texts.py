@@ -6,6 +6,7 @@ import re
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from billow.llm import bpe, canon, leaks, spam
 
@@ -357,3 +358,20 @@ def test_limits_move_without_a_step():
     for name, (low, high) in spam.OVER.items():
         steps = [spam.over_limit(name, 0.2, n) for n in range(300)]
         assert steps[0] == pytest.approx((low + high) / 2) and max(abs(b - a) for a, b in zip(steps, steps[1:])) < 0.01 and low - 1e-9 <= min(steps)
+
+
+def test_a_long_list_is_joined_with_the_same_result(spark, data, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from billow.llm.queries import typed_licenses
+
+    entries = [(r["license_id"], r["full_name"]) for r in pq.read_table(f"{data}/license_list.parquet").to_pylist()] + LIST
+    typed = sorted({r.value for r in typed_licenses(spark, data).collect()})
+    odd = ["tarnpl 2", "TarnwickPublicLicense-2.0", "zgpl v1-only", "License", "", "-", "z" * 400, "Quillon 4-Clause", "https://x.example/l/tarnpl-2.0.html", "ZemfiraGeneralPublicLicnse 1.0+"]
+    df = spark.createDataFrame([(k, n) for k, n in entries] + [(None, "x")], "license_id string, full_name string")
+    values = spark.createDataFrame([(v,) for v in [*typed, *odd, None]], "value string")
+    counts = values.filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    whole = rows(canon.canonical(values, "value", df, "license_id", "full_name", counts))
+    monkeypatch.setattr(canon, "LIST_LIMIT", 5)
+    assert rows(canon.canonical(values, "value", df, "license_id", "full_name", counts)) == whole
+    assert len({v for v, e in whole if e}) > 20
