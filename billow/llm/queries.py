@@ -149,11 +149,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(load(spark, folder, "documents"), "doc_id", "text").select("doc_id")
+    return stuffed_pages(load(spark, folder, "documents"), "doc_id", "text", said="lang").select("doc_id")
 
 
 def p9_features(spark: SparkSession, folder: str) -> DataFrame:
-    return page_features(load(spark, folder, "documents"), "doc_id", "text")
+    return page_features(load(spark, folder, "documents"), "doc_id", "text", said="lang")
 
 
 FOLD = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '')"

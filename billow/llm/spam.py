@@ -163,7 +163,7 @@ def readings(rest: str, tokens: list[str], own: dict[str, frozenset[str]]) -> Re
     out: Reading = []
     for language, words in own.items():
         hits = sum(map(words.__contains__, tokens))
-        if hits and hits >= LOWEST[language] * len(tokens):
+        if hits and hits >= LOWEST.get(language, FLOOR) * len(tokens):
             if rest.isascii():
                 commas = rest.count(",") + rest.count(";")
                 strong = len(STRONG.findall(rest)) if "|" in rest or ";" in rest or " - " in rest or " / " in rest or "\t" in rest else 0
@@ -178,9 +178,9 @@ def verdict(reading: Reading) -> bool | None:
     """Is a segment a sentence, whatever the least shares come to within their bounds? None if that is open."""
     seen = set()
     for language, share, whole in reading:
-        if share and share >= LOWEST[language]:
+        if share and share >= LOWEST.get(language, FLOOR):
             seen.add(whole)
-            if share >= HIGHEST[language]:
+            if share >= HIGHEST.get(language, CEILING):
                 break
     else:
         seen.add(False)
@@ -188,7 +188,7 @@ def verdict(reading: Reading) -> bool | None:
 
 
 def is_sentence(reading: Reading, least: dict[str, float]) -> bool:
-    return next((whole for language, share, whole in reading if share and share >= least[language]), False)
+    return next((whole for language, share, whole in reading if share and share >= least.get(language, FLOOR)), False)
 
 
 #: The shares of top word, repeated word pairs and repeated lines from which words that come twice on a page count as
@@ -256,9 +256,10 @@ def heaped(doubtful: list[tuple[str, list[str], int, int]], own: dict[str, froze
 
 
 class Page:
-    """The segments of a text, read once; `judged` then counts them under any least shares of function words."""
+    """The segments of a text, read once; `judged` then counts them under any least shares of function words. learned:
+    function words of the language that the page is said to be in, if that is none with a list (see `learned_words`)."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, learned: tuple[str, frozenset[str]] | None = None):
         text = visible(text)
         linked, tagged, marked = LINKED.search(text) is not None, "#" in text, "<" in text
         lines = LINE_ENDS.split(text)
@@ -303,6 +304,8 @@ class Page:
         known = self.language in BOUNDS or SCRIPT.get(self.language) in ("Arabic", "Greek")
         outside = 0 if known or self.share >= FOREIGN or text.isascii() else sum(n for word, n in self.words.items() if not word.isascii())
         self.foreign = outside > 0 and outside * 6 >= self.words.total()
+        if self.foreign and learned is not None:
+            self.own = {learned[0]: learned[1]}
         self.segments: list[tuple[Reading, str, str, list[str], int]] = []
         for segment, rest, tokens, size, links, link_mass, tags, tag_mass in raw:
             reading = readings(rest, tokens, self.own)
@@ -410,7 +413,11 @@ def over_limit(name: str, high_share: float, pages: int) -> float:
 
 
 KINDS = [*MASSES, *OVER]
-READ = "key bigint, language string, share double, " + ", ".join(f"{k} double" for k in KINDS) + ", text string"
+READ = "key bigint, language string, share double, " + ", ".join(f"{k} double" for k in KINDS) + ", text string, label string, words array<string>"
+#: Letters that a learned function word has at the most, and the part of the pages of its language that hold it at the
+#: least, ENOUGH pages without it being counted too.
+SHORT, SPREAD = 5, 0.2
+NO_LABEL = {"", "und", "xx", "mul", "mis", "zxx", "eng", "deu", "ger", "spa", "fra", "fre", "por", "ita", "nld", "dut", "pol", "swe", "tur", "rus", "ell", "gre", "ara", "fas", "per", "urd", "zho", "chi", "jpn", "kor"}
 
 
 def settled(page: Page, most: float | None) -> tuple[dict[str, float], bool]:
@@ -436,28 +443,49 @@ def stuffing(shares: dict[str, float]) -> float:
     return shares["link"] + shares["tag"] + shares["keyword"]
 
 
-def read_pages(documents: DataFrame, key: str, text: str, most: float | None) -> DataFrame:
+def label_of(said: str | None) -> str | None:
+    """The language that a page is said to be in, if it is one without a list."""
+    label = re.split(r"[-_]", (said or "").strip().casefold())[0]
+    return None if label in NO_LABEL or label in LOWEST else label
+
+
+def read_pages(documents: DataFrame, key: str, text: str, most: float | None, said: str | None = None) -> DataFrame:
     """READ for every text that is not null or blank: all that is needed of it is found here in one pass. The text itself
-    goes on only for a page whose verdict awaits the calibration."""
-    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"), "key")
+    goes on only for a page whose verdict awaits the calibration, or the function words of a language without a list;
+    of the latter pages the short words go on too. said: the column with what a page's language is said to be."""
+    label = F.lit(None).cast("string") if said is None else F.col(f"`{said}`").cast("string")
+    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"), label.alias("said")).filter("text IS NOT NULL"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, v, said in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if not visible(v).strip():
                     continue
                 page = Page(v)
                 shares, sure = settled(page, most)
                 again = page.repetition()
-                out.append((k, page.language, page.share, *(shares[x] for x in MASSES), *(again[x] for x in OVER), None if sure else v))
-            columns = list(zip(*out, strict=True)) if out else [()] * (len(KINDS) + 4)
-            kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.float64()] * len(KINDS), pa.string()]
-            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["key", "language", "share", *KINDS, "text"])
+                label = label_of(said) if page.foreign else None
+                words = None if label is None else sorted(w for w in page.words if len(w) <= SHORT)
+                out.append((k, page.language, page.share, *(shares[x] for x in MASSES), *(again[x] for x in OVER), None if sure and label is None else v, label, words))
+            columns = list(zip(*out, strict=True)) if out else [()] * (len(KINDS) + 6)
+            kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.float64()] * len(KINDS), pa.string(), pa.string(), pa.list_(pa.string())]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["key", "language", "share", *KINDS, "text", "label", "words"])
 
     return rows.mapInArrow(run, READ)
 
 
+def learned_words(pages: DataFrame) -> dict[str, frozenset[str]]:
+    """Function words of each language without a list, learned from the pages that are said to be in it: short words that
+    a part SPREAD of them holds. ENOUGH pages without any are counted too, so a few pages teach nothing and there is no
+    step. Starts a job; to the driver come at most the words of 1 / SPREAD pages a language."""
+    of = pages.filter("label IS NOT NULL")
+    counts = of.groupBy("label").agg(F.count("*").alias("n"))
+    df = of.select("label", F.explode("words").alias("word")).groupBy("label", "word").agg(F.count("*").alias("df"))
+    kept = df.join(counts, "label").filter(F.col("df") >= SPREAD * (F.col("n") + ENOUGH))
+    return {r["label"]: frozenset(r["words"]) for r in kept.groupBy("label").agg(F.collect_list("word").alias("words")).collect()}
+
+
 def calibrated(pages: DataFrame) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
     """By language: the least share of function words in a sentence, from the median over all pages; and the limits of
     the shares of repetition, from their high percentiles. '' stands for a language that is not known.
@@ -476,19 +504,22 @@ def calibrated(pages: DataFrame) -> tuple[dict[str, float], dict[str, dict[str,
     return least, limits
 
 
-def page_features(documents: DataFrame, key: str, text: str, most: float | None = None) -> DataFrame:
+def page_features(documents: DataFrame, key: str, text: str, most: float | None = None, said: str | None = None) -> DataFrame:
     """key, the shares KINDS and `over` (is a share of repetition over the limit of the page's language?) for every text
     that is not null or blank. The texts are read once; what was found goes through the checkpoint folder, and pages that
     await the calibration are judged again from there. No shuffle but for calibration.
 
-    most: only whether links, tags and keywords are more than this need be right, so fewer pages wait.
+    most: only whether links, tags and keywords are more than this need be right, so fewer pages wait. said: the column
+    with what a page's language is said to be; it only tells which pages teach the words of a language without a list.
     """
-    pages = cut(read_pages(documents, key, text, most))
+    pages = cut(read_pages(documents, key, text, most, said))
     least, limits = calibrated(pages)
+    learned = learned_words(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Page(v).judged(least) for v in batch.column(len(KINDS) + 3).to_pylist()]
+            texts, labels = (batch.column(len(KINDS) + k).to_pylist() for k in (3, 4))
+            found = [Page(v, (label, learned[label]) if label in learned else None).judged(least) for v, label in zip(texts, labels, strict=True)]
             columns = [pa.array([x[kind] for x in found], pa.float64()) for kind in MASSES]
             yield pa.record_batch([*batch.columns[:3], *columns, *batch.columns[3 + len(MASSES) :]], batch.schema.names)
 
@@ -500,8 +531,8 @@ def page_features(documents: DataFrame, key: str, text: str, most: float | None
     return rows.select(F.col("key").alias(key), *KINDS, over.alias("over"))
 
 
-def stuffed_pages(documents: DataFrame, key: str, text: str, most: float = 0.5) -> DataFrame:
+def stuffed_pages(documents: DataFrame, key: str, text: str, most: float = 0.5, said: str | None = None) -> DataFrame:
     """The rows of `page_features` of pages with more than `most` of their characters in links, tags and keywords outside
     sentences, or with a share of repetition over the limit of their language. Null, empty and blank texts are no page;
     code, logs and tables count as other text."""
-    return page_features(documents, key, text, most).filter((F.col("link") + F.col("tag") + F.col("keyword") > most) | F.col("over"))
+    return page_features(documents, key, text, most, said).filter((F.col("link") + F.col("tag") + F.col("keyword") > most) | F.col("over"))

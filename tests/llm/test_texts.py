@@ -375,3 +375,18 @@ def test_a_long_list_is_joined_with_the_same_result(spark, data, monkeypatch):
     monkeypatch.setattr(canon, "LIST_LIMIT", 5)
     assert rows(canon.canonical(values, "value", df, "license_id", "full_name", counts)) == whole
     assert len({v for v, e in whole if e}) > 20
+
+
+def test_function_words_of_a_language_without_a_list_are_learned(spark):
+    """Made-up language: short words between long ones in sentences; keyword pages have only long ones."""
+    rnd = random.Random(8)
+    short, long = ["ŋa", "šo", "vę", "ků"], [f"{a}{b}ťák" for a in ("mor", "bel", "tuk", "ran", "sil", "pod") for b in ("oz", "ir", "uk", "en", "av", "yl", "om")]
+    sentence = lambda: " ".join(rnd.choice(short) if k % 3 == 1 else rnd.choice(long) for k in range(11)).capitalize() + "."
+    pages = [(" ".join(sentence() for _ in range(12)), "qx-XX") for _ in range(80)] + [(", ".join(rnd.choice(long) for _ in range(60)), "QX") for _ in range(5)]
+    df = spark.createDataFrame([(k, t, said) for k, (t, said) in enumerate(pages)], "doc_id bigint, text string, lang string")
+    kept = spam.read_pages(df, "doc_id", "text", 0.5, "lang")
+    assert spam.learned_words(kept) == {"qx": frozenset(short)} and spam.learned_words(kept.limit(5)) == {}
+    found = spam.page_features(df, "doc_id", "text", said="lang").orderBy("doc_id").collect()
+    assert all(r.sentence > 0.9 for r in found[:80]) and all(r.keyword > 0.9 for r in found[80:])
+    assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text", said="lang").orderBy("doc_id").collect()] == list(range(80, 85))
+    assert spam.label_of(None) is spam.label_of("en-US") is spam.label_of("ENG") is spam.label_of(" ") is None and spam.label_of("cs_CZ") == "cs"
