@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from billow import dims
 from billow.functions.tokens import bpe_count
-from billow.plans import collect, openapi
+from billow.plans import classify, collect, openapi
 from billow.plans.export import projects
 from billow.plans.warehouse import Warehouse, adhoc
 from billow.session import session
@@ -120,6 +120,35 @@ def openapi_stats(spark: SparkSession, args: argparse.Namespace) -> None:
     write_csv(openapi.source_stats(sources, ["owner", "repo", "language"], size="length", tokens=counts), args.output)
 
 
+def openapi_select(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Which candidates to clone: the first of each framework, each repository once, without versions under --clones."""
+    rows, present = files.csv_text(spark, args.input), None
+    if args.clones and not args.force and files.exists(spark, args.clones):
+        parts = F.split(F.substring_index("path", args.clones.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/")
+        found = files.folder_files(spark, args.clones).select(parts[0].alias("owner"), parts[1].alias("repo"), F.concat_ws("/", parts[2], parts[3]).alias("version"))
+        present = found.distinct()
+    write_csv(openapi.selected(rows, args.top, present), args.output)
+
+
+def openapi_steps(spark: SparkSession, args: argparse.Namespace) -> None:
+    """What a chart of drift over time needs: the rows of projects with two or more dates, numbered by date."""
+    write_csv(openapi.plotted(files.csv_text(spark, args.input), ["owner", "repo"], "date"), args.output)
+
+
+def github_classify(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Saved answers of a classifier (JSON lines with the fields of a record) as flat records, with the frameworks that
+    packages of the warehouse show."""
+    kinds = "id bigint, owner string, repo string, name string, repo_name string, stars bigint, language string, topics array<string>, description string, default_branch string, latest_release string, category string, tags array<string>, description_zh string, description_en string, reasoning string, analyzed_at string"
+    said = classify.adapted(spark.read.schema(kinds).json(args.input))
+    rows = said.withColumn("repo", F.coalesce("repo", "name"))
+    found = None
+    if files.exists(spark, f"{args.warehouse}/artifacts"):
+        house = warehouse(spark, args.warehouse)
+        order = house.core_packages().groupBy("framework").agg(F.min("priority").alias("priority"))
+        found = house.repository_frameworks().join(order, "framework")
+    write_csv(classify.flat(rows, found), args.output)
+
+
 def sbom_hashes(spark: SparkSession, args: argparse.Namespace) -> None:
     """The hash of each folder of manifests, by which a finished SBOM is found again."""
     rows = files.folder_files(spark, args.input).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
@@ -148,6 +177,9 @@ COMMANDS = {
     ("openapi", "drift"): (openapi_drift, ["input", "--specs=specs", "--truth=truth", "--output=drift"]),
     ("openapi", "list-paths"): (openapi_list_paths, ["input", "--specs=specs", "--output=paths"]),
     ("openapi", "stats"): (openapi_stats, ["clones", "--input", "--output=stats", "--bpe:flag"]),
+    ("openapi", "select"): (openapi_select, ["input", "--top:int=0", "--clones", "--force:flag", "--output=selected"]),
+    ("openapi", "steps"): (openapi_steps, ["input", "--output=steps"]),
+    ("github", "classify"): (github_classify, ["input", "--output=classified"]),
     ("sbom", "hashes"): (sbom_hashes, ["input"]),
     ("github", "search"): (github_search, ["input", "--output=search", "--language", "--min-stars:int=1000", "--force:flag"]),
 }

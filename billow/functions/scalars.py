@@ -46,8 +46,8 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 
 def version_path(ref: Column, sha: Column) -> Column:
-    """<ref>/<sha>, HEAD for a missing ref, no second part for a missing sha."""
-    return F.concat_ws("/", filled(strip(ref), F.lit("HEAD")), F.nullif(strip(sha), F.lit("")))
+    """<ref>/<sha>, HEAD for either that is missing or blank."""
+    return F.concat_ws("/", filled(strip(ref), F.lit("HEAD")), filled(strip(sha), F.lit("HEAD")))
 
 
 def tree_url(url: Column, release: Column, sha: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billow.dims import EXTENSIONS, HEAVY_DIRECTORIES, HEAVY_EXTENSIONS, IGNORED_DIRECTORIES, IGNORED_PARTS, LANGUAGES, METHODS, OPENAPI_FILES
-from billow.functions.scalars import basename, blob_url, depth, filled, lines_of_code, normalize_path, percent, ref_of, tree_url
-from billow.operators.rank import best_value, keep_first
+from billow.functions.scalars import basename, blob_url, depth, filled, lines_of_code, normalize_path, percent, ref_of, tree_url, version_path
+from billow.operators.rank import best_value, keep_first, top_per_group
 from billow.operators.sets import agreement
 from billow.plans.warehouse import Warehouse
 from billow.schemas import CANDIDATES, DRIFT, PATHS
@@ -112,6 +112,18 @@ def distinct_projects(found: DataFrame) -> DataFrame:
     return found.agg(F.count_distinct("owner", "repo").alias("projects"))
 
 
+def selected(rows: DataFrame, top: int = 0, present: DataFrame | None = None) -> DataFrame:
+    """The projects to fetch, of rows(framework, owner, repo, stars, latest_release, commit_sha, ...): of each framework
+    the `top` with most stars (0: all), each (owner, repo) once, by its first framework, without those of which
+    present(owner, repo, version) has the version already. Ties are broken by owner and repo. Adds version."""
+    stars = F.coalesce(F.expr("try_cast(stars AS bigint)"), F.lit(0))
+    if top > 0:
+        rows = top_per_group(rows, ["framework"], [stars.desc(), F.asc("owner"), F.asc("repo")], top)
+    first = keep_first(rows, ["owner", "repo"], [F.asc("framework"), stars.desc(), F.asc("latest_release"), F.asc("commit_sha")])
+    out = first.withColumn("version", version_path(F.col("latest_release"), F.col("commit_sha")))
+    return out if present is None else out.join(present.select("owner", "repo", "version"), ["owner", "repo", "version"], "left_anti")
+
+
 def spec_endpoints(specs: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, method, path: the endpoints of API descriptions in JSON text, made equal to compare; distinct.
 

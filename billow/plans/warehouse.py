@@ -25,28 +25,31 @@ class Warehouse:
         self.tables = {"repositories": repositories, "artifacts": artifacts, "releases": releases}
         self.packages = packages
 
-    def final(self, table: str, *columns: str) -> DataFrame:
+    def final(self, table: str, *columns: str, where: Column | None = None) -> DataFrame:
         """The newest row of each key, without nulls (see `normalised`), with these columns or all.
 
         Columns that are part of the key are the same in all versions, so distinct keys stand for newest rows, which
-        needs no sort. Else only the columns asked for, the key and the version are read.
+        needs no sort. Else only the columns asked for, the key and the version are read. where: a condition on columns of
+        the key as they are stored, by which the reader of files may skip.
         """
         wanted = list(columns) or TABLES[table].names
         source = self.tables[table]
         if source is None:
             raise ValueError(f"no table {table}")
+        if where is not None:
+            source = source.filter(where)
         key = KEYS[table]
         if set(wanted) <= set(key):
             return normalised(source, table, key).distinct().select(*wanted)
         names = list(dict.fromkeys([*key, *wanted, "updated_at"]))
         return newest(normalised(source, table, names), key).select(*wanted)
 
-    def uses(self, *columns: str) -> DataFrame:
+    def uses(self, *columns: str, where: Column | None = None) -> DataFrame:
         """Artifacts with the columns of their repository (prefix r_), for known repositories."""
         mine = [c for c in columns if not c.startswith("r_")]
         theirs = [c.removeprefix("r_") for c in columns if c.startswith("r_")]
         repositories = self.final("repositories", "id", *theirs).select("id", *[F.col(c).alias(f"r_{c}") for c in theirs])
-        return self.final("artifacts", *dict.fromkeys(["repository_id", *mine])).join(repositories, F.col("repository_id") == F.col("id")).select(*columns)
+        return self.final("artifacts", *dict.fromkeys(["repository_id", *mine]), where=where).join(repositories, F.col("repository_id") == F.col("id")).select(*columns)
 
     def tagged(self, marks: DataFrame, *columns: str) -> DataFrame:
         """These columns of all artifact rows with a name in marks(name, ...), with the columns of marks.
@@ -89,7 +92,9 @@ class Warehouse:
 
     def of_library(self, library: str | DataFrame, language: str | None, *columns: str) -> DataFrame:
         """Uses of a library by name, or of those in a DataFrame(name)."""
-        rows = self.uses(*dict.fromkeys(["name", "r_language", *columns]))
+        # The name as it is stored can be looked up in the statistics of files; without null as '' it cannot.
+        stored = F.col("name") == library if isinstance(library, str) and library else None
+        rows = self.uses(*dict.fromkeys(["name", "r_language", *columns]), where=stored)
         rows = rows.filter(F.col("name") == library) if isinstance(library, str) else rows.join(library.select("name").distinct(), "name", "left_semi")
         return rows if language is None else rows.filter(F.col("r_language") == language)
 
@@ -107,10 +112,13 @@ class Warehouse:
     def with_packages(self, packages: list[str] | DataFrame) -> DataFrame:
         """repository_id of the artifacts with one of these names (or those of a DataFrame(name)), before any dedupe:
         names are part of the key."""
-        rows = normalised(self.tables["artifacts"], "artifacts", ["repository_id", "name"])
+        source = self.tables["artifacts"]
         if isinstance(packages, DataFrame):
+            rows = normalised(source, "artifacts", ["repository_id", "name"])
             return rows.join(packages.select("name").distinct(), "name", "left_semi").select("repository_id")
-        return rows.filter(F.col("name").isin(packages)).select("repository_id")
+        if "" not in packages:
+            source = source.filter(F.col("name").isin(packages))
+        return normalised(source, "artifacts", ["repository_id", "name"]).filter(F.col("name").isin(packages)).select("repository_id")
 
     def framework_usage(self, language: str, packages: list[str] | DataFrame) -> DataFrame:
         rows = self.in_language(language)

@@ -117,6 +117,13 @@ def list_paths(spark: SparkSession, folder: str) -> DataFrame:
     return openapi.list_paths(rows)
 
 
+def clone_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each framework's candidates the three with most stars that are not there yet; every second version is."""
+    found = openapi.candidates(warehouse(spark, folder), trees(spark, folder))
+    present = openapi.selected(found).filter("length(repo) % 2 = 0")
+    return openapi.selected(found, 3, present).select("framework", "owner", "repo", "version")
+
+
 def endpoint_union(spark: SparkSession, folder: str) -> DataFrame:
     return sets.either(endpoints(spark, folder, True), endpoints(spark, folder, False))
 
@@ -196,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_keep_first, incremental_new_ids, metadata_merge, release_merge, latest_stable, release_summary, ref_resolution, manifest_cross, topn_per_framework,
-        openapi_file_filter, best_openapi_file, best_spec_by_size, spec_endpoints, list_paths, endpoint_union, endpoint_intersect, endpoint_missing,
+        openapi_file_filter, best_openapi_file, best_spec_by_size, spec_endpoints, list_paths, clone_selection, endpoint_union, endpoint_intersect, endpoint_missing,
         drift_metrics, repo_token_stats, repo_bpe_tokens, context_fit, tree_size_saved, content_hash, document_lines,
         distinct_candidates, last_language, classification_flat, release_steps,
     )
@@ -257,6 +264,9 @@ SQL = {
     "best_spec_by_size": f"WITH {TREE}, {DESCRIBED} SELECT repository_id, path FROM f QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY CASE WHEN lower(path) LIKE '%.json' THEN 0 ELSE 1 END, length DESC, doc_id) = 1",
     "spec_endpoints": f"WITH {SPECS} SELECT DISTINCT repository_id, method, path FROM x",
     "list_paths": FINAL + f", {SPECS} SELECT DISTINCT language, '' AS framework, owner, repo, stars, latest_release_tag AS tag, method, path FROM x JOIN r ON x.repository_id = r.id",
+    "clone_selection": FINAL + CANDIDATES + """, t AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY framework ORDER BY stars DESC, owner, repo) <= 3),
+        u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY owner, repo ORDER BY framework, stars DESC, latest_release, commit_sha) = 1)
+        SELECT framework, owner, repo, CASE WHEN latest_release = '' THEN 'HEAD' ELSE trim(latest_release) END || '/' || CASE WHEN commit_sha = '' THEN 'HEAD' ELSE trim(commit_sha) END AS version FROM u WHERE length(repo) % 2 = 1""",
     "endpoint_union": f"WITH {EVENTS} SELECT DISTINCT user_id, method, path FROM e",
     "endpoint_intersect": f"WITH {EVENTS} SELECT user_id, method, path FROM e WHERE odd INTERSECT SELECT user_id, method, path FROM e WHERE NOT odd",
     "endpoint_missing": f"WITH {EVENTS} SELECT user_id, method, path FROM e WHERE odd EXCEPT SELECT user_id, method, path FROM e WHERE NOT odd",

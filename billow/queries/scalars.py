@@ -120,7 +120,8 @@ SQL = {
     "iso_parse": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN date_trunc('second', ts) END AS at, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%d') ELSE '1970-01-02' END AS day FROM events",
     "middle_day": "SELECT DISTINCT id, updated_at, strftime(CAST(created_at AS DATE) + CAST(floor((CAST(updated_at AS DATE) - CAST(created_at AS DATE)) / 2) AS INT), '%Y-%m-%d') AS middle FROM repositories",
     "url_builder": f"SELECT DISTINCT id, url || CASE WHEN latest_release_tag <> '' THEN '/releases/tag/' || latest_release_tag WHEN sbom_commit_sha <> '' THEN '/tree/' || sbom_commit_sha ELSE '' END AS tree, url || '/blob/' || {REF.format('sbom_commit_sha', 'default_branch')} || '/openapi.yaml' AS blob FROM repositories",
-    "ref_fallback": f"SELECT DISTINCT id, {REF.format('latest_release_tag', 'default_branch')} AS ref, coalesce(nullif(latest_release_tag, ''), nullif(sbom_commit_sha, ''), nullif(default_branch, ''), '') AS tag, {REF.format('latest_release_tag', chr(39) + 'HEAD' + chr(39))} || coalesce('/' || nullif(trim(sbom_commit_sha), ''), '') AS version FROM repositories",
+    "ref_fallback": f"""SELECT DISTINCT id, {REF.format('latest_release_tag', 'default_branch')} AS ref, coalesce(nullif(latest_release_tag, ''), nullif(sbom_commit_sha, ''), nullif(default_branch, ''), '') AS tag,
+        coalesce(nullif(trim(latest_release_tag), ''), 'HEAD') || '/' || coalesce(nullif(trim(sbom_commit_sha), ''), 'HEAD') AS version FROM repositories""",
     "short_sha": "SELECT DISTINCT sbom_commit_sha, left(sbom_commit_sha, 7) AS short FROM artifacts",
     "ref_names": "SELECT DISTINCT repository_id, CASE WHEN source = 'git_tag' THEN 'refs/tags/' ELSE 'refs/heads/' END || tag_name || CASE WHEN is_prerelease THEN '^{}' ELSE '' END AS full, tag_name AS name FROM releases",
     "natural_size": "SELECT doc_id, CASE WHEN n = 1 THEN '1 Byte' WHEN n < 1000 THEN n || ' Bytes' WHEN n < 1000000 THEN printf('%.1f kB', n / 1000.0::DOUBLE) ELSE printf('%.1f MB', n / 1000000.0::DOUBLE) END AS size FROM (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents)",

@@ -55,3 +55,24 @@ def test_search_stats_and_hashes(spark, tmp_path, capsys):
     assert csv_text(spark, str(tmp_path / "s")).first().lines == "2"
     main(["sbom", "hashes", str(tmp_path / "clones")], spark)
     assert "folder" in capsys.readouterr().out
+
+
+def test_select_steps_and_classify(spark, tmp_path):
+    table = tmp_path / "c.csv"
+    table.write_text("framework,owner,repo,stars,latest_release,commit_sha\nflask,o,a,5,v1,s\nflask,o,b,9,,\nflask,o,c,1,v1,s\ngin,o,a,5,v1,s\n")
+    main(["openapi", "select", str(table), "--top", "2", "--output", str(tmp_path / "s")], spark)
+    assert sorted((r.framework, r.repo, r.version) for r in csv_text(spark, str(tmp_path / "s")).collect()) == [("flask", "a", "v1/s"), ("flask", "b", "HEAD/HEAD")]
+    there = tmp_path / "clones/o/a/v1/s"
+    there.mkdir(parents=True)
+    (there / "x.go").write_text("x")
+    main(["openapi", "select", str(table), "--top", "2", "--clones", str(tmp_path / "clones"), "--output", str(tmp_path / "t")], spark)
+    assert [r.repo for r in csv_text(spark, str(tmp_path / "t")).collect()] == ["b"]
+    dates = tmp_path / "d.csv"
+    dates.write_text("owner,repo,date,n\no,a,2024-02-01,2\no,a,2024-01-01,1\no,b,2024-01-01,1\n")
+    main(["openapi", "steps", str(dates), "--output", str(tmp_path / "p")], spark)
+    assert sorted((r.repo, r.step, r.n) for r in csv_text(spark, str(tmp_path / "p")).collect()) == [("a", "1", "1"), ("a", "2", "2")]
+    said = tmp_path / "said.jsonl"
+    said.write_text(json.dumps({"id": 1, "repo_name": "o/web", "stars": 3, "category": "Web Framework", "tags": ["x"]}) + "\n")
+    main(["--warehouse", str(tmp_path / "none"), "github", "classify", str(said), "--output", str(tmp_path / "f")], spark)
+    row = csv_text(spark, str(tmp_path / "f")).first()
+    assert (row.owner, row.repo, row.category, row.is_web_framework, row.framework) == ("o", "web", "Web Framework", "True", "web")
