@@ -68,6 +68,7 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 STRIP = " \t.,;:!?()[]{}\"'*_~`<>|/\\-–—•·+#，。；：！？（）「」、¿¡،؛؟"
 
 
+RUN = 24
 LINE_ENDS = re.compile("[\\r\\n\x0b\x0c\u2028\u2029]+")
 
 
@@ -76,12 +77,14 @@ def visible(text: str) -> str:
 
 
 def mass(text: str) -> int:
-    """Characters that are no white space."""
-    return len("".join(text.split()))
+    """Characters that are no white space; Chinese, Japanese and Korean ones say more and count twice."""
+    return len("".join(text.split())) + (0 if text.isascii() else len(WIDE.findall(text)))
 
 
 def tokens_of(text: str) -> list[str]:
-    return [t for x in text.casefold().replace("’", "'").split() if (t := x.strip(STRIP)) and not t[0].isdigit()]
+    tokens = [t for x in text.casefold().replace("’", "'").split() if (t := x.strip(STRIP)) and not t[0].isdigit()]
+    # Long runs of one or two letters are no words.
+    return [t for t in tokens if len(t) < RUN or len(set(t)) > 2] if len(text) > RUN else tokens
 
 
 def own_words(words: Counter[str]) -> dict[str, frozenset[str]]:
@@ -242,7 +245,7 @@ def heaped(doubtful: list[tuple[str, list[str], int, int]], own: dict[str, froze
     lines: Counter[str] = Counter()
     text = " ".join(rest for rest, *_ in doubtful)
     language = next(iter(own), "")
-    if not text.isascii() and (wide := len(WIDE.findall(text))) * 2 >= mass(text):
+    if not text.isascii() and (wide := len(WIDE.findall(text))) * 3 >= mass(text):
         hangul, kana = sum(map(len, HANGUL.findall(text))), len(KANA.findall(text))
         language = "ko" if hangul * 2 >= wide else "ja" if kana * 6 >= wide else "zh"
     for rest, tokens, *_ in doubtful:

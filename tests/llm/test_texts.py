@@ -390,3 +390,12 @@ def test_function_words_of_a_language_without_a_list_are_learned(spark):
     assert all(r.sentence > 0.9 for r in found[:80]) and all(r.keyword > 0.9 for r in found[80:])
     assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text", said="lang").orderBy("doc_id").collect()] == list(range(80, 85))
     assert spam.label_of(None) is spam.label_of("en-US") is spam.label_of("ENG") is spam.label_of(" ") is None and spam.label_of("cs_CZ") == "cs"
+
+
+def test_letter_runs_and_links_beside_wide_text_are_no_case(spark):
+    pages = [
+        "## 0.0.7\n\n" + "x" * 300 + "\n\n" + SENTENCES + "\n\n" + "x" * 300 + "\n\n* " + SENTENCES[:80] + ".\n\n" + "x" * 300,
+        "# Tarnuma\n\nライセンスの表記は統一されていません。9 件のリポジトリで動作を確認しました。\n\n## 使い方\n\n268 件のリポジトリで動作を確認しました。\n\nLinks: https://velorb.example/router/24 https://caldack.example/cr/7 https://nexard.example/map/2",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "doc_id bigint, text string")
+    assert spam.stuffed_pages(df, "doc_id", "text").count() == 0
