@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billow.dims import CATEGORIES
-from billow.functions.scalars import filled, first_tags, own_framework
+from billow.functions.scalars import comma_list, filled, first_tags, own_framework
 
 #: The columns of a flat record, in order.
 FLAT = [
@@ -15,6 +15,17 @@ FLAT = [
 ]
 
 
+def records(rows: DataFrame) -> DataFrame:
+    """owner, repo, record: what a flat record (all values texts, as in a CSV file) said, as the nested JSON that a cache of
+    a classifier's answers holds; missing values are null, tags a list."""
+    text = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    record = F.struct(
+        "category", text("framework").alias("primary_framework"), text("framework_version").alias("framework_version"),
+        F.struct(F.col("description_en").alias("en"), F.col("description_zh").alias("zh")).alias("description"), comma_list(F.col("tags")).alias("tags"), "reasoning",
+    )
+    return rows.select("owner", "repo", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+
+
 def adapted(rows: DataFrame) -> DataFrame:
     """rows with owner and name from what a list has: repo_name or repo for a name, 'owner/name' in one field, 'unknown'
     for an owner that nothing tells."""

@@ -17,6 +17,7 @@ from billow.plans import classify, collect, openapi
 from billow.plans.export import projects
 from billow.functions.tokens import bpe_count
 from billow.queries.warehouse import CANDIDATES, DIRECTORIES, FINAL, HIDDEN, NAMED, PROJECTS, TREE_PATH, pick, trees, warehouse
+from billow.sources.files import yaml_to_json
 from billow.tables import load
 
 SOURCES = ["main.go", "App.PY", "index.ts", "logo.png", "Main.java", "lib.rs", "README.md", "user.rb", "page.php", "view.jsx", "build", ".py", "a.b.kt", "go.sum", "c.mjs"]
@@ -110,6 +111,13 @@ def spec_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     return openapi.spec_endpoints(specs(spark, folder), ["repository_id"])
 
 
+def yaml_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """The same descriptions, every second one in YAML."""
+    text = """concat('paths:\\n  /Items/{id}/', doc_id % 7, '/:\\n    get: {}\\n    POST: {}\\n    x-note: 1\\n  users/:uid?x=', doc_id, ':\\n    delete: {}\\n')"""
+    rows = tree(spark, folder).select("repository_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, F.expr(SPEC)).otherwise(F.expr(text)).alias("content"))
+    return openapi.spec_endpoints(yaml_to_json(rows, ["repository_id", "doc_id"]), ["repository_id"])
+
+
 def list_paths(spark: SparkSession, folder: str) -> DataFrame:
     found = openapi.spec_endpoints(specs(spark, folder), ["repository_id", "doc_id"])
     house = warehouse(spark, folder).final("repositories", "id", "language", "owner", "repo", "stars", "latest_release_tag")
@@ -203,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_keep_first, incremental_new_ids, metadata_merge, release_merge, latest_stable, release_summary, ref_resolution, manifest_cross, topn_per_framework,
-        openapi_file_filter, best_openapi_file, best_spec_by_size, spec_endpoints, list_paths, clone_selection, endpoint_union, endpoint_intersect, endpoint_missing,
+        openapi_file_filter, best_openapi_file, best_spec_by_size, spec_endpoints, yaml_endpoints, list_paths, clone_selection, endpoint_union, endpoint_intersect, endpoint_missing,
         drift_metrics, repo_token_stats, repo_bpe_tokens, context_fit, tree_size_saved, content_hash, document_lines,
         distinct_candidates, last_language, classification_flat, release_steps,
     )
@@ -263,6 +271,7 @@ SQL = {
         CASE WHEN lower(split_part(path, '/', -1)) LIKE '%openapi%' OR lower(split_part(path, '/', -1)) LIKE '%swagger%' THEN 0 ELSE 1 END, length(path) - length(replace(path, '/', '')), length(path), doc_id) = 1""",
     "best_spec_by_size": f"WITH {TREE}, {DESCRIBED} SELECT repository_id, path FROM f QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY CASE WHEN lower(path) LIKE '%.json' THEN 0 ELSE 1 END, length DESC, doc_id) = 1",
     "spec_endpoints": f"WITH {SPECS} SELECT DISTINCT repository_id, method, path FROM x",
+    "yaml_endpoints": f"WITH {SPECS} SELECT DISTINCT repository_id, method, path FROM x",
     "list_paths": FINAL + f", {SPECS} SELECT DISTINCT language, '' AS framework, owner, repo, stars, latest_release_tag AS tag, method, path FROM x JOIN r ON x.repository_id = r.id",
     "clone_selection": FINAL + CANDIDATES + """, t AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY framework ORDER BY stars DESC, owner, repo) <= 3),
         u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY owner, repo ORDER BY framework, stars DESC, latest_release, commit_sha) = 1)

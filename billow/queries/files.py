@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billow import dims
 from billow.operators.rank import keep_first
 from billow.plans import classify
-from billow.queries.warehouse import FINAL, warehouse
+from billow.queries.dataflow import SQL as DATAFLOW
+from billow.queries.dataflow import classification_flat
+from billow.queries.warehouse import FINAL, TREE_PATH, trees, warehouse
 from billow.schemas import TABLES
 from billow.session import scratch
 from billow.sinks import tables as sinks
@@ -155,6 +158,51 @@ def folder_contents(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.explode("all").alias("e")).select("e.method", "e.path").distinct()
 
 
+def tree_files(spark: SparkSession, folder: str) -> DataFrame:
+    """File trees of commits, a folder each."""
+    path = scratch(spark) + "/trees"
+    sinks.write_trees(trees(spark, folder).drop("position"), path)
+    return files.tree_table(spark, path)
+
+
+def truth_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """Endpoints in code from <owner>/<repo>/<tag>.json: a file for each type of event."""
+    path = scratch(spark) + "/truth"
+    endpoint = F.struct(F.col("event_type").alias("method"), F.concat(F.lit("/v/"), F.floor("value").cast("string")).alias("path"))
+    rows = load(spark, folder, "events").groupBy((F.col("event_id") % 2).alias("odd"), F.col("event_type").alias("kind")).agg(F.to_json(F.collect_set(endpoint)).alias("value"))
+    rows.repartition("odd", "kind").write.partitionBy("odd", "kind").text(path)
+    # Spark gives its files names of its own; here a file is named by its tag.
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/*/part-*")):
+        system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(status.getPath().getParent(), "v1.0.json"))
+    return files.truth_files(spark, path)
+
+
+def release_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved pages of releases, 16 of them, with tags that have no release beside them."""
+    path = scratch(spark) + "/pages"
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    item = F.struct("tag_name", "name", F.col("is_prerelease").alias("prerelease"), F.col("is_draft").alias("draft"), at("published_at"), at("created_at"), "target_commitish")
+    rows = warehouse(spark, folder).final("releases").filter("source = 'github_release'")
+    rows.groupBy((F.coalesce("repository_id", F.lit(0)) % PAGES).alias("page")).agg(F.to_json(F.collect_list(item)).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    found = files.release_pages(spark, path)
+    return found.withColumn("page", F.regexp_extract("page", r"(\d+)", 1).cast("bigint"))
+
+
+def classification_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat records through a CSV file into the nested form, and some of its fields."""
+    path = scratch(spark) + "/flat"
+    sinks.write_csv(classification_flat(spark, folder).drop("description", "topics"), path)
+    found = classify.records(files.csv_text(spark, path))
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    return found.select("owner", "repo", field("category").alias("category"), field("primary_framework").alias("framework"), field("description.zh").alias("zh"), field("tags").alias("tags"))
+
+
+def context_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return dims.context_windows(spark, {"small": 1000, "odd": 4097, "large": 128_000})
+
+
 def observed_counters(spark: SparkSession, folder: str) -> DataFrame:
     """rows, named: counted while the table is written, without another pass."""
     rows, watch = checks.observed(load(spark, folder, "artifacts"), "artifacts", rows=F.count(F.lit(1)), named=F.count("name"))
@@ -183,9 +231,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_rows, ledger_failures, ledger_resume, ledger_may_stop, ledger_text_lines, ledger_append, sbom_artifacts, csv_texts, csv_types, search_pages,
-        stream_new_ids, stream_upsert, table_versions, folder_contents, observed_counters, list_checks, adapted_names,
+        stream_new_ids, stream_upsert, table_versions, folder_contents, tree_files, truth_endpoints, release_pages, classification_records, context_windows, observed_counters, list_checks, adapted_names,
     )
 }
+CLASSIFIED = f"""WITH f AS ({DATAFLOW["classification_flat"]})
+    SELECT owner, repo, category, nullif(framework, '') AS framework, description_zh AS zh, CASE WHEN tags = '' THEN '[]' ELSE '["' || replace(tags, ', ', '","') || '"]' END AS tags FROM f"""
 NEWEST_RELEASES = "SELECT repository_id, tag_name, source, updated_at FROM releases QUALIFY row_number() OVER (PARTITION BY repository_id, tag_name ORDER BY updated_at DESC NULLS LAST) = 1"
 SQL = {
     "ledger_rows": "SELECT id, coalesce(owner, '') AS owner, repo, stars, url, coalesce(is_fork, false) AS is_fork, 'main' AS default_branch FROM repositories",
@@ -203,6 +253,13 @@ SQL = {
     "stream_upsert": NEWEST_RELEASES,
     "table_versions": NEWEST_RELEASES,
     "folder_contents": "SELECT DISTINCT event_type AS method, '/v/' || CAST(floor(value) AS BIGINT) AS path FROM events",
+    "tree_files": FINAL + f"""SELECT language, owner, repo, coalesce(nullif(latest_release_tag, ''), default_branch) AS ref, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE sbom_commit_sha END AS sha, {TREE_PATH} AS path
+        FROM (SELECT doc_id, repository_id FROM documents) d JOIN r ON d.repository_id = r.id""",
+    "truth_endpoints": "SELECT DISTINCT 'odd=' || (event_id % 2) AS owner, 'kind=' || event_type AS repo, 'v1.0' AS tag, event_type AS method, '/v/' || CAST(floor(value) AS BIGINT) AS path FROM events",
+    "release_pages": FINAL + f"""SELECT coalesce(repository_id, 0) % {PAGES} AS page, tag_name, name, is_prerelease, is_draft, date_trunc('second', published_at) AS published_at, date_trunc('second', created_at) AS created_at, target_commitish
+        FROM l WHERE source = 'github_release'""",
+    "classification_records": CLASSIFIED,
+    "context_windows": "SELECT model, CAST(floor(size * 0.9) AS BIGINT) AS tokens FROM (VALUES ('small', 1000), ('odd', 4097), ('large', 128000)) AS m(model, size)",
     "observed_counters": "SELECT count(*) AS rows, count(name) AS named FROM artifacts",
     "list_checks": "SELECT problem FROM (VALUES ('no field stargazers_count'), ('no field html_url'), ('no field created_at'), ('no such file')) AS p(problem)",
     "adapted_names": "SELECT id, coalesce(owner, 'nobody') AS owner, coalesce(repo, 'nothing') AS name FROM repositories QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, owner, repo) = 1",

@@ -69,6 +69,7 @@ LEDGER = struct(
 )
 SBOM = struct("artifacts array<struct<id: string, name: string, version: string, type: string, purl: string, foundBy: string, licenses: string>>")
 RELEASE_CACHE = struct("releases array<string>, tags map<string,string>, updated_at timestamp")
+RELEASE_PAGE = struct("tag_name string, name string, prerelease boolean, draft boolean, published_at string, created_at string, target_commitish string")
 ENDPOINTS = struct("method string, path string")
 
 CANDIDATES = [

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billow.functions.scalars import filled, iso_time, license_names, owner_name, short_sha, strip, time_or_default
-from billow.schemas import ENDPOINTS, LEDGER, SBOM
+from billow.schemas import ENDPOINTS, LEDGER, RELEASE_PAGE, SBOM
 
 BAD = "_corrupt_record"
 
@@ -76,6 +76,17 @@ def release_rows(rows: DataFrame, loaded: Column) -> DataFrame:
     )
 
 
+def release_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page and one row an element of saved pages of releases, each a JSON array as a hosting service returns it, with the
+    columns that `billow.plans.collect.merged_releases` takes, but for repository_id. The last part of a page's folder
+    tells whose it is."""
+    rows = spark.read.schema(RELEASE_PAGE).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("page", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    date = lambda c: iso_time(F.col(c))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(f"is_{c}")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return rows.select("page", text("tag_name"), text("name"), flag("prerelease"), flag("draft"), date("published_at").alias("published_at"), date("created_at").alias("created_at"), text("target_commitish"))
+
+
 def sboms(spark: SparkSession, path: str) -> DataFrame:
     """file and one row an element of `artifacts`, from JSON documents of many lines. A file that is no JSON gives none.
     A local file is named by its plain path, others by their address."""
@@ -124,6 +135,13 @@ def trees(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(*[F.url_decode(F.element_at(parts, k - 6)).alias(c) for k, c in enumerate(names)], F.col("value").alias("path"))
 
 
+def tree_table(spark: SparkSession, root: str) -> DataFrame:
+    """language, owner, repo, ref, sha, path of what `billow.sinks.tables.write_trees` wrote."""
+    names = ["language", "owner", "repo", "ref", "sha"]
+    schema = "value string, " + ", ".join(f"{c} string" for c in names)
+    return spark.read.schema(schema).text(root).select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], strip(F.col("value")).alias("path")).filter("path <> ''")
+
+
 def folder_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, length, content (bytes) of all files under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length", "content")
