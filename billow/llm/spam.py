@@ -420,6 +420,8 @@ READ = "key bigint, language string, share double, " + ", ".join(f"{k} double" f
 #: Letters that a learned function word has at the most, and the part of the pages of its language that hold it at the
 #: least, ENOUGH pages without it being counted too.
 SHORT, SPREAD = 5, 0.2
+#: What a language is called, so that there are no more of them than such codes.
+CODE_OF_LANGUAGE = re.compile("[a-z]{2,3}")
 NO_LABEL = {"", "und", "xx", "mul", "mis", "zxx", "eng", "deu", "ger", "spa", "fra", "fre", "por", "ita", "nld", "dut", "pol", "swe", "tur", "rus", "ell", "gre", "ara", "fas", "per", "urd", "zho", "chi", "jpn", "kor"}
 
 
@@ -449,7 +451,7 @@ def stuffing(shares: dict[str, float]) -> float:
 def label_of(said: str | None) -> str | None:
     """The language that a page is said to be in, if it is one without a list."""
     label = re.split(r"[-_]", (said or "").strip().casefold())[0]
-    return None if label in NO_LABEL or label in LOWEST else label
+    return label if CODE_OF_LANGUAGE.fullmatch(label) and label not in NO_LABEL and label not in LOWEST else None
 
 
 def read_pages(documents: DataFrame, key: str, text: str, most: float | None, said: str | None = None) -> DataFrame:

@@ -390,6 +390,7 @@ def test_function_words_of_a_language_without_a_list_are_learned(spark):
     assert all(r.sentence > 0.9 for r in found[:80]) and all(r.keyword > 0.9 for r in found[80:])
     assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text", said="lang").orderBy("doc_id").collect()] == list(range(80, 85))
     assert spam.label_of(None) is spam.label_of("en-US") is spam.label_of("ENG") is spam.label_of(" ") is None and spam.label_of("cs_CZ") == "cs"
+    assert spam.label_of("some long text") is spam.label_of("x") is None
 
 
 def test_letter_runs_and_links_beside_wide_text_are_no_case(spark):
