@@ -39,6 +39,18 @@ def test_top_n(spark, seed):
     assert top_n(df.limit(0), "g", "i", "s", 5).count() == 0
 
 
+def test_hot_groups_are_split_and_cut_before_they_meet(spark):
+    """Rows go by group and salt, and the ranks are limited in every task before the exchange by group."""
+    rnd = random.Random(6)
+    items = [("hot" if k % 4 else f"g{k % 50}", k, rnd.randrange(10**6)) for k in range(40_000)]
+    df = spark.createDataFrame(items, "g string, i bigint, s bigint")
+    out = top_n(df, "g", "i", "s", 5, split=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 5, Partial" in plan and "hashpartitioning(g" in plan and "salt" in plan
+    best = sorted(((-s, i) for g, i, s in items if g == "hot"))[:5]
+    assert [(r.i, r.s) for r in out.filter("g = 'hot'").orderBy("rank").collect()] == [(i, -s) for s, i in best]
+
+
 def test_terms(spark):
     rnd = random.Random(5)
     data = [(rnd.choice(["x", "y"]), rnd.choice(["hot"] * 6 + ["a", "b", "é", None]), rnd.choice([1, 1, 1, *range(30), None])) for _ in range(3000)]
