@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billow import dims
+from billow.functions.scalars import capped
 from billow.operators.rank import keep_first
 from billow.plans import classify
 from billow.queries.dataflow import SQL as DATAFLOW
-from billow.queries.dataflow import classification_flat
+from billow.queries.dataflow import ENDS, classification_flat
 from billow.queries.warehouse import FINAL, TREE_PATH, trees, warehouse
 from billow.schemas import TABLES
 from billow.session import scratch
@@ -203,6 +204,29 @@ def context_windows(spark: SparkSession, folder: str) -> DataFrame:
     return dims.context_windows(spark, {"small": 1000, "odd": 4097, "large": 128_000})
 
 
+def json_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as JSON, and a description as a table shows it."""
+    rows = warehouse(spark, folder).final("repositories", "id", "owner", "stars", "description")
+    return sinks.as_json(rows.select("id", "owner", "stars", capped(F.regexp_replace("description", r'["\\\\]', ""), F.lit("description")).alias("description")))
+
+
+def sbom_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """kind, problem of SBOM files: one for each kind of document, of which some are none."""
+    path = scratch(spark) + "/sboms"
+    kinds = load(spark, folder, "documents").select("source").distinct()
+    text = F.when(F.length("source") % 3 == 0, "no json").when(F.length("source") % 3 == 1, '{"other": 1}').otherwise('{"artifacts": []}')
+    kinds.select("source", text.alias("value")).repartition("source").write.partitionBy("source").text(path)
+    return checks.sbom_problems(spark, path).select(F.regexp_extract("file", r"source=([^/]+)", 1).alias("kind"), "problem")
+
+
+def language_extensions(spark: SparkSession, folder: str) -> DataFrame:
+    return dims.extensions(spark)
+
+
+def framework_order(spark: SparkSession, folder: str) -> DataFrame:
+    return dims.framework_packages(spark).select("language", "framework", F.col("priority").cast("bigint").alias("priority")).distinct()
+
+
 def observed_counters(spark: SparkSession, folder: str) -> DataFrame:
     """rows, named: counted while the table is written, without another pass."""
     rows, watch = checks.observed(load(spark, folder, "artifacts"), "artifacts", rows=F.count(F.lit(1)), named=F.count("name"))
@@ -231,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_rows, ledger_failures, ledger_resume, ledger_may_stop, ledger_text_lines, ledger_append, sbom_artifacts, csv_texts, csv_types, search_pages,
-        stream_new_ids, stream_upsert, table_versions, folder_contents, tree_files, truth_endpoints, release_pages, classification_records, context_windows, observed_counters, list_checks, adapted_names,
+        stream_new_ids, stream_upsert, table_versions, folder_contents, tree_files, truth_endpoints, release_pages, classification_records, context_windows, json_rows, sbom_checks, language_extensions, framework_order, observed_counters, list_checks, adapted_names,
     )
 }
 CLASSIFIED = f"""WITH f AS ({DATAFLOW["classification_flat"]})
@@ -260,6 +284,12 @@ SQL = {
         FROM l WHERE source = 'github_release'""",
     "classification_records": CLASSIFIED,
     "context_windows": "SELECT model, CAST(floor(size * 0.9) AS BIGINT) AS tokens FROM (VALUES ('small', 1000), ('odd', 4097), ('large', 128000)) AS m(model, size)",
+    "json_rows": FINAL + """SELECT '{"id":' || id || ',"owner":"' || owner || '","stars":' || stars || ',"description":"' || left(regexp_replace(description, '["\\\\]', '', 'g'), 50) || '"}' AS value FROM r""",
+    "sbom_checks": """SELECT source AS kind, CASE WHEN length(source) % 3 = 0 THEN 'no JSON object' ELSE 'neither artifacts nor components' END AS problem
+        FROM (SELECT DISTINCT source FROM documents) WHERE length(source) % 3 < 2""",
+    "language_extensions": f"SELECT l AS language, unnest(ends) AS extension FROM {ENDS}",
+    "framework_order": """SELECT language, framework, CAST(priority AS BIGINT) AS priority FROM (VALUES ('go', 'gin', 0), ('go', 'echo', 1), ('python', 'flask', 0), ('python', 'django', 1), ('python', 'fastapi', 2), ('java', 'springboot', 0),
+        ('rust', 'actix', 0), ('ruby', 'rails', 0), ('node', 'express', 0), ('javascript', 'express', 0), ('typescript', 'express', 0), ('php', 'laravel', 0), ('php', 'symfony', 1)) AS f(language, framework, priority)""",
     "observed_counters": "SELECT count(*) AS rows, count(name) AS named FROM artifacts",
     "list_checks": "SELECT problem FROM (VALUES ('no field stargazers_count'), ('no field html_url'), ('no field created_at'), ('no such file')) AS p(problem)",
     "adapted_names": "SELECT id, coalesce(owner, 'nobody') AS owner, coalesce(repo, 'nothing') AS name FROM repositories QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, owner, repo) = 1",
