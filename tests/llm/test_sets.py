@@ -80,8 +80,8 @@ def test_runs_go_over_batches():
             assert out == [("f", "a", 6, 3), ("f", "b", 12, 6), ("f", "c", 6, 3)]
 
 
-def similar(sets, t=0.8, least=1):
-    return sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a]) >= least and len(sets[b]) >= least and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+def similar(sets, least=1, share=(4, 5)):
+    return sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a]) >= least and len(sets[b]) >= least and share[1] * len(sets[a] & sets[b]) >= share[0] * len(sets[a] | sets[b]))
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -132,6 +132,19 @@ def test_common_tokens_make_longer_prefixes_win(spark, monkeypatch, vocabulary,
     assert length in chosen.values()
 
 
+@pytest.mark.parametrize(("share", "vocabulary"), [((1, 2), 30), ((9, 10), 60)])
+def test_other_shares(spark, share, vocabulary):
+    rnd = random.Random(vocabulary)
+    sets = {}
+    for i in range(250):
+        sets[i] = set(rnd.choice(list(sets.values()))) if i % 3 and sets else set(rnd.sample(range(vocabulary), rnd.randint(1, 28)))
+        for _ in range(rnd.randint(0, 3)):
+            sets[i] = sets[i] ^ {rnd.randrange(vocabulary)} or {0}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "record bigint, token int")
+    found = setjoin.similar_pairs(setjoin.token_sets(df, "record", "token"), share)
+    assert sorted((r.record_a, r.record_b) for r in found.collect()) == similar(sets, share=share)
+
+
 def test_no_record_writes_more_combinations_than_the_bound(spark):
     sets = spark.createDataFrame([(n, list(range(n))) for n in (1, 2, 5, 8, 30, 60, 150, 500, 5000)], "rep bigint, tokens array<bigint>")
     longest = [max(setjoin.allowed_lengths(group, (4, 5))) for group in range(40)]
