@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +16,10 @@ from billow.functions.scalars import filled, iso_time, license_names, owner_name
 from billow.schemas import ENDPOINTS, LEDGER, RELEASE_PAGE, SBOM
 
 BAD = "_corrupt_record"
+#: What tells a tree from another; each is a level of its folder. An empty value has a name of its own there, as Spark gives it.
+TREE, NO_VALUE = ["language", "owner", "repo", "ref", "sha"], b"__HIVE_DEFAULT_PARTITION__"
+#: Rows and bytes of a batch of lines.
+BATCH_ROWS, BATCH_BYTES = 8192, 1 << 24
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -135,11 +144,86 @@ def trees(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(*[F.url_decode(F.element_at(parts, k - 6)).alias(c) for k, c in enumerate(names)], F.col("value").alias("path"))
 
 
+def machine_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder that the machines reach by their own file system, all of them alike; else None."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(found).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def shown(folder: bytes) -> list[bytes]:
+    """Paths in a folder, without those that Spark takes as hidden."""
+    with os.scandir(folder) as entries:
+        return [e.path for e in entries if e.name[:1] not in (b"_", b".")]
+
+
+def below(folder: bytes, names: list[str], values: tuple[bytes, ...] = ()) -> Iterator[tuple[bytes, tuple[bytes, ...]]]:
+    """Folders <name>=<value> under a folder, a level for each name, with their values after those given."""
+    if not names:
+        yield folder, values
+        return
+    begin = names[0].encode() + b"="
+    for path in shown(folder):
+        name, text = os.path.basename(path), os.path.basename(path)[len(begin) :]
+        if not name.startswith(begin):
+            raise ValueError(f"{os.fsdecode(path)} is no folder {names[0]}=...")
+        value = b"" if text == NO_VALUE else re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), text)
+        yield from below(path, names[1:], (*values, value))
+
+
 def tree_table(spark: SparkSession, root: str) -> DataFrame:
-    """language, owner, repo, ref, sha, path of what `billow.sinks.tables.write_trees` wrote."""
-    names = ["language", "owner", "repo", "ref", "sha"]
-    schema = "value string, " + ", ".join(f"{c} string" for c in names)
-    return spark.read.schema(schema).text(root).select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], strip(F.col("value")).alias("path")).filter("path <> ''")
+    """language, owner, repo, ref, sha, path of what `billow.sinks.tables.write_trees` wrote.
+
+    Trees are many and small. Where the machines reach them by their own file system, owners are listed by one task and the
+    trees of each owner are found and read by the others: no list of all of them goes through the driver, and a task does
+    not stand for a few files only, as Spark's reader would have it.
+    """
+    folder = machine_folder(spark, root)
+    if folder is None or not os.path.isdir(folder):
+        rows = spark.read.schema("value string, " + ", ".join(f"{c} string" for c in TREE)).text(root)
+    else:
+        owners = spark.createDataFrame([(os.fsencode(folder),)], "folder binary").mapInArrow(_owners, "folder binary, language binary, owner binary")
+        lines = owners.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_tree_lines, ", ".join(f"{c} binary" for c in [*TREE, "value"]))
+        rows = lines.select(*[F.col(c).cast("string").alias(c) for c in [*TREE, "value"]])
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in TREE], strip(F.col("value")).alias("path")).filter("path <> ''")
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names)
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders of owners under each root."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for root in batch.column(0).to_pylist():
+            for folder, values in below(root, TREE[:2]):
+                rows.append((folder, *values))
+                if len(rows) == BATCH_ROWS:
+                    yield _batch(rows, ["folder", *TREE[:2]])
+                    rows = []
+    if rows:
+        yield _batch(rows, ["folder", *TREE[:2]])
+
+
+def _tree_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of all trees under each folder of an owner."""
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for owner, *values in zip(*(c.to_pylist() for c in batch.columns)):
+            for folder, keys in below(owner, TREE[2:], tuple(values)):
+                for path in shown(folder):
+                    with open(path, "rb") as file:
+                        for part in file:
+                            for line in part.splitlines():  # a lone carriage return ends a line too
+                                rows.append((*keys, line))
+                                size += len(line) + sum(map(len, keys))
+                                if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
+                                    yield _batch(rows, [*TREE, "value"])
+                                    rows, size = [], 0
+    if rows:
+        yield _batch(rows, [*TREE, "value"])
 
 
 def folder_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -74,6 +74,34 @@ def test_trees_truth_and_csv(spark, tmp_path):
     assert sinks.as_json(df).count() == 2
 
 
+def test_a_tree_is_one_file_and_comes_back_whole(spark, tmp_path):
+    odd = ["", None, "a/b", "50%", "x=y", "ü{1}^[2]", "q'\"*?:#\\", "__x", ".h", " s ", "%41"]
+    trees = [("go", f"o{k % 3}", f"r{k}", odd[k % len(odd)], odd[k // 7 % len(odd)]) for k in range(60)]
+    given = [(*t, f"{k}/ä.go") for t in trees for k in range(8)] + [("go", "o", "r", "v", "s", p) for p in ("", None, " t.go ", "t.go", "u\rv")]
+    schema = "language string, owner string, repo string, ref string, sha string, path string"
+    root = str(tmp_path / "trees")
+    for _ in range(2):  # the second time it is replaced
+        sinks.write_trees(spark.createDataFrame(given, schema).repartition(4), root)
+    expected = [(*[v or "" for v in t], p.strip()) for *t, text in given for p in (text or "").split("\r") if p.strip()]
+    assert rows(files.tree_table(spark, root)) == sorted(expected, key=repr)
+    assert sum(p.is_file() for p in (tmp_path / "trees/language=go").rglob("*")) == 61  # before: one for each task, and a checksum beside each
+    # Spark's own reader finds the same
+    by_spark = spark.read.schema(schema.replace("path", "value")).text(root).select(*[F.coalesce(c, F.lit("")).alias(c) for c in files.TREE], F.trim("value").alias("path")).filter("path <> ''")
+    assert rows(by_spark) == sorted(expected, key=repr)
+    # a folder can be written again from itself, and is left as it is where that fails
+    sinks.write_trees(files.tree_table(spark, root).filter("owner = 'o'"), root)
+    assert [r[5] for r in rows(files.tree_table(spark, root))] == ["t.go", "t.go", "u", "v"]
+    with pytest.raises(Exception, match="no tree"):
+        sinks.write_trees(files.tree_table(spark, root).withColumn("path", F.raise_error(F.lit("no tree")).cast("string")), root)
+    assert files.tree_table(spark, root).count() == 4
+    assert [p.name for p in tmp_path.iterdir()] == ["trees"]
+    sinks.write_trees(spark.createDataFrame([], schema), root)
+    assert files.tree_table(spark, root).count() == 0
+    (tmp_path / "trees/go/o").mkdir(parents=True)  # another layout is no empty table
+    with pytest.raises(Exception, match="is no folder language="):
+        files.tree_table(spark, root).count()
+
+
 def test_append_ledger_keeps_first(spark, tmp_path):
     path = str(tmp_path / "l")
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 2)], "id int, v string, seq int")
